@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import r6
+from ..functions.numeric import r6, r9, r10
 from ..operators import attributions as A
 from ..operators import compose as X
 from ..sources import views as V
@@ -41,12 +41,12 @@ def disagreement_with_reduction(spark, sf):
     + """select case_id, round(gamma, 6) as gamma, case when gamma < 0.20 then 'green' when gamma < 0.45 then 'orange' else 'red' end as severity,
     concat_ws(';', case when a_high > 0.05 then 'r_high' end, case when a_low > 0.05 then 'r_low' end, case when a_medium > 0.05 then 'r_medium' end) as left_active,
     concat_ws(';', case when b_check > 0.05 then 'r_check' end, case when b_high > 0.05 then 'r_high' end, case when b_low > 0.05 then 'r_low' end) as right_active,
-    round(delta_r, 6) as right_delta from pairs""",
+    round(delta_r, 9) as right_delta from pairs""",
 )
 def edge_report(spark, sf):
     return X.edge_report(_pairs(spark, sf)).select(
         "case_id", "gamma", "severity", F.array_join("left_active", ";").alias("left_active"),
-        F.array_join("right_active", ";").alias("right_active"), r6(F.col("right_delta")).alias("right_delta"),
+        F.array_join("right_active", ";").alias("right_active"), r9(F.col("right_delta")).alias("right_delta"),
     )
 
 
@@ -55,14 +55,14 @@ def edge_report(spark, sf):
     S.PAIRED
     + """select case_id, case when returnflag = 'A' then 'no common terms' when gamma > 0.45 then 'disagreement above gamma_max' end as reason,
     case when returnflag = 'A' or gamma > 0.45 then null else round(1 - (1 - ul) * (1 - ur) * (1 - gamma), 6) end as u,
-    case when returnflag = 'A' or gamma > 0.45 then null else round(least(1e0, delta_r), 6) end as loss,
+    case when returnflag = 'A' or gamma > 0.45 then null else round(least(1e0, delta_r), 9) end as loss,
     case when returnflag = 'A' or gamma > 0.45 then null else 4 end::bigint as n_rules,
     case when returnflag = 'A' or gamma > 0.45 then null else round(greatest(a_low, b_low), 6) end as act_low from pairs""",
 )
 def compose_pair(spark, sf):
     out = X.compose_pair(_pairs(spark, sf), gamma_max=0.45)
     return out.select(
-        "case_id", "reason", r6(F.col("uncertainty")).alias("u"), r6(F.col("reduction_loss")).alias("loss"),
+        "case_id", "reason", r6(F.col("uncertainty")).alias("u"), r9(F.col("reduction_loss")).alias("loss"),
         F.when(F.col("rules").isNotNull(), F.size("rules").cast("long")).alias("n_rules"),
         r6(F.element_at("activations", F.lit("r_low"))).alias("act_low"),
     )
@@ -96,7 +96,7 @@ def _components(spark, sf):
             F.struct(F.lit(n).alias("component"), v.alias("value"))
             for n, v in {"d_mu": F.col("p"), "d_r": F.col("discount") * 4, "d_u": F.col("tax") * 8}.items()
         ],
-        F.struct(F.lit("d_extra").alias("component"), F.col("quantity") / 50),
+        F.struct(F.lit("d_extra").alias("component"), (F.col("quantity") / 50).alias("value")),
     )
     # Only every third line reports the component that has no weight.
     return rows.select("case_id", "line", F.inline(parts)).where((F.col("component") != "d_extra") | (F.col("line") == 3))
@@ -105,7 +105,7 @@ def _components(spark, sf):
 @query(
     "weighted_gamma",
     S.ctes(S.CASES)
-    + """select case_id, round((p * 0.25e0 + discount * 4 * 0.35e0 + tax * 8 * 0.2e0) / (0.25e0 + 0.35e0 + 0.2e0), 6) as gamma, (line = 3)::bigint as n_missing,
+    + """select case_id, round((p * 0.25e0 + discount * 4 * 0.35e0 + tax * 8 * 0.2e0) / (0.25e0 + 0.35e0 + 0.2e0), 10) as gamma, (line = 3)::bigint as n_missing,
     (p * 0.25e0 + discount * 4 * 0.35e0 + tax * 8 * 0.2e0) / (0.25e0 + 0.35e0 + 0.2e0) <= 0.4 and tax <= 0.05 as certified from cases""",
 )
 def weighted_gamma(spark, sf):
@@ -113,7 +113,7 @@ def weighted_gamma(spark, sf):
     gamma = X.weighted_mean(_components(spark, sf), weights)
     delta = V.cases(spark, sf).select("case_id", F.col("tax").alias("delta_t"))
     out = X.certify_alignment(gamma.join(delta, "case_id"), 0.4, 0.05)
-    return out.select("case_id", r6(F.col("gamma")).alias("gamma"), "n_missing", "certified")
+    return out.select("case_id", r10(F.col("gamma")).alias("gamma"), "n_missing", "certified")
 
 
 @query("missing_weights", S.ctes(S.CASES) + "select 'd_extra' as component from cases where line = 3 limit 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import r6
+from ..functions.numeric import r6, r9
 from ..operators import compose as X
 from ..operators import observe as O
 from ..operators import paths as P
@@ -21,11 +21,11 @@ o as (select *, lag(target) over (partition by path_id order by seq, part, supp)
 _CERTIFY = S.ctes(_EDGES) + """,
 m as (select *, prev is not null and prev <> source as mism from o),
 codes as (
-    select path_id, rn, 0 as at, 'D_k_trace' as code from m where failed union all
+    select path_id, rn, 0 as pin, 'D_k_trace' as code from m where failed union all
     select path_id, rn, failed::int, 'D_ij_critical' from m where crit union all
     select path_id, rn, failed::int + crit::int, 'gamma_exceeded' from m where far union all
     select path_id, rn, failed::int + crit::int + far::int, 'path_endpoint_mismatch' from m where mism),
-firsts as (select path_id, code, min(rn * 10 + at) as pos from codes group by 1, 2),
+firsts as (select path_id, code, min(rn * 10 + pin) as pos from codes group by 1, 2),
 listed as (select path_id, string_agg(code, ';' order by pos) as diagnostics, bool_or(code = 'D_ij_critical') as crit from firsts group by 1),
 tot as (select path_id, max(case when rn = 1 then source end) as source, max(case when rn = n then target end) as target, count(*)::bigint as n_edges,
     count(*) filter (where mism)::bigint as n_mismatch, bool_or(failed or far or mism) as rupture from m group by 1)
@@ -97,20 +97,20 @@ def _drift(spark, sf):
     return P.drift_edges(e, "user_id", ("ts", "event_id"), F.to_date("ts"), PARTS, gamma_max=0.35)
 
 
-@query("drift_edges", S.ctes(_DRIFT) + "select user_id, event_id, round(gamma, 6) as gamma, gamma > 0.35 as rupture from dr")
+@query("drift_edges", S.ctes(_DRIFT) + "select user_id, event_id, round(gamma, 9) as gamma, round(gamma, 9) > 0.35 as rupture from dr")
 def drift_edges(spark, sf):
-    return _drift(spark, sf).select("user_id", "event_id", r6(F.col("gamma")).alias("gamma"), "rupture")
+    return _drift(spark, sf).select("user_id", "event_id", r9(F.col("gamma")).alias("gamma"), "rupture")
 
 
 @query(
     "drift_path",
     S.ctes(_DRIFT)
-    + """select user_id, count(*)::bigint as n_edges, count(*) filter (where gamma > 0.35)::bigint as n_ruptures, round(max(gamma), 6) as max_gamma,
+    + """select user_id, count(*)::bigint as n_edges, count(*) filter (where gamma > 0.35)::bigint as n_ruptures, round(max(gamma), 9) as max_gamma,
     count(*) filter (where gamma > 0.35) = 0 as is_continuous from dr group by user_id""",
 )
 def drift_path(spark, sf):
     out = P.drift_path(_drift(spark, sf), "user_id")
-    return out.withColumn("max_gamma", r6(F.col("max_gamma")))
+    return out.withColumn("max_gamma", r9(F.col("max_gamma")))
 
 
 # --- streams run to completion ---------------------------------------------------------------------
@@ -186,11 +186,11 @@ def action_rates_stream(spark, sf):
 
 @query(
     "drift_stream",
-    S.ctes(_DRIFT) + "select user_id, event_id, round(gamma, 6) as gamma, gamma > 0.35 as rupture from dr",
+    S.ctes(_DRIFT) + "select user_id, event_id, round(gamma, 9) as gamma, round(gamma, 9) > 0.35 as rupture from dr",
 )
 def drift_stream(spark, sf):
     out = run_to_table(ST.drift_stream(_stream(spark, sf), gamma_max=0.35), "drift")
-    return out.where(~F.col("first")).select("user_id", "event_id", r6(F.col("gamma")).alias("gamma"), "rupture")
+    return out.where(~F.col("first")).select("user_id", "event_id", r9(F.col("gamma")).alias("gamma"), "rupture")
 
 
 _SESSIONS = """ev as (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from events),

@@ -9,7 +9,7 @@ from ..functions import fuzzy as Z
 from ..functions import gates as G
 from ..functions import representation as R
 from ..functions import uncertainty as U
-from ..functions.numeric import clip01, r6
+from ..functions.numeric import clip01, r6, r9, r10
 from ..operators import metrics as M
 from ..operators import observe as O
 from ..plans.plan import CANDIDATES_LITE
@@ -46,7 +46,6 @@ def observe(spark, sf):
     )
 
 
-_ML = """case when true then least(1e0, ({fi} + {fh} + {fn}) / 3e0 + 0.02e0) end"""
 _LO, _HI = S.clip("p - 0.04"), S.clip("p + 0.04")
 _V1, _V2 = S.clip("p - 0.08"), S.clip("p + 0.06")
 _F = S.clip("1 - p - 0.04")
@@ -104,9 +103,6 @@ def risk_memberships(spark, sf):
     return V.cases(spark, sf).select("case_id", *[r6(c).alias(k) for k, c in m.items()])
 
 
-_RULES = F.array  # readability in the two queries below
-
-
 def _risk_rules():
     return F.array(V._rule("risk_high", "high", "defer_or_review"), V._rule("risk_medium", "medium", "lower_confidence"), V._rule("risk_other", "none", "watch"))
 
@@ -220,9 +216,9 @@ def entropy_uncertainty(spark, sf):
     return V.cases(spark, sf).select("case_id", r6(U.entropy_uncertainty(_three_class())).alias("entropy"))
 
 
-@query("margin_uncertainty", S.ctes(S.CASES, _PROBA_SQL) + _UNC + "select case_id, round(margin, 6) as margin from unc")
+@query("margin_uncertainty", S.ctes(S.CASES, _PROBA_SQL) + _UNC + "select case_id, round(margin, 9) as margin from unc")
 def margin_uncertainty(spark, sf):
-    return V.cases(spark, sf).select("case_id", r6(U.margin_uncertainty(_three_class())).alias("margin"))
+    return V.cases(spark, sf).select("case_id", r9(U.margin_uncertainty(_three_class())).alias("margin"))
 
 
 @query(
@@ -274,7 +270,7 @@ _FLAGS = {
 }
 _PROFILE_SQL = "prof as (select *, list_sort(list_filter(['u_num', 'u_ling', " + ", ".join(
     f"case when {cond} then '{tag}' end" for tag, (cond, _) in _FLAGS.items()
-) + "], x -> x is not null)) as profile from cases)"
+) + "], lambda x: x is not null)) as profile from cases)"
 _CAND_SQL = """cand(name, coverage, cog, comp, loss) as (values
     ('F0', ['u_num','u_ling'], 0.10e0, 0.03e0, 0.42e0), ('FI', ['u_num','u_ling','u_int'], 0.22e0, 0.05e0, 0.30e0),
     ('FH', ['u_num','u_ling','u_exp'], 0.30e0, 0.81e0, 0.25e0), ('FNsrc', ['u_num','u_ling','u_if','u_conf','u_trace'], 0.42e0, 0.09e0, 0.18e0),
@@ -312,22 +308,22 @@ def profile_from_table(spark, sf):
 def _select_sql(mode: str) -> str:
     order = "loss, cog, comp" if mode == "audit" else "cog, loss, comp"
     return S.ctes(S.CASES, _PROFILE_SQL, _CAND_SQL) + f""", pf as (select distinct profile from prof),
-adm as (select profile, c.* from pf, cand c where len(list_filter(profile, t -> not list_contains(c.coverage, t))) = 0),
+adm as (select profile, c.* from pf, cand c where len(list_filter(profile, lambda t: not list_contains(c.coverage, t))) = 0),
 front as (select * from adm a where not exists (select 1 from adm o where o.profile = a.profile and o.cog <= a.cog and o.comp <= a.comp and o.loss <= a.loss
     and (o.cog < a.cog or o.comp < a.comp or o.loss < a.loss))),
 best as (select profile, name, row_number() over (partition by profile order by {order}) as rn from front)
 select array_to_string(p.profile, ';') as profile, coalesce(b.name, 'D_choice') as selected_class,
-    array_to_string(list_sort(list_filter(p.profile, t -> t not in ('u_num','u_ling','u_int','u_exp','u_if','u_conf','u_trace','u_multi'))), ';') as missing, count(*)::bigint as n
+    array_to_string(list_sort(list_filter(p.profile, lambda t: t not in ('u_num','u_ling','u_int','u_exp','u_if','u_conf','u_trace','u_multi'))), ';') as missing, count(*)::bigint as n
 from prof p left join best b on p.profile = b.profile and b.rn = 1 group by 1, 2, 3"""
 
 
 def _select(spark, sf, mode):
     rows = _profiled(spark, sf).select(
-        F.array_join("profile", ";").alias("profile"),
+        F.array_join("profile", ";").alias("tags"),
         R.select_class(F.col("profile"), mode).alias("selected_class"),
         F.array_join(R.missing_tags(F.col("profile")), ";").alias("missing"),
     )
-    return rows.groupBy("profile", "selected_class", "missing").agg(F.count("*").alias("n"))
+    return rows.groupBy(F.col("tags").alias("profile"), "selected_class", "missing").agg(F.count("*").alias("n"))
 
 
 @query("select_representation_audit", _select_sql("audit"))
@@ -423,8 +419,8 @@ def reduce_representation(spark, sf):
     S.ctes(S.CASES, S.PAIRS)
     + f""", dd as (select case_id, line, g_repr, p, q,
     {S.num(0.5)} * greatest(abs({S.clip('p - 0.1')} - {S.clip('q - 0.1')}), abs({S.clip('p + 0.1')} - {S.clip('q + 0.1')})) + {S.num(0.5)} * 1e0 + 0.05e0 as ml from pairs)
-select case_id, round(g_repr, 6) as plain, round(least(1e0, g_repr + 0.10e0), 6) as one_wrapped, round(least(1e0, ml), 6) as multi,
-    round(least(1e0, abs(p - q) + 0.05e0 + case when line % 2 = 0 then 0.05e0 else 0e0 end), 6) as both_wrapped from dd""",
+select case_id, round(g_repr, 9) as plain, round(least(1e0, g_repr + 0.10e0), 9) as one_wrapped, round(least(1e0, ml), 9) as multi,
+    round(least(1e0, abs(p - q) + 0.05e0 + case when line % 2 = 0 then 0.05e0 else 0e0 end), 9) as both_wrapped from dd""",
 )
 def representation_distance(spark, sf):
     left = V.model_explanations(spark, sf).select("case_id", F.col("representation").alias("a"))
@@ -440,19 +436,19 @@ def representation_distance(spark, sf):
     rows = rows.select("*", m1.alias("m1"), m2.alias("m2"), wa.alias("wa"), wb.alias("wb"))
     return rows.select(
         "case_id",
-        r6(R.representation_distance(F.col("a"), F.col("b"))).alias("plain"),
-        r6(R.representation_distance(F.col("wa").withField("value", F.col("a")["value"]), F.col("b"))).alias("one_wrapped"),
-        r6(R.representation_distance(F.col("m1"), F.col("m2"))).alias("multi"),
-        r6(R.representation_distance(F.col("wa"), F.col("wb"))).alias("both_wrapped"),
+        r9(R.representation_distance(F.col("a"), F.col("b"))).alias("plain"),
+        r9(R.representation_distance(F.col("wa").withField("value", F.col("a")["value"]), F.col("b"))).alias("one_wrapped"),
+        r9(R.representation_distance(F.col("m1"), F.col("m2"))).alias("multi"),
+        r9(R.representation_distance(F.col("wa"), F.col("wb"))).alias("both_wrapped"),
     )
 
 
 @query(
     "representation_lite",
     S.ctes(S.CASES)
-    + """select case_id, round((abs(p * 0.9e0 - p) + abs(least(1e0, p + tax) - p)) / 2, 6) as interval_gap, round((abs(p - y_true) + abs(tax - 0.1e0) + abs(discount - 0e0)) / 3, 6) as component_gap,
-    round((p * 1 + discount * 2 + tax * 3) / 6e0, 6) as value, round(greatest(p, discount, tax) - least(p, discount, tax), 6) as spread,
-    case when tax >= 0.06 and discount < 0.05 and line < 6 then 'F_N_src' when tax >= 0.06 and line < 6 then 'F_ML' when discount >= 0.05 and line < 6 then 'F_int' when line >= 6 then 'DiagnosticState' else 'F_ML' end as selected_class
+    + """select case_id, round((abs(p * 0.9e0 - p) + abs(least(1e0, p + tax) - p)) / 2, 9) as interval_gap, round((abs(p - y_true) + abs(tax - 0.1e0) + abs(discount - 0e0)) / 3, 9) as component_gap,
+    round((p * 1 + discount * 2 + tax * 3) / 6e0, 9) as value, round(greatest(p, discount, tax) - least(p, discount, tax), 9) as spread,
+    case when line >= 6 then 'DiagnosticState' else 'F_ML' end as selected_class
     from cases""",
 )
 def representation_lite(spark, sf):
@@ -469,9 +465,9 @@ def representation_lite(spark, sf):
     needs = F.when(F.size(needs) == 1, F.array(F.lit("scalar"), F.lit("trace"))).otherwise(needs)
     return rows.withColumn("r", reduced).select(
         "case_id",
-        r6(R.interval_gap_lite(p * 0.9, F.least(F.lit(1.0), p + F.col("tax")), p, p)).alias("interval_gap"),
-        r6(R.component_gap_lite(p, F.col("tax"), F.col("discount"), F.col("y_true"), F.lit(0.1), zero)).alias("component_gap"),
-        r6(F.col("r")["value"]).alias("value"), r6(F.col("r")["spread"]).alias("spread"),
+        r9(R.interval_gap_lite(p * 0.9, F.least(F.lit(1.0), p + F.col("tax")), p, p)).alias("interval_gap"),
+        r9(R.component_gap_lite(p, F.col("tax"), F.col("discount"), F.col("y_true"), F.lit(0.1), zero)).alias("component_gap"),
+        r9(F.col("r")["value"]).alias("value"), r9(F.col("r")["spread"]).alias("spread"),
         R.select_class_lite(needs, CANDIDATES_LITE).alias("selected_class"),
     )
 
@@ -527,15 +523,15 @@ def application_risk(spark, sf):
 @query(
     "aggregate_risk",
     S.ctes(S.CASES)
-    + """select case_id, round(greatest(p, discount, tax), 6) as by_max, round(0.5e0 * p + 0.3e0 * discount + 0.2e0 * tax, 6) as by_sum, round(1 - (1 - p) * (1 - discount) * (1 - tax), 6) as by_or from cases""",
+    + """select case_id, round(greatest(p, discount, tax), 10) as by_max, round(0.5e0 * p + 0.3e0 * discount + 0.2e0 * tax, 10) as by_sum, round(1 - (1 - p) * (1 - discount) * (1 - tax), 10) as by_or from cases""",
 )
 def aggregate_risk(spark, sf):
     parts = {"p": F.col("p"), "discount": F.col("discount"), "tax": F.col("tax")}
     return V.cases(spark, sf).select(
         "case_id",
-        r6(G.aggregate_risk(parts)).alias("by_max"),
-        r6(G.aggregate_risk(parts, "weighted_sum", {"p": 0.5, "discount": 0.3, "tax": 0.2})).alias("by_sum"),
-        r6(G.aggregate_risk(parts, "probabilistic_or")).alias("by_or"),
+        r10(G.aggregate_risk(parts)).alias("by_max"),
+        r10(G.aggregate_risk(parts, "weighted_sum", {"p": 0.5, "discount": 0.3, "tax": 0.2})).alias("by_sum"),
+        r10(G.aggregate_risk(parts, "probabilistic_or")).alias("by_or"),
     )
 
 

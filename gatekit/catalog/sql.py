@@ -144,7 +144,7 @@ PAYLOADS = f"""pay as (select case_id, 'model_' || lower(returnflag) as model_na
     round(case when line = 1 then discount * 8 else 0e0 end, 6) as noise,
     round(case when line = 2 then tax * 8 else 0e0 end, 6) as occlusion,
     0e0 + quantity / 100 + discount * 3 + tax as imp, quantity, discount, tax
-    from cases where line not in (6, 7) and tax < 0.08)"""
+    from cases where line not in (6, 7) and (case when tax >= 0.08 then p + 1e0 else p end) <= 1)"""
 
 _SOFT = "case when rho < 0.60 then 'lower_confidence' else 'audit' end"
 ROUTES = f"""

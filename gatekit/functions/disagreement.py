@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.plan import BETA, LAMBDA
 from .fuzzy import active_rules, membership_entropy
-from .numeric import array_mean, array_sum, clip01
+from .numeric import array_mean, array_sum, clip01, let
 from .representation import representation_distance
 
 TRACE_FIELDS = ("id", "version", "timestamp", "source", "checksum")
@@ -84,17 +84,24 @@ def interpretability_components(rules: Column, activations: Column, terms: Colum
     n_rules = F.size(rules)
     mean_conditions = array_sum(F.transform(rules, lambda r: F.size(r["conditions"]).cast("double"))) / n_rules
     used = F.flatten(F.transform(rules, lambda r: F.concat(F.map_values(r["conditions"]), F.array(r["conclusion"]))))
-    heads = F.transform(rules, lambda r: F.struct(_body(r).alias("body"), r["conclusion"].alias("conclusion")))
-    bodies = F.array_distinct(F.transform(heads, lambda h: h["body"]))
-    # A body is contradictory when its distinct (body, conclusion) pairs are more than one.
-    contradictory = F.filter(
-        bodies, lambda b: F.size(F.filter(F.array_distinct(heads), lambda h: h["body"] == b)) > 1
+    heads = F.array_distinct(
+        F.transform(rules, lambda r: F.struct(_body(r).alias("body"), r["conclusion"].alias("conclusion")))
     )
+
+    def contradiction(pairs: Column) -> Column:
+        # A body is contradictory when it has more than one distinct conclusion.
+        bodies = F.array_distinct(F.transform(pairs, lambda h: h["body"]))
+        twice = F.filter(bodies, lambda b: F.size(F.filter(pairs, lambda h: h["body"] == b)) > 1)
+        return F.size(twice) / F.size(bodies)
+
+    def overlap(names: Column) -> Column:
+        return 1.0 - F.size(F.array_distinct(names)) / F.size(names)
+
     return {
         "H": F.when(F.size(activations) == 0, 0.0).otherwise(membership_entropy(F.map_values(activations))),
         "C": F.when(n_rules == 0, 0.0).otherwise(clip01(mean_conditions / F.greatest(F.size(terms), F.lit(1)))),
-        "O": F.when(n_rules == 0, 0.0).otherwise(clip01(1.0 - F.size(F.array_distinct(used)) / F.size(used))),
-        "K": F.when(n_rules <= 1, 0.0).otherwise(clip01(F.size(contradictory) / F.size(bodies))),
+        "O": F.when(n_rules == 0, 0.0).otherwise(clip01(let(used, overlap))),
+        "K": F.when(n_rules <= 1, 0.0).otherwise(clip01(let(heads, contradiction))),
     }
 
 

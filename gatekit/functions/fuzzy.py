@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.plan import ETA
-from .numeric import array_sum, clip01
+from .numeric import clip01, let
 
 
 def risk_memberships(z: Column) -> dict[str, Column]:
@@ -108,8 +108,13 @@ def image_meta_uncertainty(p: Column, meta: Column) -> Column:
 
 def membership_entropy(values: Column, eps: float = 1e-3) -> Column:
     """Normalised entropy of a membership array; 0 for arrays of at most one value."""
-    # With S the sum of the shifted values v, the entropy of v/S is log S - sum(v log v)/S.
-    shifted = F.transform(values, lambda v: clip01(v) + eps)
-    total = array_sum(shifted)
-    raw = F.log(total) - F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v * F.log(v)) / total
-    return F.when(F.size(values) <= 1, 0.0).otherwise(raw / F.log(F.size(values).cast("double")))
+    def entropy(shifted: Column) -> Column:
+        # With S the sum of the values v, the entropy of v/S is log S - sum(v log v)/S.
+        sums = F.aggregate(
+            shifted,
+            F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("vlogv")),
+            lambda acc, v: F.struct((acc["s"] + v).alias("s"), (acc["vlogv"] + v * F.log(v)).alias("vlogv")),
+        )
+        return let(sums, lambda t: F.log(t["s"]) - t["vlogv"] / t["s"]) / F.log(F.size(shifted).cast("double"))
+
+    return F.when(F.size(values) <= 1, 0.0).otherwise(let(F.transform(values, lambda v: clip01(v) + eps), entropy))

@@ -13,10 +13,28 @@ def clip01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often the body mentions it.
+
+    Column expressions are trees: a sub-expression used five times is five copies. A one-element
+    transform binds it to a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def r9(c: Column) -> Column:
+    """For values built from two-decimal inputs, which can fall exactly between two six-digit numbers."""
+    return F.round(c, 9)
+
+
+def r10(c: Column) -> Column:
+    return F.round(c, 10)
+
+
 def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.plan import CANDIDATES, Candidate
-from .numeric import array_mean, array_sum, clip01, string_array
+from .numeric import array_mean, array_sum, clip01, let, string_array
 
 SOURCE_STEP = 0.05
 LEVEL_TYPE = (
@@ -201,46 +201,52 @@ def _as_level(rep: Column) -> Column:
     return F.struct(*[rep[name].alias(name) for name in _LEVEL_FIELDS])
 
 
-def _unwrapped_distance(a: Column, b: Column) -> Column:
+def _multilevel_distance(a: Column, b: Column) -> Column:
     def levels(r):
         return F.when(r["kind"] == "FML", r["levels"]).otherwise(F.array(_as_level(r)))
 
     def links(r):
-        return F.when(r["kind"] == "FML", r["links"]).otherwise(F.array().cast("array<string>"))
+        return F.when(r["kind"] == "FML", F.array_sort(r["links"])).otherwise(F.array().cast("array<string>"))
 
     # The first operand's weights count, unless it is a scalar and the other is multi-level.
-    swap = (a["kind"] == "F0") & (b["kind"] == "FML")
-    weights = F.when(swap, b["weights"]).when(a["kind"] == "FML", a["weights"]).otherwise(F.array(F.lit(1.0)))
-    la, lb = levels(a), levels(b)
-    n = F.least(F.size(la), F.size(lb))
-    pairs = F.arrays_zip(F.slice(la, 1, n).alias("a"), F.slice(lb, 1, n).alias("b"), F.slice(weights, 1, n).alias("w"))
-    gap = F.aggregate(pairs, F.lit(0.0), lambda acc, q: acc + q["w"] * _level_distance(q["a"], q["b"]))
-    level_penalty = F.abs(F.size(la) - F.size(lb)) / F.greatest(F.size(la), F.size(lb))
-    link_penalty = F.when(F.array_sort(links(a)) == F.array_sort(links(b)), 0.0).otherwise(0.05)
-    multi = F.least(F.lit(1.0), gap + 0.10 * level_penalty + link_penalty)
-    comparable = (a["kind"] == "FML") | swap
+    own = F.when(a["kind"] == "FML", a["weights"]).when(b["kind"] == "FML", b["weights"])
+
+    def gap(la: Column, lb: Column) -> Column:
+        pairs = F.zip_with(
+            F.zip_with(la, lb, lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
+            own,
+            lambda q, w: F.when(q["a"].isNotNull() & q["b"].isNotNull(), w * _level_distance(q["a"], q["b"])).otherwise(0.0),
+        )
+        penalty = F.abs(F.size(la) - F.size(lb)) / F.greatest(F.size(la), F.size(lb))
+        return array_sum(pairs) + 0.10 * penalty
+
+    total = let(levels(a), lambda la: let(levels(b), lambda lb: gap(la, lb)))
+    return F.least(F.lit(1.0), total + F.when(links(a) == links(b), 0.0).otherwise(0.05))
+
+
+def _unwrapped_distance(a: Column, b: Column) -> Column:
+    comparable = (a["kind"] == "FML") | ((a["kind"] == "F0") & (b["kind"] == "FML"))
     return (
-        F.when(comparable, multi)
+        F.when(comparable, _multilevel_distance(a, b))
         .when(b["kind"] == "FML", F.lit(1.0))
-        .otherwise(_level_distance(_as_level(a), _as_level(b)))
+        .otherwise(_level_distance(a, b))
     )
 
 
 def representation_distance(a: Column, b: Column) -> Column:
-    base = _unwrapped_distance(a, b)
     wrapped_a, wrapped_b = a["ann_source"].isNotNull(), b["ann_source"].isNotNull()
-    both = (
-        base
-        + F.when(a["ann_source"] == b["ann_source"], 0.0).otherwise(0.05)
-        + F.when(a["ann_trace"] == b["ann_trace"], 0.0).otherwise(0.05)
-    )
-    one = F.least(F.lit(1.0), base + 0.10)
-    return (
-        F.when(wrapped_a & wrapped_b, F.least(F.lit(1.0), both))
-        .when(wrapped_a | (wrapped_b & (a["kind"] == "F0")), one)
-        .when(wrapped_b, F.lit(1.0))
-        .otherwise(base)
+    # What wrapping adds to the distance of the bare representations.
+    added = (
+        F.when(
+            wrapped_a & wrapped_b,
+            F.when(a["ann_source"] == b["ann_source"], 0.0).otherwise(0.05)
+            + F.when(a["ann_trace"] == b["ann_trace"], 0.0).otherwise(0.05),
+        )
+        .when(wrapped_a | wrapped_b, F.lit(0.10))
+        .otherwise(F.lit(0.0))
     )
+    clash = ~wrapped_a & wrapped_b & (a["kind"] != "F0")
+    return F.when(clash, 1.0).otherwise(F.least(F.lit(1.0), _unwrapped_distance(a, b) + added))
 
 
 # --- profiles and selection ----------------------------------------------
@@ -308,8 +314,8 @@ def select_class(profile: Column, mode: str = "audit", candidates: Sequence[Cand
 
     The candidate table is a literal, so this is a projection: no join, no shuffle.
     """
-    front = pareto_front(covering(candidate_array(candidates), profile))
-    return F.coalesce(best_candidate(front, mode), F.lit("D_choice"))
+    admissible = let(profile, lambda tags: covering(candidate_array(candidates), tags))
+    return F.coalesce(best_candidate(let(admissible, pareto_front), mode), F.lit("D_choice"))
 
 
 def missing_tags(profile: Column, candidates: Sequence[Candidate] = CANDIDATES) -> Column:
@@ -330,7 +336,7 @@ def build_representation(z: Column, profile: Column, selected: Column) -> Column
     against = F.greatest(F.lit(0.0), 1.0 - z - 0.04)
     is_ml = selected.startswith("FML")
     # Levels are chosen per row, so the array is compacted and weighted evenly.
-    levels = F.array_compact(
+    chosen = F.array_compact(
         F.array(
             F.when(has("u_int") | is_ml, level("FI", lo=lo, hi=hi)),
             F.when(has("u_exp") | is_ml, level("FH", values=spread)),
@@ -340,16 +346,19 @@ def build_representation(z: Column, profile: Column, selected: Column) -> Column
             ),
         )
     )
-    levels = F.when(F.size(levels) == 0, F.array(level("F0", value=z))).otherwise(levels)
-    multi = _tagged(
-        _REP_FIELDS,
-        kind="FML",
-        levels=levels,
-        weights=F.transform(levels, lambda _: 1.0 / F.size(levels)),
-        links=F.when(F.size(levels) > 1, F.array(F.lit("dataset_profile>risk:same_case"))).otherwise(
-            F.array().cast("array<string>")
-        ),
-    )
+    levels = F.when(F.size(chosen) == 0, F.array(level("F0", value=z))).otherwise(chosen)
+
+    def multi_of(picked: Column) -> Column:
+        linked = F.array(F.lit("dataset_profile>risk:same_case"))
+        return _tagged(
+            _REP_FIELDS,
+            kind="FML",
+            levels=picked,
+            weights=F.array_repeat(1.0 / F.size(picked), F.size(picked)),
+            links=F.when(F.size(picked) > 1, linked).otherwise(F.array().cast("array<string>")),
+        )
+
+    multi = let(levels, multi_of)
     return (
         F.when(is_ml | has("u_multi"), multi)
         .when(

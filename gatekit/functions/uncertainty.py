@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import array_sum, clip01
+from .numeric import clip01, let
 
 EPS = 1e-12
 
 
 def entropy_uncertainty(proba: Column) -> Column:
     """Normalised entropy of a probability array."""
-    # With S the sum of the values v, the entropy of v/S is log S - sum(v log v)/S.
-    clipped = F.transform(proba, clip01)
-    total = F.greatest(array_sum(clipped), F.lit(EPS))
-    v_log_v = F.aggregate(clipped, F.lit(0.0), lambda acc, v: acc + v * F.log(F.greatest(v, F.lit(EPS))))
-    raw = F.log(total) - v_log_v / total
-    return F.when(F.size(proba) <= 1, 0.0).otherwise(clip01(raw / F.log(F.size(proba).cast("double"))))
+    def entropy(clipped: Column) -> Column:
+        # With S the sum of the values v, the entropy of v/S is log S - sum(v log v)/S.
+        sums = F.aggregate(
+            clipped,
+            F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("vlogv")),
+            lambda acc, v: F.struct(
+                (acc["s"] + v).alias("s"), (acc["vlogv"] + v * F.log(F.greatest(v, F.lit(EPS)))).alias("vlogv")
+            ),
+        )
+
+        def raw(t: Column) -> Column:
+            total = F.greatest(t["s"], F.lit(EPS))
+            return F.log(total) - t["vlogv"] / total
+
+        return clip01(let(sums, raw) / F.log(F.size(clipped).cast("double")))
+
+    return F.when(F.size(proba) <= 1, 0.0).otherwise(let(F.transform(proba, clip01), entropy))
 
 
 def margin_uncertainty(proba: Column) -> Column:
     """One minus the gap between the two largest probabilities."""
     ordered = F.sort_array(F.transform(proba, clip01), asc=False)
-    return F.when(F.size(proba) <= 1, 0.0).otherwise(clip01(1.0 - (F.get(ordered, 0) - F.get(ordered, 1))))
+    gap = let(ordered, lambda o: F.get(o, F.lit(0)) - F.get(o, F.lit(1)))
+    return F.when(F.size(proba) <= 1, 0.0).otherwise(clip01(1.0 - gap))
 
 
 def blended_uncertainty(entropy: Column, margin: Column) -> Column:

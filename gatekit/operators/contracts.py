@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import let
+
 # Required fields of each payload type.
 REQUIRED = {
     "classification": (
@@ -41,33 +43,31 @@ class Checked(NamedTuple):
 
 
 def payload_errors(payload: Column, schema: str) -> Column:
-    """Array of error strings for a JSON payload, empty when it is valid."""
+    """Array of error strings for a JSON payload, empty when it is valid. Parses the payload once."""
     if schema not in REQUIRED:
         raise ValueError(f"unknown schema: {schema}")
-    top = F.from_json(payload, "map<string,string>")
 
-    def present(name: str) -> Column:
-        return F.map_contains_key(top, name)
+    def checks(top: Column) -> Column:
+        def present(name: str) -> Column:
+            return F.map_contains_key(top, name)
 
-    checks = [F.when(~present(name), F.lit(f"missing field: {name}")) for name in REQUIRED[schema]]
-    if schema == "classification":
-        p = F.element_at(top, "class_probability").try_cast("double")
-        checks.append(
-            F.when(
-                present("class_probability"),
-                F.when(p.isNull(), "class_probability must be numeric").when(
-                    ~p.between(0.0, 1.0), "class_probability must be in [0,1]"
-                ),
+        found = [F.when(~present(name), F.lit(f"missing field: {name}")) for name in REQUIRED[schema]]
+        if schema == "classification":
+            p = F.element_at(top, "class_probability").try_cast("double")
+            wrong = F.when(p.isNull(), "class_probability must be numeric").when(
+                ~p.between(0.0, 1.0), "class_probability must be in [0,1]"
             )
-        )
-    for name in OBJECT_FIELDS:
-        is_object = F.coalesce(F.ltrim(F.element_at(top, name)).startswith("{"), F.lit(False))
-        checks.append(F.when(present(name) & ~is_object, F.lit(f"{name} must be object")))
-    if schema in ("route", "operator_trace"):
-        is_array = F.coalesce(F.ltrim(F.element_at(top, "nodes")).startswith("["), F.lit(False))
-        checks.append(F.when(present("nodes") & ~is_array, F.lit("nodes must be array")))
-    not_object = F.array(F.lit("JSON root must be object"))
-    return F.when(top.isNull(), not_object).otherwise(F.array_compact(F.array(*checks)))
+            found.append(F.when(present("class_probability"), wrong))
+        for name in OBJECT_FIELDS:
+            is_object = F.coalesce(F.ltrim(F.element_at(top, name)).startswith("{"), F.lit(False))
+            found.append(F.when(present(name) & ~is_object, F.lit(f"{name} must be object")))
+        if schema in ("route", "operator_trace"):
+            is_array = F.coalesce(F.ltrim(F.element_at(top, "nodes")).startswith("["), F.lit(False))
+            found.append(F.when(present("nodes") & ~is_array, F.lit("nodes must be array")))
+        not_object = F.array(F.lit("JSON root must be object"))
+        return F.when(top.isNull(), not_object).otherwise(F.array_compact(F.array(*found)))
+
+    return let(F.from_json(payload, "map<string,string>"), checks)
 
 
 def validate_payloads(df: DataFrame, payload: str = "payload", schema: str = "classification") -> DataFrame:
@@ -82,44 +82,41 @@ def split_valid(checked: DataFrame) -> Checked:
 
 
 def flatten_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """One typed row per payload; quality and context numbers default to 0."""
-    doc = F.from_json(F.col(payload), PAYLOAD_SCHEMA)
-    parsed = df.withColumn("_doc", doc)
-
-    def field(name: str) -> Column:
-        return F.col("_doc")[name]
-
-    def quality(name: str) -> Column:
-        return F.coalesce(F.element_at(field("quality_metrics"), name), F.lit(0.0)).alias(name)
-
-    def context(name: str, alias: str) -> Column:
-        raw = F.element_at(field("context_values"), name).try_cast("double")
-        return F.round(F.coalesce(raw, F.lit(0.0)), 6).alias(alias)
-
-    def text(name: str, default: str | None) -> Column:
-        raw = F.element_at(field("context_values"), name)
-        return (F.coalesce(raw, F.lit(default)) if default else raw).alias(name)
-
-    return parsed.select(
-        *df.columns,
-        *[
-            field(n).alias(n)
-            for n in (
-                "scenario_id", "source_type", "model_name", "dataset_name", "predicted_class",
-                "class_probability", "feature_values", "feature_importance",
-            )
-        ],
-        F.coalesce(field("top_k_importance"), F.size(field("feature_importance"))).alias("top_k_importance"),
-        quality("missing_rate"),
-        quality("feature_range_violation"),
-        text("task_type", "tabular_classification"),
-        text("perturbation", "external_payload"),
-        text("representation_class", None),
-        context("conflict_component", "conflict_component"),
-        context("prediction_interval_width", "interval_width"),
-        context("noise_ratio", "signal_noise"),
-        context("occlusion_rate", "image_noise"),
-    )
+    """One typed row per payload; quality and context numbers default to 0. Parses the payload once."""
+
+    def row(doc: Column) -> Column:
+        def quality(name: str) -> Column:
+            return F.coalesce(F.element_at(doc["quality_metrics"], name), F.lit(0.0)).alias(name)
+
+        def context(name: str, alias: str) -> Column:
+            raw = F.element_at(doc["context_values"], name).try_cast("double")
+            return F.round(F.coalesce(raw, F.lit(0.0)), 6).alias(alias)
+
+        def text(name: str, default: str | None) -> Column:
+            raw = F.element_at(doc["context_values"], name)
+            return (F.coalesce(raw, F.lit(default)) if default else raw).alias(name)
+
+        plain = (
+            "scenario_id", "source_type", "model_name", "dataset_name", "predicted_class",
+            "class_probability", "feature_values", "feature_importance",
+        )
+        return F.struct(
+            *[doc[n].alias(n) for n in plain],
+            F.coalesce(doc["top_k_importance"], F.size(doc["feature_importance"])).alias("top_k_importance"),
+            quality("missing_rate"),
+            quality("feature_range_violation"),
+            text("task_type", "tabular_classification"),
+            text("perturbation", "external_payload"),
+            text("representation_class", None),
+            context("conflict_component", "conflict_component"),
+            context("prediction_interval_width", "interval_width"),
+            context("noise_ratio", "signal_noise"),
+            context("occlusion_rate", "image_noise"),
+        )
+
+    # Inlining a one-element array of rows parses once and keeps later filters above the parse.
+    parsed = F.transform(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA)), row)
+    return df.select("*", F.inline(parsed))
 
 
 def case_errors(df: DataFrame, unit_columns: tuple[str, ...] = (), activations: str | None = None) -> Column:

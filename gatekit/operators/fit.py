@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hash_uniform
+from ..functions.numeric import double_array, hash_uniform
 from .quantiles import average_ranks
 
 FEATURES = ("repr", "rules", "activations", "uncertainty", "trace", "reduction")
@@ -82,10 +82,11 @@ def cv_beta(pairs: DataFrame, case: str, target: str = "expert_score", folds: in
     errors = pairs.sparkSession.createDataFrame(
         rows, "fold int, n_train long, n_test long, mse_base double, mse_calibrated double"
     )
-    prediction = F.lit(None).cast("double")
-    for fold, w in fitted.items():
-        value = sum((float(v) * F.col(f) for f, v in zip(features[1:], w[1:])), float(w[0]) * F.col(features[0]))
-        prediction = F.when(F.col("fold") == fold, value).otherwise(prediction)
+    # Weights are looked up by fold, so each feature appears once in the expression.
+    prediction = F.lit(0.0)
+    for i, f in enumerate(features):
+        by_fold = double_array([fitted[k][i] if k in fitted else 0.0 for k in range(folds)])
+        prediction = prediction + F.col(f) * F.get(by_fold, F.col("fold"))
     scored = tagged.select("fold", F.col(target).alias("a"), prediction.alias("b"))
     return errors.join(spearman(scored, "a", "b", ["fold"]), "fold")
 

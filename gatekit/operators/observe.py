@@ -12,6 +12,7 @@ from ..functions import gates as G
 from ..functions import representation as R
 from ..functions import uncertainty as U
 from ..functions.fuzzy import explanation_uncertainty, risk_memberships
+from ..functions.numeric import let
 from ..plans.plan import GatePlan, GatePolicy
 
 # Interpretability components of the two-rule risk explanation, and the loss weight.
@@ -54,9 +55,9 @@ def observe(
         scored = scored.withColumn("selected_class", F.lit("F0")).withColumn("reduction_loss", F.lit(0.0))
     else:
         tags = profile if isinstance(profile, Column) else F.array(*[F.lit(t) for t in profile])
-        selected = R.select_class(tags, mode)
-        rep = R.build_representation(risk, tags, selected)
-        scored = scored.withColumn("selected_class", selected).withColumn("reduction_loss", R.reduction_loss(rep))
+        scored = scored.withColumn("selected_class", R.select_class(tags, mode))
+        rep = R.build_representation(risk, tags, F.col("selected_class"))
+        scored = scored.withColumn("reduction_loss", let(rep, R.reduction_loss))
     mu = risk_memberships(risk)
     u_expl = explanation_uncertainty(
         F.col("u"), F.greatest(mu["high"], mu["medium"]), F.lit(TRACE_UNCERTAINTY), plan.eta

@@ -189,6 +189,15 @@ SHARES_W = (0.10, 0.15, 0.20, 0.25, 0.30)
 THETAS_HIGH = (0.60, 0.70, 0.80, 0.90)
 
 
+def _prefixed(weights: Mapping[str, float]) -> dict[str, float]:
+    """Weights as config fields that cannot clash with case columns."""
+    return {f"w_{k}": v for k, v in weights.items()}
+
+
+def _weight_columns() -> dict[str, Column]:
+    return {t: F.col(f"w_{t}") for t in RISK_TERMS}
+
+
 def _reweighted(weights: Mapping[str, float], w_diag: float) -> dict[str, float]:
     rest = sum(v for k, v in weights.items() if k != "diagnostic") or 1.0
     return {k: w_diag if k == "diagnostic" else v * (1.0 - w_diag) / rest for k, v in weights.items()}
@@ -196,14 +205,13 @@ def _reweighted(weights: Mapping[str, float], w_diag: float) -> dict[str, float]
 
 def weight_sensitivity(cases: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS) -> DataFrame:
     """Accuracy against expected_action and block rate as the diagnostic weight or theta_high moves."""
-    configs = [{"kind": "w_diagnostic", "setting": w, "theta_high": 0.65, **_reweighted(weights, w)} for w in SHARES_W]
-    configs += [{"kind": "theta_high", "setting": t, "theta_high": t, **normalize_weights(weights)} for t in THETAS_HIGH]
+    configs = [{"kind": "w_diagnostic", "setting": w, "theta_high": 0.65, **_prefixed(_reweighted(weights, w))} for w in SHARES_W]
+    configs += [{"kind": "theta_high", "setting": t, "theta_high": t, **_prefixed(normalize_weights(weights))} for t in THETAS_HIGH]
     rows = cases.select(
         "p", "u", "interpretability", "reduction_loss", "chi_r", "expected_action", F.inline(config_array(configs))
     )
     rho = G.config_risk(
-        F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss"), F.col("chi_r"),
-        {t: F.col(t) for t in RISK_TERMS},
+        F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss"), F.col("chi_r"), _weight_columns()
     )
     rows = rows.withColumn("rho", rho)
     action = G.gate_simple(
@@ -270,7 +278,7 @@ def gate_signatures(cases: DataFrame, weight_grid=WEIGHT_GRID, gamma_grid=GAMMA_
     The result has a bounded number of rows whatever the number of cases.
     """
     configs = [
-        {"w": i, "g": j, "gamma_max": g, **normalize_weights(w)}
+        {"w": i, "g": j, "gamma_max": g, **_prefixed(normalize_weights(w))}
         for i, w in enumerate(weight_grid)
         for j, g in enumerate(gamma_grid)
     ]
@@ -285,7 +293,7 @@ def gate_signatures(cases: DataFrame, weight_grid=WEIGHT_GRID, gamma_grid=GAMMA_
         "_c", F.col("chi_r_crit") | (F.col("_gap") > F.col("gamma_max") + 0.10)
     )
     p, u, i = F.col("p"), F.col("u"), F.col("interpretability")
-    rho = G.config_risk(p, u, i, F.col("reduction_loss"), F.col("_r"), {t: F.col(t) for t in RISK_TERMS})
+    rho = G.config_risk(p, u, i, F.col("reduction_loss"), F.col("_r"), _weight_columns())
     keyed = rows.select(
         "w", "g",
         _count_at_most(rho, steps).alias("rho_at"),
@@ -505,17 +513,17 @@ def calibrate_simplex(cases: DataFrame, grid: DataFrame) -> DataFrame:
     merged = cases.groupBy("p", "u", "interpretability", "reduction_loss", "chi_r", "expected_action").agg(
         F.count("*").alias("n")
     )
-    table = grid.agg(F.collect_list(F.struct(*RISK_TERMS))).scalar()
+    names = [f"w_{t}" for t in RISK_TERMS]
+    table = grid.agg(F.collect_list(F.struct(*[F.col(t).alias(n) for t, n in zip(RISK_TERMS, names)]))).scalar()
     rows = merged.withColumn("_g", table).select(*merged.columns, F.inline("_g"))
     rho = G.config_risk(
-        F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss"), F.col("chi_r"),
-        {t: F.col(t) for t in RISK_TERMS},
+        F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss"), F.col("chi_r"), _weight_columns()
     )
     rows = rows.withColumn("rho", rho)
     action = G.gate_simple(F.col("rho"), F.col("u"), F.col("p"), F.col("chi_r"))
     target = F.element_at(F.create_map(*[F.lit(x) for kv in TARGET_RHO.items() for x in kv]), F.col("expected_action"))
     n = F.sum("n")
-    out = rows.groupBy(*RISK_TERMS).agg(
+    out = rows.groupBy(*[F.col(n).alias(t) for t, n in zip(RISK_TERMS, names)]).agg(
         (F.sum(F.when(action == F.col("expected_action"), F.col("n")).otherwise(0)) / n).alias("accuracy"),
         (F.sum((F.col("rho") - target) * (F.col("rho") - target) * F.col("n")) / n).alias("mse"),
     )
