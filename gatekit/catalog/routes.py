@@ -148,7 +148,7 @@ def rupture_gates(spark, sf):
     return D.rupture_gates(rows).groupBy("policy", "action", "expected_action").agg(F.count("*").alias("n"))
 
 
-_STRUCT = S.EVALUATION + """, g as (select *, case when p < 0.55 then 'accept' else 'defer_to_human' end as plain from ev,
+_STRUCT = S.EVALUATION + """, g as (select * exclude (action), case when p < 0.55 then 'accept' else 'defer_to_human' end as plain from ev,
     (values ('native'), ('equal_guardrail'), ('equal_raw_structure')) m(mode),
     (values ('probability_threshold'), ('attribution_guardrail'), ('surrogate_guardrail'), ('anchor_guardrail'), ('observer')) q(policy)),
 a as (select *, case when policy = 'observer' then case when chi_r_crit then 'block' when not auto or d > 0.15 or chi_r then 'request_more_data' else plain end

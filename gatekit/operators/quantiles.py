@@ -19,14 +19,17 @@ _BEFORE = (Window.unboundedPreceding, -1)
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per key and distinct value with its count; nulls and NaN are left out."""
-    col = F.col(value).cast("double")
-    return (
-        df.select(*keys, col.alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+    """One row per key and distinct value with its count; nulls and NaN are left out.
+
+    They are dropped by their count of 0 after the aggregation: a filter on the value itself would
+    be pushed below it, and a derived value computed once more for the filter.
+    """
+    counts = (
+        df.select(*keys, F.col(value).cast("double").alias("value"))
         .groupBy(*keys, "value")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count(F.nanvl(F.col("value"), F.lit(None).cast("double"))).alias("n"))
     )
+    return counts.where(F.col("n") > 0)
 
 
 def _bucket_offsets(bucketed: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
