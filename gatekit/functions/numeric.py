@@ -76,20 +76,27 @@ def poisson1_steps(top: int = 10) -> list[float]:
 
 
 def poisson1(u: Column) -> Column:
-    """Poisson(1) draw by inverting the distribution at a uniform draw."""
+    """Poisson(1) draw by inverting the distribution at a uniform draw, computed once per row."""
     steps = poisson1_steps()
-    out = F.lit(len(steps))
-    for k in reversed(range(len(steps))):
-        out = F.when(u < F.lit(steps[k]), F.lit(k)).otherwise(out)
-    return out
+
+    def ladder(x: Column) -> Column:
+        out = F.lit(len(steps))
+        for k in reversed(range(len(steps))):
+            out = F.when(x < F.lit(steps[k]), F.lit(k)).otherwise(out)
+        return out
+
+    return let(u, ladder)
 
 
 def order_bucket(v: Column) -> Column:
     """Map doubles to integer buckets that keep their order (about 1024 per power of two).
 
-    Used to split global orderings: sort inside buckets, add up bucket totals.
+    Used to split global orderings: sort inside buckets, add up bucket totals. Null goes to bucket 0;
+    a key that cannot be null keeps Spark from pushing a null test on it, and with it the whole
+    derivation of v, down to the scan.
     """
     a = F.abs(v)
     e = F.floor(F.log2(a))
     key = (e + 1100) * 4096 + F.floor(a / F.pow(F.lit(2.0), e.cast("double")) * 1024)
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, key.cast("long")).otherwise(-key.cast("long"))
+    signed = F.when(v == 0, F.lit(0).cast("long")).when(v > 0, key.cast("long")).otherwise(-key.cast("long"))
+    return F.coalesce(signed, F.lit(0).cast("long"))

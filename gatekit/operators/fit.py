@@ -92,8 +92,10 @@ def cv_beta(pairs: DataFrame, case: str, target: str = "expert_score", folds: in
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
-    """Rank correlation per key with averaged ties, from distinct value pairs."""
-    cells = df.groupBy(*keys, F.col(a).alias("va"), F.col(b).alias("vb")).agg(F.count("*").alias("n"))
+    """Rank correlation per key with averaged ties, from distinct value pairs. Values must not be null."""
+    # Join keys that cannot be null, so that no null test on them is pushed below the aggregation.
+    va, vb = (F.coalesce(F.col(c), F.lit(float("nan"))) for c in (a, b))
+    cells = df.groupBy(*keys, va.alias("va"), vb.alias("vb")).agg(F.count("*").alias("n"))
     ranks = {}
     for name in ("va", "vb"):
         counts = cells.groupBy(*keys, F.col(name).alias("value")).agg(F.sum("n").alias("n"))

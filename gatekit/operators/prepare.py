@@ -143,7 +143,7 @@ def encode_label(df: DataFrame, column: str, out: str = "label_code", limit: int
 
     The distinct step runs before the labels are collected, so the array holds one entry per class.
     """
-    labels = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct()
+    labels = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1)
     ordered = labels.agg(F.array_sort(F.collect_list("v")).alias("labels"))
     checked = ordered.select(
         F.when(F.size("labels") > limit, F.raise_error(F.lit(f"{column} has more than {limit} classes")).cast("string"))

@@ -105,7 +105,7 @@ def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], case: str,
     reps = F.sequence(F.lit(0), F.lit(replicates - 1))
     weighted = scored.select("*", F.explode(reps).alias("rep")).withColumn(
         "w", poisson1(hash_uniform(seed, F.col("rep"), F.col("_case")))
-    ).where(F.col("w") > 0)
+    )
     t, full = F.col("t"), F.col("full")
 
     def total(cond: Column) -> Column:
@@ -148,9 +148,7 @@ def subset_f1(df: DataFrame, theta: Sequence[float], chosen: DataFrame, h: str =
     kept = chosen.agg(F.collect_list(F.col("rule").cast("int"))).scalar()
     theta_col = double_array(theta)
     scored = df.withColumn("_kept", kept).withColumn("_theta", theta_col)
-    masked = F.zip_with(
-        h, "_theta", lambda a, b: a * b
-    )
+    masked = F.zip_with(h, "_theta", lambda a, b: a * b)
     z = F.aggregate(
         F.zip_with(masked, F.sequence(F.lit(0), F.lit(len(theta) - 1)), lambda part, r: F.when(F.array_contains("_kept", r), part).otherwise(0.0)),
         F.lit(float(bias)),

@@ -35,7 +35,8 @@ def conflict_events() -> dict[str, Column]:
 def bootstrap_sums(units: DataFrame, unit: str, sums: Sequence[str], replicates: int = 200, seed: int = 42) -> DataFrame:
     """Weighted sums per replicate. Units are already aggregated, so each appears once per replicate."""
     rows = units.select(unit, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    rows = rows.withColumn("w", poisson1(hash_uniform(seed, F.col("rep"), F.col(unit)))).where(F.col("w") > 0)
+    # Rows drawn zero times add nothing; filtering them would compute the draw twice.
+    rows = rows.withColumn("w", poisson1(hash_uniform(seed, F.col("rep"), F.col(unit))))
     return rows.groupBy("rep").agg(*[F.sum(F.col(s) * F.col("w")).alias(s) for s in sums])
 
 
