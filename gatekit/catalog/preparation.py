@@ -63,14 +63,10 @@ def quarantine_payloads(spark, sf):
     conflict as conflict_component, interval_w as interval_width, noise as signal_noise, occlusion as image_noise from pay""",
 )
 def flatten_payloads(spark, sf):
-    valid = C.split_valid(C.validate_payloads(V.payloads(spark, sf))).valid
-    return (
-        C.flatten_payloads(valid)
-        .where(~F.col("case_id").isNull())
-        .select(
-            "case_id", "model_name", "task_type", "perturbation", r6(F.col("class_probability")).alias("p"),
-            r6(F.col("missing_rate")).alias("missing_rate"), "conflict_component", "interval_width", "signal_noise", "image_noise",
-        )
+    valid = C.split_valid(C.parse_payloads(V.payloads(spark, sf))).valid
+    return valid.select(
+        "case_id", "model_name", "task_type", "perturbation", r6(F.col("class_probability")).alias("p"),
+        r6(F.col("missing_rate")).alias("missing_rate"), "conflict_component", "interval_width", "signal_noise", "image_noise",
     )
 
 

@@ -15,8 +15,7 @@ from .registry import query
 
 def routes(spark, sf):
     """Routes of the valid payloads."""
-    valid = C.split_valid(C.validate_payloads(V.payloads(spark, sf))).valid
-    return D.tabular_route(C.flatten_payloads(valid))
+    return D.tabular_route(C.split_valid(C.parse_payloads(V.payloads(spark, sf))).valid)
 
 
 @query(

@@ -30,44 +30,39 @@ REQUIRED = {
 }
 OBJECT_FIELDS = ("feature_values", "feature_importance", "quality_metrics")
 
-PAYLOAD_SCHEMA = (
-    "scenario_id string, source_type string, model_name string, dataset_name string, predicted_class int,"
-    "class_probability double, feature_values map<string,double>, feature_importance map<string,double>,"
-    "quality_metrics map<string,double>, context_values map<string,string>, top_k_importance int"
-)
-
-
 class Checked(NamedTuple):
     valid: DataFrame
     quarantine: DataFrame
 
 
+def _errors_of(top: Column, schema: str) -> Column:
+    """Error strings for a payload that is parsed to a map of its top-level fields."""
+
+    def present(name: str) -> Column:
+        return F.map_contains_key(top, name)
+
+    found = [F.when(~present(name), F.lit(f"missing field: {name}")) for name in REQUIRED[schema]]
+    if schema == "classification":
+        p = F.element_at(top, "class_probability").try_cast("double")
+        wrong = F.when(p.isNull(), "class_probability must be numeric").when(
+            ~p.between(0.0, 1.0), "class_probability must be in [0,1]"
+        )
+        found.append(F.when(present("class_probability"), wrong))
+    for name in OBJECT_FIELDS:
+        is_object = F.coalesce(F.ltrim(F.element_at(top, name)).startswith("{"), F.lit(False))
+        found.append(F.when(present(name) & ~is_object, F.lit(f"{name} must be object")))
+    if schema in ("route", "operator_trace"):
+        is_array = F.coalesce(F.ltrim(F.element_at(top, "nodes")).startswith("["), F.lit(False))
+        found.append(F.when(present("nodes") & ~is_array, F.lit("nodes must be array")))
+    not_object = F.array(F.lit("JSON root must be object"))
+    return F.when(top.isNull(), not_object).otherwise(F.array_compact(F.array(*found)))
+
+
 def payload_errors(payload: Column, schema: str) -> Column:
     """Array of error strings for a JSON payload, empty when it is valid. Parses the payload once."""
     if schema not in REQUIRED:
         raise ValueError(f"unknown schema: {schema}")
-
-    def checks(top: Column) -> Column:
-        def present(name: str) -> Column:
-            return F.map_contains_key(top, name)
-
-        found = [F.when(~present(name), F.lit(f"missing field: {name}")) for name in REQUIRED[schema]]
-        if schema == "classification":
-            p = F.element_at(top, "class_probability").try_cast("double")
-            wrong = F.when(p.isNull(), "class_probability must be numeric").when(
-                ~p.between(0.0, 1.0), "class_probability must be in [0,1]"
-            )
-            found.append(F.when(present("class_probability"), wrong))
-        for name in OBJECT_FIELDS:
-            is_object = F.coalesce(F.ltrim(F.element_at(top, name)).startswith("{"), F.lit(False))
-            found.append(F.when(present(name) & ~is_object, F.lit(f"{name} must be object")))
-        if schema in ("route", "operator_trace"):
-            is_array = F.coalesce(F.ltrim(F.element_at(top, "nodes")).startswith("["), F.lit(False))
-            found.append(F.when(present("nodes") & ~is_array, F.lit("nodes must be array")))
-        not_object = F.array(F.lit("JSON root must be object"))
-        return F.when(top.isNull(), not_object).otherwise(F.array_compact(F.array(*found)))
-
-    return let(F.from_json(payload, "map<string,string>"), checks)
+    return let(F.from_json(payload, "map<string,string>"), lambda top: _errors_of(top, schema))
 
 
 def validate_payloads(df: DataFrame, payload: str = "payload", schema: str = "classification") -> DataFrame:
@@ -81,44 +76,70 @@ def split_valid(checked: DataFrame) -> Checked:
     )
 
 
-def flatten_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """One typed row per payload; quality and context numbers default to 0. Parses the payload once."""
+PLAIN_FIELDS = {
+    "scenario_id": "string", "source_type": "string", "model_name": "string", "dataset_name": "string",
+    "predicted_class": "int", "class_probability": "double",
+}
+MAP_FIELDS = {
+    "feature_values": "map<string,double>", "feature_importance": "map<string,double>",
+    "quality_metrics": "map<string,double>", "context_values": "map<string,string>",
+}
 
-    def row(doc: Column) -> Column:
-        def quality(name: str) -> Column:
-            return F.coalesce(F.element_at(doc["quality_metrics"], name), F.lit(0.0)).alias(name)
 
-        def context(name: str, alias: str) -> Column:
-            raw = F.element_at(doc["context_values"], name).try_cast("double")
-            return F.round(F.coalesce(raw, F.lit(0.0)), 6).alias(alias)
+def parse_payloads(df: DataFrame, payload: str = "payload", schema: str = "classification") -> DataFrame:
+    """Errors and typed fields of each payload from one parse; quality and context numbers default to 0.
 
-        def text(name: str, default: str | None) -> Column:
-            raw = F.element_at(doc["context_values"], name)
-            return (F.coalesce(raw, F.lit(default)) if default else raw).alias(name)
+    The row is built inside a one-element array that is inlined, so a later filter on the errors
+    stays above the parse and does not repeat it.
+    """
 
-        plain = (
-            "scenario_id", "source_type", "model_name", "dataset_name", "predicted_class",
-            "class_probability", "feature_values", "feature_importance",
-        )
-        return F.struct(
-            *[doc[n].alias(n) for n in plain],
-            F.coalesce(doc["top_k_importance"], F.size(doc["feature_importance"])).alias("top_k_importance"),
-            quality("missing_rate"),
-            quality("feature_range_violation"),
-            text("task_type", "tabular_classification"),
-            text("perturbation", "external_payload"),
-            text("representation_class", None),
-            context("conflict_component", "conflict_component"),
-            context("prediction_interval_width", "interval_width"),
-            context("noise_ratio", "signal_noise"),
-            context("occlusion_rate", "image_noise"),
-        )
+    def row(top: Column) -> Column:
+        maps = F.struct(*[F.from_json(F.element_at(top, n), t).alias(n) for n, t in MAP_FIELDS.items()])
+        return let(maps, lambda m: _typed(top, m, schema))
 
-    # Inlining a one-element array of rows parses once and keeps later filters above the parse.
-    parsed = F.transform(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA)), row)
+    if schema not in REQUIRED:
+        raise ValueError(f"unknown schema: {schema}")
+    parsed = F.transform(F.array(F.from_json(F.col(payload), "map<string,string>")), row)
     return df.select("*", F.inline(parsed))
 
 
+def _typed(top: Column, maps: Column, schema: str) -> Column:
+    def quality(name: str) -> Column:
+        return F.coalesce(F.element_at(maps["quality_metrics"], name), F.lit(0.0)).alias(name)
+
+    def context(name: str, alias: str) -> Column:
+        raw = F.element_at(maps["context_values"], name).try_cast("double")
+        return F.round(F.coalesce(raw, F.lit(0.0)), 6).alias(alias)
+
+    def text(name: str, default: str | None) -> Column:
+        raw = F.element_at(maps["context_values"], name)
+        return (F.coalesce(raw, F.lit(default)) if default else raw).alias(name)
+
+    importance = maps["feature_importance"]
+    top_k = F.element_at(top, "top_k_importance").try_cast("int")
+    return F.struct(
+        _errors_of(top, schema).alias("errors"),
+        *[F.element_at(top, n).try_cast(t).alias(n) for n, t in PLAIN_FIELDS.items()],
+        maps["feature_values"].alias("feature_values"),
+        importance.alias("feature_importance"),
+        F.coalesce(top_k, F.size(importance)).alias("top_k_importance"),
+        quality("missing_rate"),
+        quality("feature_range_violation"),
+        text("task_type", "tabular_classification"),
+        text("perturbation", "external_payload"),
+        text("representation_class", None),
+        context("conflict_component", "conflict_component"),
+        context("prediction_interval_width", "interval_width"),
+        context("noise_ratio", "signal_noise"),
+        context("occlusion_rate", "image_noise"),
+    )
+
+
+def flatten_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """One typed row per payload, without the error column."""
+    return parse_payloads(df, payload).drop("errors")
+
+
 def case_errors(df: DataFrame, unit_columns: tuple[str, ...] = (), activations: str | None = None) -> Column:
     """Error codes of a case row: values outside [0,1], missing, NaN or infinite numbers."""
     checks = []
