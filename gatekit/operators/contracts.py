@@ -76,6 +76,7 @@ def split_valid(checked: DataFrame) -> Checked:
     )
 
 
+# Numbers are read as text and cast, so that quoted numbers count as numbers.
 PLAIN_FIELDS = {
     "scenario_id": "string", "source_type": "string", "model_name": "string", "dataset_name": "string",
     "predicted_class": "int", "class_probability": "double",
@@ -84,45 +85,53 @@ MAP_FIELDS = {
     "feature_values": "map<string,double>", "feature_importance": "map<string,double>",
     "quality_metrics": "map<string,double>", "context_values": "map<string,string>",
 }
+PAYLOAD_SCHEMA = ", ".join(
+    [*[f"{n} string" for n in (*PLAIN_FIELDS, "top_k_importance")], *[f"{n} {t}" for n, t in MAP_FIELDS.items()]]
+)
 
 
 def parse_payloads(df: DataFrame, payload: str = "payload", schema: str = "classification") -> DataFrame:
-    """Errors and typed fields of each payload from one parse; quality and context numbers default to 0.
+    """Errors and typed fields of each payload; quality and context numbers default to 0.
 
-    The row is built inside a one-element array that is inlined, so a later filter on the errors
-    stays above the parse and does not repeat it.
+    A payload whose required fields all parse to their types is valid, so only the others pay for
+    the detailed check. The row is built inside a one-element array that is inlined, so a later
+    filter on the errors stays above the parse and does not repeat it.
     """
+    detailed = payload_errors(F.col(payload), schema)
+    parsed = F.from_json(F.col(payload), PAYLOAD_SCHEMA)
+    return df.select("*", F.inline(F.transform(F.array(parsed), lambda doc: _typed(doc, schema, detailed))))
+
+
+def _typed(doc: Column, schema: str, detailed: Column) -> Column:
+    p = doc["class_probability"].try_cast("double")
+    known = (*PLAIN_FIELDS, *MAP_FIELDS)
+    clean = F.lit(all(n in known for n in REQUIRED[schema]))
+    for name in REQUIRED[schema]:
+        if name in known:
+            clean = clean & doc[name].isNotNull()
+    if schema == "classification":
+        clean = clean & F.coalesce(p.between(0.0, 1.0), F.lit(False))
+    for name in OBJECT_FIELDS:
+        clean = clean & doc[name].isNotNull()
 
-    def row(top: Column) -> Column:
-        maps = F.struct(*[F.from_json(F.element_at(top, n), t).alias(n) for n, t in MAP_FIELDS.items()])
-        return let(maps, lambda m: _typed(top, m, schema))
-
-    if schema not in REQUIRED:
-        raise ValueError(f"unknown schema: {schema}")
-    parsed = F.transform(F.array(F.from_json(F.col(payload), "map<string,string>")), row)
-    return df.select("*", F.inline(parsed))
-
-
-def _typed(top: Column, maps: Column, schema: str) -> Column:
     def quality(name: str) -> Column:
-        return F.coalesce(F.element_at(maps["quality_metrics"], name), F.lit(0.0)).alias(name)
+        return F.coalesce(F.element_at(doc["quality_metrics"], name), F.lit(0.0)).alias(name)
 
     def context(name: str, alias: str) -> Column:
-        raw = F.element_at(maps["context_values"], name).try_cast("double")
+        raw = F.element_at(doc["context_values"], name).try_cast("double")
         return F.round(F.coalesce(raw, F.lit(0.0)), 6).alias(alias)
 
     def text(name: str, default: str | None) -> Column:
-        raw = F.element_at(maps["context_values"], name)
+        raw = F.element_at(doc["context_values"], name)
         return (F.coalesce(raw, F.lit(default)) if default else raw).alias(name)
 
-    importance = maps["feature_importance"]
-    top_k = F.element_at(top, "top_k_importance").try_cast("int")
+    importance = doc["feature_importance"]
     return F.struct(
-        _errors_of(top, schema).alias("errors"),
-        *[F.element_at(top, n).try_cast(t).alias(n) for n, t in PLAIN_FIELDS.items()],
-        maps["feature_values"].alias("feature_values"),
+        F.when(clean, F.array().cast("array<string>")).otherwise(detailed).alias("errors"),
+        *[doc[n].try_cast(t).alias(n) for n, t in PLAIN_FIELDS.items()],
+        doc["feature_values"].alias("feature_values"),
         importance.alias("feature_importance"),
-        F.coalesce(top_k, F.size(importance)).alias("top_k_importance"),
+        F.coalesce(doc["top_k_importance"].try_cast("int"), F.size(importance)).alias("top_k_importance"),
         quality("missing_rate"),
         quality("feature_range_violation"),
         text("task_type", "tabular_classification"),

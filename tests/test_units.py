@@ -113,6 +113,21 @@ def test_payload_errors(spark):
     assert "class_probability must be numeric" in errors[3] and "feature_values must be object" in errors[3]
 
 
+def test_parse_agrees_with_the_detailed_check(spark):
+    good = (
+        '{"scenario_id":"s","source_type":"t","model_name":"m","dataset_name":"d","predicted_class":1,"class_probability":%s,'
+        '"feature_values":{"a":1},"feature_importance":%s,"quality_metrics":{"missing_rate":0.2}}'
+    )
+    docs = [good % (p, f) for p in ("0.7", '"0.7"', "1.7", "null", '"x"') for f in ('{"a":0.5}', '{"a":"x"}', "3")] + ["[]", "{"]
+    rows = spark.createDataFrame([(d,) for d in docs], "payload string")
+    parsed = C.parse_payloads(rows).select("payload", "errors", "missing_rate", "class_probability")
+    checked = {r["payload"]: r["errors"] for r in C.validate_payloads(rows).collect()}
+    got = {r["payload"]: r for r in parsed.collect()}
+    assert {k: r["errors"] for k, r in got.items()} == checked
+    assert checked[docs[0]] == [] and checked[docs[3]] == []
+    assert got[docs[3]]["class_probability"] == 0.7 and got[docs[0]]["missing_rate"] == 0.2
+
+
 def test_case_checks(spark):
     rows = spark.createDataFrame([(0.5, 1.0), (1.5, 1.0), (0.5, float("nan")), (None, 2.0)], "p double, x double")
     out = C.split_valid(C.validate_cases(rows, ("p",)))
