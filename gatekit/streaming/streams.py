@@ -77,27 +77,22 @@ def action_rates(scored: DataFrame, ts: str, window: str = "1 day", slide: str |
 
 DRIFT_OUTPUT = "user_id long, shard int, event_id long, ts timestamp, gamma double, rupture boolean, first boolean, event_type string, u double"
 DRIFT_STATE = "ts timestamp, event_id long, event_type string, u double"
-GAMMA_WEIGHTS = {"same": (0.30 + 0.20, 0.15), "trace": 0.10 * 2.0 / 6.0, "rules": 0.25}
 
 
-def event_gamma(u0, type0, u1, type1):
-    """Disagreement of two event explanations, for scalars or pandas columns.
+def _drift_updates(gamma_max: float, idle_ms: int):
+    """State function for one user and shard.
 
-    The risk gap counts in the representation and the uncertainty part, the activation gap depends
-    on whether both fire the same rule, and the trace differs in id and time.
+    Everything it needs is defined inside, so Spark ships it by value and executors need pandas only.
     """
-    same = (type0 == type1) * 1.0
-    a0, a1 = 0.5 + 0.5 * u0, 0.5 + 0.5 * u1
-    activation = same * abs(a0 - a1) + (1.0 - same) * (a0 + a1) / 2.0
-    return (
-        GAMMA_WEIGHTS["same"][0] * abs(u0 - u1)
-        + GAMMA_WEIGHTS["rules"] * (1.0 - same)
-        + GAMMA_WEIGHTS["same"][1] * activation
-        + GAMMA_WEIGHTS["trace"]
-    )
 
+    def event_gamma(u0, type0, u1, type1):
+        # The risk gap counts in the representation and the uncertainty part, the activation gap depends
+        # on whether both fire the same rule, and the trace differs in id and time (2 of 6 fields).
+        same = (type0 == type1) * 1.0
+        a0, a1 = 0.5 + 0.5 * u0, 0.5 + 0.5 * u1
+        activation = same * abs(a0 - a1) + (1.0 - same) * (a0 + a1) / 2.0
+        return (0.30 + 0.20) * abs(u0 - u1) + 0.25 * (1.0 - same) + 0.15 * activation + 0.10 * 2.0 / 6.0
 
-def _drift_updates(gamma_max: float, idle_ms: int):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
