@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def ship_by_value(module: str) -> None:
+    """Send a module's functions with the tasks that use them, so that workers need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
