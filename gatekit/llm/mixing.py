@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, words
+from .common import cut, n_words, words
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -126,7 +126,7 @@ def placed(sized: DataFrame) -> DataFrame:
     totals = rows.groupBy("s", "bucket").agg(F.sum("size").alias("in_bucket"))
     bases = totals.select("s", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("base"))
     running = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return running.join(bases, ["s", "bucket"]).withColumn("off", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
+    return running.join(bases.hint("merge"), ["s", "bucket"]).withColumn("off", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
 
 
 def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -152,13 +152,13 @@ def taken_words(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: in
     output shard that holds some (null if none). A null source is a source of its own; null and empty texts
     have size 0 and give nothing. Rows that repeat a doc_id are placed one after the other.
     """
-    sized = _sized(docs)
+    sized = cut(_sized(docs))
     granted = quotas(source_targets(sized, weights, repeats), block_words)
     times = draw_slots(granted, shard_slots, seed).groupBy("s", "index").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     rows = placed(sized)
     counted = (
         pieces(rows.where("size > 0"), block_words)
-        .join(times, ["s", "index"], "left")
+        .join(times.hint("merge"), ["s", "index"], "left")
         .groupBy("s", "off", "d", "size")
         .agg(F.sum(F.coalesce("times", F.lit(0)) * (F.col("upto") - F.col("from"))).alias("taken"), F.min("shard").alias("first_shard"))
         .select("s", "d", "size", "taken", "first_shard")
