@@ -1 +1,15 @@
-"""Queries that learn models."""
+"""Queries that learn models: toxicity, language, language model."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import table
+from .queries import query
+from .toxicity import toxicity_scores
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
