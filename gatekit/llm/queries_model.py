@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import languages
 from .queries import query
 from .toxicity import toxicity_scores
 
@@ -13,3 +14,8 @@ from .toxicity import toxicity_scores
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
