@@ -86,7 +86,10 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def sketcher(m: int, bands: int, keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Turn batches of `keep` columns and a last column of sets (list<long>) into the same columns and n, p1, p2, keys."""
+    """Turn batches of `keep` columns and a last column of sets (list<long>) into the same columns and n, p1, p2, keys, brief.
+
+    brief is the signature cut to the last byte of each place, eight places to a long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +100,15 @@ def sketcher(m: int, bands: int, keep: int) -> Callable[[Iterator[pa.RecordBatch
                 own = offsets[a : b + 1] - offsets[a]
                 x = values[offsets[a] : offsets[b]]
                 p1, p2 = set_prints(x, own)
-                keys = band_keys(super_minhash(x, np.diff(own), m), bands)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                signatures = super_minhash(x, np.diff(own), m)
+                brief = signatures.astype(np.uint8).view(np.int64)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+                    for values in (band_keys(signatures, bands), brief)
+                ]
                 arrays = [batch.column(i).slice(a, b - a) for i in range(keep)]
-                names = batch.schema.names[:keep] + ["n", "p1", "p2", "keys"]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(own)), pa.array(p1), pa.array(p2), lists], names=names)
+                names = batch.schema.names[:keep] + ["n", "p1", "p2", "keys", "brief"]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(own)), pa.array(p1), pa.array(p2), *lists], names=names)
 
     return run
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import let
 from .common import cut, shingle_hashes
 from .components import connected_components
 from .minhash import sketcher
@@ -16,16 +19,41 @@ BANDS = 32
 
 
 def signed(docs: DataFrame, width: int = WIDTH, places: int = PLACES, bands: int = BANDS) -> DataFrame:
-    """Per row of docs: doc_id, n (shingles), p1 and p2 (prints of the set), keys (of its bands)."""
+    """Per row of docs: doc_id, n (shingles), p1 and p2 (prints of the set), keys (of its bands), brief (a byte per place)."""
     sets = docs.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("set"))
-    return sets.mapInArrow(sketcher(places, bands, 1), "doc_id long, n long, p1 long, p2 long, keys array<long>")
+    return sets.mapInArrow(sketcher(places, bands, 1), "doc_id long, n long, p1 long, p2 long, keys array<long>, brief array<long>")
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(bucket, rep, n, nth): classes that share a band with another, numbered within the bucket."""
-    own = rows.where("doc_id = rep").select("rep", "n", F.explode("keys").alias("bucket")).distinct()
-    shared = own.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
-    return own.join(shared, "bucket").withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("rep", "n")))
+    """(bucket, rep, n, brief, nth): classes that share a band with another, numbered within the bucket.
+
+    Those that meet most others come first: the text that copies were made from meets nearly all of them.
+    """
+    own = rows.where("doc_id = rep").select("rep", "n", "brief", F.explode("keys").alias("bucket")).distinct()
+    sizes = own.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    shared = cut(own.join(sizes.select("bucket", "size"), "bucket"))
+    central = shared.groupBy("rep").agg(F.sum("size").alias("met"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("met"), "rep", "n")
+    return shared.join(central, "rep").select("bucket", "rep", "n", "brief", F.row_number().over(order).alias("nth"))
+
+
+def places_alike(x: Column, y: Column, places: int) -> Column:
+    """In how many places two brief signatures have the same byte."""
+
+    def differing(a: Column, b: Column) -> Column:
+        fold4 = lambda t: t.bitwiseOR(F.shiftrightunsigned(t, 4))
+        fold2 = lambda t: t.bitwiseOR(F.shiftrightunsigned(t, 2))
+        fold1 = lambda t: t.bitwiseOR(F.shiftrightunsigned(t, 1))
+        folded = let(let(let(a.bitwiseXOR(b), fold4), fold2), fold1)
+        return F.bit_count(folded.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return places - F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda acc, d: acc + d)
+
+
+def least_alike(places: int, percent: int) -> int:
+    """Places that a pair at the threshold has alike but for a chance of 2e-4, at the variance of plain MinHash."""
+    p = percent / 100
+    return math.floor(places * p - 3.6 * math.sqrt(places * p * (1 - p)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -37,32 +65,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return measured.where(100 * F.col("shared") >= percent * F.col("all")).select("a", "b").distinct()
 
 
-def _rounds(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame) -> DataFrame:
-    """Links between classes, by rounds of hubs, and the components they make.
+def settle(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame, places: int = PLACES) -> DataFrame:
+    """(node, component) of the classes that links tie, links being those given and all that buckets hold.
 
-    In round t the 2^t next members of each bucket are compared with the members behind them, but only
-    across components: a bucket of copies of one text is settled by its first hub, and nothing is compared twice
-    in a bucket. Rounds go on until every bucket lies in one component or has had each member as a hub, so
-    no pair of a bucket is left out.
+    members: (bucket, rep, n, brief, nth), nth numbering a bucket from 1. In round t the next 4**t members of each
+    bucket are hubs, compared with the members behind them, but only across components: a bucket of
+    copies of one text is settled by its first hubs, and no pair is compared twice in a bucket. Buckets leave once
+    they lie in one component or each member has been a hub, so no pair of a bucket is left out. Pairs whose
+    sizes or brief signatures rule out the threshold are not fetched; the rest is measured on full sets.
     """
-    first, hubs = 1, 1
-    found = links
+    first, hubs, found, groups = 1, 4, links, connected_components(links)
+    live = members.withColumn("component", F.col("rep"))
     while True:
-        groups = connected_components(found)
-        named = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("nth").alias("last"))
-        live = named.join(mixed.where((F.col("low") < F.col("high")) & (F.col("last") > first)).select("bucket"), "bucket")
+        named = live.drop("component").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        named = named.withColumn("component", F.coalesce("component", "rep"))
+        open_ones = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("nth").alias("last"))
+        live = cut(named.join(open_ones.where((F.col("low") < F.col("high")) & (F.col("last") > first)).select("bucket"), "bucket"))
+        if live.isEmpty():
+            return groups
         hub = live.where(F.col("nth").between(first, first + hubs - 1)).select(
-            "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("nth").alias("hub"), F.col("component").alias("ca")
-        )
+            "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("nth").alias("hub"), F.col("component").alias("ca"), F.col("brief").alias("hub_brief")
+        ).withColumnRenamed("bucket", "hub_bucket")
         near = (100 * F.col("na") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("na"))
         apart = (F.col("nth") > F.col("hub")) & (F.col("ca") != F.col("component"))
-        pairs = cut(live.join(hub, "bucket").where(apart & near).select("a", F.col("rep").alias("b")).distinct())
-        if not pairs.isEmpty():
-            found = cut(found.union(verified(pairs, sets, percent)))
-        elif not live.select(F.lit(1)).limit(1).count():
-            return groups
-        first, hubs = first + hubs, hubs * 2
+        alike = places_alike(F.col("brief"), F.col("hub_brief"), places) >= least_alike(places, percent)
+        pairs = live.join(hub, (F.col("bucket") == F.col("hub_bucket")) & apart & near & alike).select("a", F.col("rep").alias("b")).distinct()
+        found = cut(found.union(verified(pairs, sets, percent)))
+        groups = connected_components(found)
+        first, hubs = first + hubs, hubs * 4
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, places: int = PLACES, bands: int = BANDS) -> DataFrame:
@@ -79,7 +109,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     rows = cut(signed(docs, width, places, bands))
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
-    classed = able.join(classes, ["p1", "p2", "n"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
+    classed = able.join(classes, ["p1", "p2", "n"]).select("doc_id", "n", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "brief")])
     classed = cut(classed)
     members = cut(_members(classed))
     wanted = members.select(F.col("rep").alias("node")).distinct()
@@ -87,7 +117,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     sets = cut(texts.select("node", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("set")))
     repeats = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     same = classed.join(repeats, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-    groups = _rounds(members, sets, percent, cut(same))
+    groups = settle(members, sets, percent, cut(same), places)
     per_class = groups.select(F.col("node").alias("rep"), "component")
     linked = classed.select("doc_id", "n", "rep").join(per_class, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
