@@ -75,7 +75,7 @@ def set_prints(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return sums[0], sums[1]
 
 
-def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of sets with about ELEMENTS elements each, one set at least."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -96,7 +96,7 @@ def sketcher(m: int, bands: int, keep: int) -> Callable[[Iterator[pa.RecordBatch
             column = batch.column(keep)
             offsets = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for a, b in _slices(offsets):
+            for a, b in slices(offsets):
                 own = offsets[a : b + 1] - offsets[a]
                 x = values[offsets[a] : offsets[b]]
                 p1, p2 = set_prints(x, own)

@@ -8,6 +8,7 @@ from .common import LOWER, UPPER, table
 from .decontam import PERCENT as LEAK_PERCENT
 from .decontam import leaks
 from .near_dup import PERCENT, near_duplicates
+from .paragraphs import repeated_passages
 from .queries import query
 
 NEAR_SQL = f"""
@@ -60,3 +61,8 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_duplicates", NEAR_SQL)
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_repeated_passages")
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tp")

@@ -149,23 +149,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     return train(values, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), y, counts.get(1, 0) / max(1, counts.get(0, 0)))
 
 
-def _scorer(machine: Machine, keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(machine: Machine, keep: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(keep)
             offsets = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
             scores = machine.score(values, offsets - offsets[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(scores)], names=[*batch.schema.names[:keep], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(scores)], names=[*batch.schema.names[:keep], name])
 
     return run
 
 
-def score(docs: DataFrame, machine: Machine, columns: list[str]) -> DataFrame:
-    """The columns of docs and score, one row per row. Null and empty texts have no terms and get the score of the bias."""
+def score(docs: DataFrame, machine: Machine, columns: list[str], name: str = "score") -> DataFrame:
+    """The columns of docs and a column `name` with the score, one row per row. Null and empty texts have no terms and get the score of the bias."""
     given = docs.select(*[F.col(f"`{c}`") for c in columns], term_hashes(F.col("text")).alias("__terms"))
-    schema = StructType([*given.drop("__terms").schema.fields, StructField("score", DoubleType())])
-    return given.mapInArrow(_scorer(machine, len(columns)), schema)
+    schema = StructType([*given.drop("__terms").schema.fields, StructField(name, DoubleType())])
+    return given.mapInArrow(_scorer(machine, len(columns), name), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
