@@ -29,12 +29,13 @@ def _members(rows: DataFrame) -> DataFrame:
 
     Those that meet most others come first: the text that copies were made from meets nearly all of them.
     """
-    own = rows.where("doc_id = rep").select("rep", "n", "brief", F.explode("keys").alias("bucket")).distinct()
+    first = rows.where("doc_id = rep").select("rep", "p1", "n", "brief", "keys").dropDuplicates(["rep", "p1"])
+    own = first.select("rep", "p1", "n", F.explode("keys").alias("bucket")).distinct()
     sizes = own.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     shared = cut(own.join(sizes.select("bucket", "size"), "bucket"))
     central = shared.groupBy("rep").agg(F.sum("size").alias("met"))
     order = Window.partitionBy("bucket").orderBy(F.desc("met"), "rep", "n")
-    return shared.join(central, "rep").select("bucket", "rep", "n", "brief", F.col("rep").alias("home"), F.row_number().over(order).alias("nth"))
+    return shared.join(central, "rep").join(first.select("rep", "p1", "brief"), ["rep", "p1"]).select("bucket", "rep", "n", "brief", F.col("rep").alias("home"), F.row_number().over(order).alias("nth"))
 
 
 def places_alike(x: Column, y: Column, places: int) -> Column:
@@ -110,7 +111,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     rows = cut(signed(docs, width, places, bands))
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
-    classed = able.join(classes, ["p1", "p2", "n"]).select("doc_id", "n", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "brief")])
+    classed = able.join(classes, ["p1", "p2", "n"]).select("doc_id", "p1", "n", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "brief")])
     classed = cut(classed)
     members = cut(_members(classed))
     wanted = members.select(F.col("rep").alias("node")).distinct()
