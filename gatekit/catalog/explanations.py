@@ -27,9 +27,10 @@ def semantic_disagreement(spark, sf):
     + f"select segment, count(*)::bigint as n, round(avg({S.clip('0.27e0 * g_repr + 0.225e0 * g_rules + 0.135e0 * g_act + 0.18e0 * abs(ul - ur) + 0.09e0 * g_trace + 0.1e0 * least(1e0, delta_r)')}), 6) as mean_gamma from pairs group by segment",
 )
 def disagreement_with_reduction(spark, sf):
-    from ..plans.plan import GatePlan
+    from ..plans.plan import BETA
 
-    beta = GatePlan().with_reduction_weight(0.10).beta
+    # The reduction term takes a tenth, the other terms share the rest as before.
+    beta = {term: 0.90 * weight for term, weight in BETA.items()} | {"reduction": 0.10}
     scored = X.disagreement(_pairs(spark, sf), beta).select("case_id", "gamma")
     seg = V.cases(spark, sf).select("case_id", "segment")
     return scored.join(seg, "case_id").groupBy("segment").agg(F.count("*").alias("n"), r6(F.avg("gamma")).alias("mean_gamma"))

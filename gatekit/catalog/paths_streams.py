@@ -131,6 +131,22 @@ def _with_flags(events):
     return events.withColumn("crit", (F.col("event_type") == "error") & (F.col("value") >= 60))
 
 
+def run_to_end(df, name: str):
+    """Run an aggregating stream over what is there in complete mode: every group comes out, closed or not.
+
+    Each trigger replaces the table of the one before, so what stays is the state at the end of the input.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    run = f"{name}-{uuid.uuid4().hex}"
+    root = ST.checkpoint_root(spark)
+    path = f"{root}/out-{run}"
+    stream = df.writeStream.queryName(run).outputMode("complete").option("checkpointLocation", f"{root}/{run}").trigger(availableNow=True)
+    stream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_to_table(df, name: str):
     """Run a stream over what is there into parquet under the checkpoint folder, and read it back."""
     import uuid
@@ -177,11 +193,11 @@ def action_rates(spark, sf):
     return _rates(ST.action_rates(rows, "ts"))
 
 
-@query("action_rates_stream")
+@query("action_rates_stream", _RATES)
 def action_rates_stream(spark, sf):
-    """Windows the watermark has closed; the last one stays open."""
+    """All windows up to the end of the input, those still open too."""
     out = ST.action_rates(_gated(_with_flags(_stream(spark, sf))), "ts")
-    return _rates(run_to_table(out, "rates"))
+    return _rates(run_to_end(out, "rates"))
 
 
 @query(
@@ -214,13 +230,17 @@ def _session_out(df):
     )
 
 
-@query("session_paths", S.ctes(_SESSIONS.split("select user_id, strftime")[0].rstrip()) + "select user_id, strftime" + _SESSIONS.split("select user_id, strftime")[1])
+_SESSION_SQL = S.ctes(_SESSIONS.split("select user_id, strftime")[0].rstrip()) + "select user_id, strftime" + _SESSIONS.split("select user_id, strftime")[1]
+
+
+@query("session_paths", _SESSION_SQL)
 def session_paths(spark, sf):
     """Batch twin of the session stream."""
     return _session_out(ST.session_paths(_session_edges(V.table(spark, sf, "events")), "user_id", "ts", gamma_max=0.2, order=("event_id",)))
 
 
-@query("session_paths_stream")
+@query("session_paths_stream", _SESSION_SQL)
 def session_paths_stream(spark, sf):
+    """All sessions up to the end of the input, those still open too."""
     out = ST.session_paths(_session_edges(_stream(spark, sf)), "user_id", "ts", gamma_max=0.2, order=("event_id",))
-    return _session_out(run_to_table(out, "sessions"))
+    return _session_out(run_to_end(out, "sessions"))

@@ -22,19 +22,34 @@ def read_table(spark, sf):
     return df.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r6(F.sum("l_quantity")).alias("quantity"))
 
 
-@query("guess_target", "select 'label' as guess, count(*)::bigint as n_rows from embeddings")
+def _last_sql(name: str, source: str, column: str) -> str:
+    few = f"count(distinct {column}) <= greatest(20, floor(0.05e0 * count(*)))"
+    return f"select '{name}' as name, case when {few} then '{column}' end as guess, count(*)::bigint as n_rows from {source}"
+
+
+@query(
+    "guess_target",
+    "select 'by name' as name, 'label' as guess, count(*)::bigint as n_rows from embeddings union all "
+    + _last_sql("few values", "lineitem", "l_linestatus") + " union all " + _last_sql("many values", "orders", "o_orderkey"),
+)
 def guess_target(spark, sf):
-    # embeddings ends in a column named label; the guess is attached to a pass over the table.
-    df = V.table(spark, sf, "embeddings")
-    name = P.guess_target(df)
-    return df.agg(F.first(F.lit(name)).alias("guess"), F.count("*").alias("n_rows"))
+    tables = {
+        "by name": V.table(spark, sf, "embeddings"),
+        "few values": V.table(spark, sf, "lineitem").select("l_orderkey", "l_tax", "l_linestatus"),
+        "many values": V.table(spark, sf, "orders").select("o_orderstatus", "o_orderkey"),
+    }
+    rows = [
+        df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), F.lit(P.guess_target(df)).cast("string").alias("guess"), "n_rows")
+        for name, df in tables.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 _PAYLOAD_ERRORS = S.ctes(S.CASES) + """
 select case_id, concat_ws(';',
-    case when line = 7 then 'missing field: model_name' end,
-    case when (case when tax >= 0.08 then p + 1e0 else p end) > 1 then 'class_probability must be in [0,1]' end,
-    case when line = 6 then 'feature_values must be object' end) as errors
+    case when line = 7 then 'model_name:missing' end,
+    case when (case when tax >= 0.08 then p + 1e0 else p end) > 1 then 'class_probability:not_unit' end,
+    case when line = 6 then 'feature_values:not_object' end) as errors
 from cases"""
 
 
@@ -262,9 +277,8 @@ def apply_terms(spark, sf):
 
 @query(
     "categorical_levels",
-    """select 'priority' as "column", string_agg(v, ';' order by v) as "values" from (select distinct o_orderpriority as v from orders)
-    union all select 'status', string_agg(v, ';' order by v) from (select distinct o_orderstatus as v from orders)""",
+    """select distinct 'priority' as "column", o_orderpriority as value from orders union all select distinct 'customer', o_custkey::varchar from orders""",
 )
 def categorical_levels(spark, sf):
-    orders = V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
-    return P.categorical_levels(orders, ["priority", "status"]).select("column", F.array_join("values", ";").alias("values"))
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))
+    return P.categorical_levels(orders, ["priority", "customer"])

@@ -156,7 +156,7 @@ def tabular_explanation(spark, sf):
 
 @query(
     "text_explanation",
-    f"""with t as (select d.doc_id, text, {S.clip('0.2e0 + 0.5e0 * toxic + n_chars / 100000')} as p from documents d join labels l on d.doc_id = l.doc_id),
+    f"""with t as (select d.doc_id, text, {S.clip('0.2e0 + 0.5e0 * coalesce(toxic, 0) + n_chars / 100000')} as p from documents d left join labels l on d.doc_id = l.doc_id),
 w as (select *, (contains(lower(text), 'critical') or contains(lower(text), 'sepsis') or contains(lower(text), 'hemorrhage') or contains(lower(text), 'cancer') or contains(lower(text), 'acute'))
     and (contains(lower(text), 'stable') or contains(lower(text), 'negative') or contains(lower(text), 'normal') or contains(lower(text), 'no signs')) as conflict from t)
 select doc_id, conflict, round({S.clip(_SOURCE_U + " * 0.8e0 + 0.2e0 * conflict::int")}, 6) as u from w""",

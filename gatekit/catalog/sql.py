@@ -19,7 +19,7 @@ def r6(x: str) -> str:
 
 def uniform(seed, *keys: str) -> str:
     joined = " || '|' || ".join([f"'{seed}'", *[f"({k})::varchar" for k in keys]])
-    return f"(('0x' || substr(md5({joined}), 1, 8))::bigint / 4294967296e0)"
+    return f"(('0x' || substr(md5({joined}), 1, 13))::bigint / 4503599627370496e0)"
 
 
 def poisson(u: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..operators import prepare as P
 from ..operators import sweeps as W
-from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, normalize_weights
+from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, risk_shares
 from ..sources import views as V
 from . import sql as S
 from .registry import query
@@ -117,7 +117,7 @@ def threshold_sweep(spark, sf):
 
 
 _WS_CONFIGS = [("w_diagnostic", w, 0.65, W._reweighted(RISK_WEIGHTS, w)) for w in W.SHARES_W] + [
-    ("theta_high", t, t, normalize_weights(RISK_WEIGHTS)) for t in W.THETAS_HIGH
+    ("theta_high", t, t, risk_shares(RISK_WEIGHTS)) for t in W.THETAS_HIGH
 ]
 _WS_VALUES = ", ".join(
     f"('{k}', {S.num(s)}, {S.num(t)}, " + ", ".join(S.num(w[n]) for n in RISK_TERMS) + ")" for k, s, t, w in _WS_CONFIGS
@@ -153,7 +153,7 @@ def noise_sensitivity(spark, sf):
 
 # --- calibration -------------------------------------------------------------------------------
 
-_WG = [normalize_weights(w) for w in W.WEIGHT_GRID]
+_WG = [risk_shares(w) for w in W.WEIGHT_GRID]
 _GRID_SQL = (
     "(values " + ", ".join(f"({i}, " + ", ".join(S.num(w[n]) for n in RISK_TERMS) + ")" for i, w in enumerate(_WG)) + ") w(wi, w1, w2, w3, w4, w5), "
     "(values " + ", ".join(f"({i}, " + ", ".join(S.num(x) for x in t) + ")" for i, t in enumerate(W.LADDER_GRID)) + ") t(ti, t1, t2, t3, t4), "

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.plan import RISK_TERMS, GatePolicy, normalize_weights
+from ..plans.plan import RISK_TERMS, GatePolicy, risk_shares
 from .numeric import clip01
 
 
@@ -31,7 +31,7 @@ def application_risk(p, u, interpretability, loss, diagnostic, weights: Mapping[
                 "reduction_loss": clip01(loss),
                 "diagnostic": diagnostic.cast("double"),
             },
-            normalize_weights(weights),
+            risk_shares(weights),
         )
     )
 

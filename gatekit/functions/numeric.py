@@ -61,13 +61,13 @@ def config_array(rows: list[dict]) -> Column:
 
 
 def hash_uniform(seed, *keys: Column) -> Column:
-    """Uniform draw in [0,1) from md5, the same for the same seed and keys on every run."""
+    """Uniform draw in [0,1) from 52 bits of md5, the same for the same seed and keys on every run."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
-def poisson1_steps(top: int = 10) -> list[float]:
-    """Cumulative probabilities of Poisson(1) for 0..top-1."""
+def poisson1_steps(top: int = 18) -> list[float]:
+    """Cumulative probabilities of Poisson(1) for 0..top-1; the rest is below the step of a draw."""
     steps, acc = [], 0.0
     for k in range(top):
         acc += math.exp(-1) / math.factorial(k)
@@ -91,12 +91,15 @@ def poisson1(u: Column) -> Column:
 def order_bucket(v: Column) -> Column:
     """Map doubles to integer buckets that keep their order (about 1024 per power of two).
 
-    Used to split global orderings: sort inside buckets, add up bucket totals. Null goes to bucket 0;
+    Used to split global orderings: sort inside buckets, add up bucket totals. Infinities have the outermost buckets,
+    null goes to bucket 0;
     a key that cannot be null keeps Spark from pushing a null test on it, and with it the whole
     derivation of v, down to the scan.
     """
     a = F.abs(v)
     e = F.floor(F.log2(a))
     key = (e + 1100) * 4096 + F.floor(a / F.pow(F.lit(2.0), e.cast("double")) * 1024)
+    infinite = a == F.lit(float("inf"))
+    key = F.when(infinite, F.lit(2**40)).otherwise(key)
     signed = F.when(v == 0, F.lit(0).cast("long")).when(v > 0, key.cast("long")).otherwise(-key.cast("long"))
     return F.coalesce(signed, F.lit(0).cast("long"))

@@ -126,12 +126,6 @@ def chain_activations(stages: DataFrame, case: str = "case_id") -> DataFrame:
     )
 
 
-def _map_literal(pairs: Mapping[str, str]) -> Column:
-    if not pairs:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
 def align_candidates(pairs: DataFrame, candidates: Sequence[Mapping], lam: float = 0.2, gamma_max: float = 0.4) -> DataFrame:
     """Cheapest admissible alignment of each pair out of a finite candidate list.
 

@@ -30,36 +30,53 @@ REQUIRED = {
 }
 OBJECT_FIELDS = ("feature_values", "feature_importance", "quality_metrics")
 
+
 class Checked(NamedTuple):
     valid: DataFrame
     quarantine: DataFrame
 
 
-def _errors_of(top: Column, schema: str) -> Column:
-    """Error strings for a payload that is parsed to a map of its top-level fields."""
+class Rule(NamedTuple):
+    """A field of a payload type, what its JSON must be (any, number, unit, object, array), and the code of a breach."""
+
+    field: str
+    kind: str
+    code: str
 
-    def present(name: str) -> Column:
-        return F.map_contains_key(top, name)
 
-    found = [F.when(~present(name), F.lit(f"missing field: {name}")) for name in REQUIRED[schema]]
+def rules_of(schema: str) -> list[Rule]:
+    """The declared rules of a payload type: one per required field, then one per typed field."""
+    typed = {name: "object" for name in OBJECT_FIELDS}
     if schema == "classification":
-        p = F.element_at(top, "class_probability").try_cast("double")
-        wrong = F.when(p.isNull(), "class_probability must be numeric").when(
-            ~p.between(0.0, 1.0), "class_probability must be in [0,1]"
-        )
-        found.append(F.when(present("class_probability"), wrong))
-    for name in OBJECT_FIELDS:
-        is_object = F.coalesce(F.ltrim(F.element_at(top, name)).startswith("{"), F.lit(False))
-        found.append(F.when(present(name) & ~is_object, F.lit(f"{name} must be object")))
+        typed["class_probability"] = "unit"
     if schema in ("route", "operator_trace"):
-        is_array = F.coalesce(F.ltrim(F.element_at(top, "nodes")).startswith("["), F.lit(False))
-        found.append(F.when(present("nodes") & ~is_array, F.lit("nodes must be array")))
-    not_object = F.array(F.lit("JSON root must be object"))
-    return F.when(top.isNull(), not_object).otherwise(F.array_compact(F.array(*found)))
+        typed["nodes"] = "array"
+    wanted = [Rule(name, "any", f"{name}:missing") for name in REQUIRED[schema]]
+    return wanted + [Rule(name, kind, f"{name}:not_{kind}") for name, kind in sorted(typed.items())]
+
+
+def _breach(raw: Column, there: Column, rule: Rule) -> Column:
+    """The code of the rule where the raw JSON text of its field breaks it, else null."""
+    number = raw.try_cast("double")
+    holds = {
+        "any": there,
+        "number": number.isNotNull(),
+        "unit": number.between(0.0, 1.0),
+        "object": F.startswith(F.ltrim(raw), F.lit("{")),
+        "array": F.startswith(F.ltrim(raw), F.lit("[")),
+    }[rule.kind]
+    asked = F.lit(True) if rule.kind == "any" else there
+    return F.when(asked & ~F.coalesce(holds, F.lit(False)), F.lit(rule.code))
+
+
+def _errors_of(top: Column, schema: str) -> Column:
+    """Codes of the broken rules of a payload that is parsed to a map of its top-level fields."""
+    codes = [_breach(F.element_at(top, r.field), F.map_contains_key(top, r.field), r) for r in rules_of(schema)]
+    return F.when(top.isNull(), F.array(F.lit("root:not_object"))).otherwise(F.array_compact(F.array(*codes)))
 
 
 def payload_errors(payload: Column, schema: str) -> Column:
-    """Array of error strings for a JSON payload, empty when it is valid. Parses the payload once."""
+    """Array of error codes for a JSON payload, empty when it is valid. Parses the payload once."""
     if schema not in REQUIRED:
         raise ValueError(f"unknown schema: {schema}")
     return let(F.from_json(payload, "map<string,string>"), lambda top: _errors_of(top, schema))

@@ -369,9 +369,3 @@ def decision_text(action: Column, rho: Column, gamma: Column, delta: Column) ->
         return F.concat(F.lit(f"{name} "), _two(value), F.lit(" is "), size, F.lit("."))
 
     return F.concat_ws(" ", by_action, band(gamma, "Uncertainty"), band(delta, "Loss of detail"))
-
-
-def conflict_action(df: DataFrame, crit: Column, p: str = "p") -> DataFrame:
-    """Action from the conflict-aware risk with a given critical flag."""
-    rho = conflict_rho(F.col(p), F.col("u_m"), F.col("chi"))
-    return df.withColumn("action", G.zone_ladder(rho, G.CONFLICT_THETAS, crit))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,25 +16,40 @@ from .observe import observe
 
 
 def fit_risk_model(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest", seed: int = 42, trees: int = 120, depth: int = 6):
-    """Fit a random forest or a logistic regression; training is distributed by Spark ML."""
+    """Fit a random forest or a logistic regression; training is distributed by Spark ML.
+
+    Nulls and NaN are filled with the medians of the training part, so every row is learned from and scored.
+    """
     if kind == "random_forest":
         model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     elif kind == "logistic_regression":
-        model = LogisticRegression(labelCol=label, featuresCol="features", maxIter=200)
+        model = LogisticRegression(labelCol=label, featuresCol="features", maxIter=2000)
     else:
         raise ValueError(f"unknown model {kind!r}")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    return assembler, model.fit(assembler.transform(train.withColumn(label, F.col(label).cast("double"))))
+    filled = [f"_{c}_filled" for c in features]
+    rows = _as_doubles(train, features).withColumn(label, F.col(label).cast("double"))
+    prepare = Pipeline(
+        stages=[
+            Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+            VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="error"),
+        ]
+    ).fit(rows)
+    return prepare, model.fit(prepare.transform(rows))
+
+
+def _as_doubles(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in features})
 
 
 def score_risk_model(fitted, df: DataFrame, positive: int = 1) -> DataFrame:
     """Add proba, p and y_pred columns."""
-    assembler, model = fitted
-    scored = model.transform(assembler.transform(df)).withColumn("proba", vector_to_array("probability"))
+    prepare, model = fitted
+    features = prepare.stages[0].getInputCols()
+    scored = model.transform(prepare.transform(_as_doubles(df, features))).withColumn("proba", vector_to_array("probability"))
     return (
         scored.withColumn("p", F.get("proba", F.lit(positive)))
         .withColumn("y_pred", F.col("prediction").cast("int"))
-        .drop("features", "rawPrediction", "probability", "prediction")
+        .drop("features", "rawPrediction", "probability", "prediction", *prepare.stages[0].getOutputCols())
     )
 
 

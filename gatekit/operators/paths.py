@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,11 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], payl
     carry = tails.select(
         *keys, "_bucket", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
-    joined = marked.join(carry, [*keys, "_bucket"])
+    # Null keys and buckets are keys like others.
+    names = [*keys, "_bucket"]
+    ends = carry.select(*[F.col(c).alias(f"_of_{c}") for c in names], "_carry")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names]
+    joined = marked.join(ends, reduce(lambda a, b: a & b, same)).drop(*[f"_of_{c}" for c in names])
     return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
         "_bucket", "_payload", "_lag", "_first", "_carry"
     )

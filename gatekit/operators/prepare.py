@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -29,8 +31,10 @@ def guess_target(df: DataFrame) -> str | None:
     if not df.columns:
         return None
     last = df.columns[-1]
-    row = df.agg(F.countDistinct(F.col(f"`{last}`")).alias("d"), F.count("*").alias("n")).first()
-    return last if row["n"] and row["d"] <= max(20, int(0.05 * row["n"])) else None
+    # The distinct values are counted only up to the limit, so a column of unique values is not shuffled for nothing.
+    few = max(20, int(0.05 * (n := df.count())))
+    seen = df.select(F.col(f"`{last}`").alias("v")).where(F.col("v").isNotNull()).distinct().limit(few + 1).count()
+    return last if n and seen <= few else None
 
 
 def has_interval_pairs(columns: Sequence[str]) -> bool:
@@ -118,40 +122,46 @@ def impute(df: DataFrame) -> DataFrame:
     return filled.select(*cols)
 
 
-def levels_of(df: DataFrame, column: str, limit: int = 200) -> list:
-    """Sorted distinct values of a column that is about to become columns; fails above the limit."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} levels")
-    return sorted(r[0] for r in rows)
+def levels_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column that is about to become columns, which the driver has to name."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], dummy_na: bool = False, levels: dict[str, list] | None = None) -> DataFrame:
-    """Replace text columns by 0/1 columns, one per level. Pass levels to avoid the discovery jobs."""
+    """Replace text columns by 0/1 columns, one per level. Pass levels to avoid the discovery jobs.
+
+    A column per level suits a few hundred levels; `one_hot_vector` has no such bound.
+    """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     dummies = []
     for c in columns:
-        for value in (levels or {}).get(c) or levels_of(df, c):
+        for value in levels[c] if levels and c in levels else levels_of(df, c):
             dummies.append(F.coalesce((F.col(c) == value).cast("int"), F.lit(0)).alias(f"{c}_{value}"))
         if dummy_na:
             dummies.append(F.col(c).isNull().cast("int").alias(f"{c}_nan"))
     return df.select(*kept, *dummies)
 
 
-def encode_label(df: DataFrame, column: str, out: str = "label_code", limit: int = 1000) -> DataFrame:
-    """Label position in the sorted distinct labels, from 0. Labels come by scalar subquery.
+def one_hot_vector(df: DataFrame, column: str, out: str) -> DataFrame:
+    """A sparse 0/1 vector with one place per level, for columns of many levels; null has no place."""
+    indexed = f"_{column}_level"
+    steps = Pipeline(
+        stages=[
+            StringIndexer(inputCol=column, outputCol=indexed, stringOrderType="alphabetAsc", handleInvalid="keep"),
+            OneHotEncoder(inputCol=indexed, outputCol=out, dropLast=True),
+        ]
+    )
+    return steps.fit(df).transform(df).drop(indexed)
+
 
-    The distinct step runs before the labels are collected, so the array holds one entry per class.
+def encode_label(df: DataFrame, column: str, out: str = "label_code") -> DataFrame:
+    """Label position in the sorted distinct labels, from 0; null for null.
+
+    Only the distinct labels are put in order, one row each; rows meet their code in an equi-join.
     """
-    labels = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1)
-    ordered = labels.agg(F.array_sort(F.collect_list("v")).alias("labels"))
-    checked = ordered.select(
-        F.when(F.size("labels") > limit, F.raise_error(F.lit(f"{column} has more than {limit} classes")).cast("string"))
-        .isNull()
-        .alias("ok"),
-        "labels",
-    ).select(F.when(F.col("ok"), F.col("labels")).alias("labels"))
-    return df.withColumn(out, (F.array_position(checked.scalar(), F.col(column)) - 1).cast("long"))
+    labels = df.select(F.col(column).alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    codes = labels.withColumn(out, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_label")) - 1).cast("long"))
+    return df.join(codes, F.col(column) == F.col("_label"), "left").drop("_label")
 
 
 def binarize_at_median(df: DataFrame, column: str, out: str = "risk_target") -> DataFrame:
@@ -159,28 +169,22 @@ def binarize_at_median(df: DataFrame, column: str, out: str = "risk_target") ->
     return df.withColumn(out, (F.col(column) >= median).cast("int"))
 
 
-def stratified_split(df: DataFrame, label: str, case_id: Sequence[str], seed: int = 42, test: float = 0.25, validation: float = 0.25) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, case_id: Sequence[str], seed: int = 42, test: float = 0.25, validation: float = 0.25, stratify: bool = True) -> DataFrame:
     """Repeatable train / validation / test split with exact shares per class.
 
     Each row gets a hash draw; per class the draw at the wanted ranks is found once and
-    rows are compared with it, so full rows are never shuffled. Strata are used only when
-    there are at most 20 classes of two or more rows each, as one check decides.
+    rows are compared with it, so full rows are never shuffled. stratify=False takes the shares of
+    the whole table instead.
     """
     drawn = df.withColumn("_u", hash_uniform(seed, *[F.col(c) for c in case_id]))
-    classes = df.groupBy(label).agg(F.count("*").alias("n"))
-    stratify = classes.agg(((F.count("*") <= 20) & (F.min("n") >= 2)).alias("s")).scalar()
     shares = (test, test + (1 - test) * validation)
-    labelled = drawn.select(
-        F.when(stratify, F.coalesce(F.col(label).cast("string"), F.lit(""))).otherwise(F.lit("*")).alias("stratum"), "_u"
-    )
+    stratum = F.coalesce(F.col(label).cast("string"), F.lit("")) if stratify else F.lit("*")
+    labelled = drawn.select(stratum.alias("stratum"), "_u")
     cuts = cut_points(labelled, "_u", shares, keys=["stratum"])
     by_class = cuts.agg(
         F.map_from_entries(F.collect_list(F.struct("stratum", F.struct("cut_0", "cut_1"))))
     ).scalar()
-    own = F.coalesce(
-        F.element_at(by_class, F.coalesce(F.col(label).cast("string"), F.lit(""))), F.element_at(by_class, F.lit("*"))
-    )
-    with_cut = drawn.withColumn("_cut", own)
+    with_cut = drawn.withColumn("_cut", F.element_at(by_class, stratum))
     return with_cut.withColumn(
         "split",
         F.when(F.col("_u") < F.col("_cut")["cut_0"], "test")
@@ -309,11 +313,11 @@ def apply_terms(df: DataFrame, terms: DataFrame, columns: Sequence[str]) -> Data
     return out.select(*df.columns, *cols)
 
 
-def categorical_levels(df: DataFrame, columns: Sequence[str], keep: int = 20) -> DataFrame:
-    """The vocabulary of a text column: its first 20 distinct values in sorted order."""
+def categorical_levels(df: DataFrame, columns: Sequence[str], keep: int | None = None) -> DataFrame:
+    """The vocabulary of text columns, one row per column and distinct value; with keep, the first so many in sorted order."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     distinct = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-    from pyspark.sql import Window
-
+    if keep is None:
+        return distinct
     ranked = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-    return ranked.where(F.col("_r") <= keep).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return ranked.where(F.col("_r") <= keep).drop("_r")

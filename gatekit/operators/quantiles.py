@@ -96,7 +96,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Se
         *keys,
         "n_values",
         *[
-            (
+            F.when(F.col(f"lo_{name}") == F.col(f"hi_{name}"), F.col(f"lo_{name}")).otherwise(
                 F.col(f"lo_{name}")
                 + (F.col(f"hi_{name}") - F.col(f"lo_{name}"))
                 * (_rank(q, F.col("n_values")) - F.floor(_rank(q, F.col("n_values"))))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gates as G
 from ..functions.numeric import clip01, config_array, double_array, hash_uniform
-from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, GatePolicy, normalize_weights
+from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, GatePolicy, risk_shares
 from .attributions import AUTO_HIGH, AUTO_LOW, conflict_rho
 from .decisions import long_actions
 from .metrics import conflict_counts, is_auto, objective, objective_metrics, policy_metrics, recall_or_one, share
@@ -206,7 +206,7 @@ def _reweighted(weights: Mapping[str, float], w_diag: float) -> dict[str, float]
 def weight_sensitivity(cases: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS) -> DataFrame:
     """Accuracy against expected_action and block rate as the diagnostic weight or theta_high moves."""
     configs = [{"kind": "w_diagnostic", "setting": w, "theta_high": 0.65, **_prefixed(_reweighted(weights, w))} for w in SHARES_W]
-    configs += [{"kind": "theta_high", "setting": t, "theta_high": t, **_prefixed(normalize_weights(weights))} for t in THETAS_HIGH]
+    configs += [{"kind": "theta_high", "setting": t, "theta_high": t, **_prefixed(risk_shares(weights))} for t in THETAS_HIGH]
     rows = cases.select(
         "p", "u", "interpretability", "reduction_loss", "chi_r", "expected_action", F.inline(config_array(configs))
     )
@@ -278,7 +278,7 @@ def gate_signatures(cases: DataFrame, weight_grid=WEIGHT_GRID, gamma_grid=GAMMA_
     The result has a bounded number of rows whatever the number of cases.
     """
     configs = [
-        {"w": i, "g": j, "gamma_max": g, **_prefixed(normalize_weights(w))}
+        {"w": i, "g": j, "gamma_max": g, **_prefixed(risk_shares(w))}
         for i, w in enumerate(weight_grid)
         for j, g in enumerate(gamma_grid)
     ]

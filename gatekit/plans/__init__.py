@@ -1,3 +1,3 @@
-from .plan import CANDIDATES, Candidate, GatePlan, GatePolicy, normalize_weights
+from .plan import CANDIDATES, Candidate, GatePlan, GatePolicy, risk_shares
 
-__all__ = ["CANDIDATES", "Candidate", "GatePlan", "GatePolicy", "normalize_weights"]
+__all__ = ["CANDIDATES", "Candidate", "GatePlan", "GatePolicy", "risk_shares"]

@@ -21,6 +21,9 @@ def infer_format(path: str) -> str:
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None, **options) -> DataFrame:
     """Read a csv, json or parquet table and drop parser artifacts.
 
+    JSON is line-delimited and splits over tasks; files that hold one array each need multiLine=True. Lines
+    that are no object of the schema fail the job unless another mode is passed.
+
     Pass a schema for csv and json at scale: without one Spark scans the data to infer it.
     """
     fmt = fmt or infer_format(path)
@@ -32,8 +35,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: S
         if schema is None:
             options.setdefault("inferSchema", True)
     if fmt == "json":
-        # One JSON array per file is the usual pandas layout; line-delimited input passes multiLine=False.
-        options.setdefault("multiLine", True)
+        options.setdefault("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     return drop_empty_artifacts(reader.options(**options).load(path))

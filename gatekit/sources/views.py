@@ -290,8 +290,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with a risk from the toxic label and the text length."""
+    """All documents with a risk from the toxic label, taken as 0 where there is none, and the text length."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     labels = table(spark, sf_dir, "labels")
-    risk = clip01(0.2 + 0.5 * F.col("toxic") + F.col("n_chars") / 100000)
-    return d.join(labels, "doc_id").select("doc_id", "text", "lang", "toxic", risk.alias("p"))
+    risk = clip01(0.2 + 0.5 * F.coalesce("toxic", F.lit(0)) + F.col("n_chars") / 100000)
+    return d.join(labels, "doc_id", "left").select("doc_id", "text", "lang", "toxic", risk.alias("p"))

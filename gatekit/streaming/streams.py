@@ -6,7 +6,7 @@ Sinks, triggers and checkpoint locations belong to the caller, see `write_stream
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -19,9 +19,17 @@ from ..plans.plan import ACTIONS
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Checkpoints and the tables that streams write must be seen by all executors, so a session on a cluster
+    without one is refused; a session in one process takes a folder in its warehouse.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", "")
-    return configured or tempfile.mkdtemp(prefix="gatekit-checkpoint-")
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
 
 
 def write_stream(df: DataFrame, name: str, sink: str, path: str | None = None, mode: str = "append", once: bool = True):
@@ -98,7 +106,7 @@ def _drift_updates(gamma_max: float, idle_ms: int):
             state.remove()
             return
         last = state.get if state.exists else None
-        # Batches arrive in pieces; within a trigger the rows of a key are put in event order.
+        # Batches arrive in pieces; within a trigger the rows of a user and shard are put in event order.
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
         prev = rows[["event_type", "u"]].shift(1)
         has_prev = pd.Series(True, index=rows.index)

@@ -12,7 +12,7 @@ from gatekit.operators import paths as P
 from gatekit.operators import prepare as PR
 from gatekit.operators import quantiles as Q
 from gatekit.operators import sweeps as W
-from gatekit.plans.plan import ACTIONS, RISK_TERMS, normalize_weights
+from gatekit.plans.plan import ACTIONS, RISK_TERMS, risk_shares
 
 
 def uniform_rows(spark, n, *names, seed=1):
@@ -118,7 +118,7 @@ def test_signature_sweep_equals_direct_evaluation(spark):
     assert len(swept) == 972
     w, t, g, i, d, m = 2, 1, 0, 2, 1, 0
     cid = ((((w * 3 + t) * 3 + g) * 3 + i) * 3 + d) * 3 + m
-    weights = normalize_weights(W.WEIGHT_GRID[w])
+    weights = risk_shares(W.WEIGHT_GRID[w])
     gap = F.abs(F.col("p") - F.col("interpretability"))
     rup = F.col("chi_r") | (gap > W.GAMMA_GRID[g])
     crit = F.col("chi_r_crit") | (gap > W.GAMMA_GRID[g] + 0.10)

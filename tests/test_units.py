@@ -14,7 +14,7 @@ from gatekit.operators import metrics as M
 from gatekit.operators import prepare as P
 from gatekit.operators import rules as RU
 from gatekit.operators import stats as ST
-from gatekit.plans import GatePlan, normalize_weights
+from gatekit.plans.plan import RISK_TERMS, risk_shares
 
 
 def value(spark, col):
@@ -108,9 +108,9 @@ def test_payload_errors(spark):
     docs = ['{"scenario_id": 1}', "[1]", "not json", '{"class_probability": "x", "feature_values": 3}']
     rows = spark.createDataFrame([(d,) for d in docs], "payload string")
     errors = [r["errors"] for r in C.validate_payloads(rows).collect()]
-    assert "missing field: model_name" in errors[0] and "missing field: scenario_id" not in errors[0]
-    assert errors[1] == ["JSON root must be object"]
-    assert "class_probability must be numeric" in errors[3] and "feature_values must be object" in errors[3]
+    assert "model_name:missing" in errors[0] and "scenario_id:missing" not in errors[0]
+    assert errors[1] == ["root:not_object"]
+    assert "class_probability:not_unit" in errors[3] and "feature_values:not_object" in errors[3]
 
 
 def test_parse_agrees_with_the_detailed_check(spark):
@@ -164,12 +164,10 @@ def test_topk_breaks_ties_by_position(spark):
     assert [(t["feature"], t["sign"]) for t in top] == [(3, 1.0), (0, 1.0), (1, -1.0)]
 
 
-def test_plan_validation():
-    assert GatePlan.from_json(GatePlan().to_json()) == GatePlan()
-    assert sum(GatePlan().with_reduction_weight(0.1).beta.values()) == pytest.approx(1.0)
-    with pytest.raises(ValueError):
-        GatePlan(beta={"repr": 0.5}).validate()
-    assert normalize_weights({"diagnostic": -1.0})["diagnostic"] == 0.0
+def test_risk_shares():
+    assert risk_shares({"diagnostic": -1.0})["diagnostic"] == 0.0
+    assert sum(risk_shares({"uncertainty": 3.0}).values()) == pytest.approx(1.0)
+    assert risk_shares(dict.fromkeys(RISK_TERMS, 0.0)) == risk_shares()
 
 
 def test_tamper_check(spark):
