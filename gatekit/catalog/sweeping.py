@@ -213,15 +213,20 @@ _OW = W.OBJECTIVE_WEIGHTS
 _MAN = [S.num(W.MANUAL[w]) for w in _OW]
 _FIXED = sum(v for k, v in W.MANUAL.items() if k != "w_r")
 _RAW = {w: f"(-ln(1e0 - {_draw(w)}))" for w in _OW}
+_GRID_RAW = {w: f"(-ln(1e0 - {_draw(f'grid_{w}')}))" for w in _OW}
 _CANDS = f"""cd as (
     select 'manual' as method, 0::bigint as idx, {_MAN[0]} as w_p, {_MAN[1]} as w_u, {_MAN[2]} as w_i, {_MAN[3]} as w_d, {_MAN[4]} as w_r, 0.25e0 as t1, 0.45e0 as t2, 0.65e0 as t3, 0.82e0 as t4
     union all select 'grid', (((a * 5 + b) * 5 + c) * 3 + d)::bigint, wp, wu, wi, wd, 1e0 - wp - wu - wi - wd, 0.2e0, 0.4e0, 0.6e0, 0.8e0 from
         (values (0, 0.05e0), (1, 0.1e0), (2, 0.2e0), (3, 0.3e0), (4, 0.4e0)) x1(a, wp), (values (0, 0.05e0), (1, 0.1e0), (2, 0.2e0), (3, 0.3e0), (4, 0.4e0)) x2(b, wu),
         (values (0, 0.05e0), (1, 0.1e0), (2, 0.2e0), (3, 0.3e0), (4, 0.4e0)) x3(c, wi), (values (0, 0.05e0), (1, 0.1e0), (2, 0.2e0)) x4(d, wd) where 1e0 - wp - wu - wi - wd >= 0
+    union all select 'grid', 1000 + id, r1 / s, r2 / s, r3 / s, r4 / s, r5 / s, 0.2e0, 0.4e0, 0.6e0, 0.8e0 from (select id, r1, r2, r3, r4, r5, r1 + r2 + r3 + r4 + r5 as s from
+        (select id, {_GRID_RAW['w_p']} as r1, {_GRID_RAW['w_u']} as r2, {_GRID_RAW['w_i']} as r3, {_GRID_RAW['w_d']} as r4, {_GRID_RAW['w_r']} as r5 from (select unnest(range(500)) as id)))
+        where id < 500 - (select count(*) from (values (0.05e0), (0.1e0), (0.2e0), (0.3e0), (0.4e0)) x1(wp), (values (0.05e0), (0.1e0), (0.2e0), (0.3e0), (0.4e0)) x2(wu),
+            (values (0.05e0), (0.1e0), (0.2e0), (0.3e0), (0.4e0)) x3(wi), (values (0.05e0), (0.1e0), (0.2e0)) x4(wd) where 1e0 - wp - wu - wi - wd >= 0)
     union all select 'random', id, r1 / s, r2 / s, r3 / s, r4 / s, r5 / s, th[1], th[2], th[3], th[4] from
         (select id, r1, r2, r3, r4, r5, r1 + r2 + r3 + r4 + r5 as s, list_sort([0.12e0 + 0.8e0 * q1, 0.12e0 + 0.8e0 * q2, 0.12e0 + 0.8e0 * q3, 0.12e0 + 0.8e0 * q4]) as th from
         (select id, {_RAW['w_p']} as r1, {_RAW['w_u']} as r2, {_RAW['w_i']} as r3, {_RAW['w_d']} as r4, {_RAW['w_r']} as r5,
-            {_draw('t1')} as q1, {_draw('t2')} as q2, {_draw('t3')} as q3, {_draw('t4')} as q4 from (select unnest(range(200)) as id)))
+            {_draw('t1')} as q1, {_draw('t2')} as q2, {_draw('t3')} as q3, {_draw('t4')} as q4 from (select unnest(range(5000)) as id)))
     union all select 'coordinate', id, {_MAN[0]} / ({S.num(_FIXED)} + mv), {_MAN[1]} / ({S.num(_FIXED)} + mv), {_MAN[2]} / ({S.num(_FIXED)} + mv), {_MAN[3]} / ({S.num(_FIXED)} + mv), mv / ({S.num(_FIXED)} + mv), 0.25e0, 0.45e0, 0.65e0, 0.82e0
         from (select id, least(0.7e0, 0.2e0 + id / 1000e0) as mv from (select unnest(range(200)) as id)))"""
 _CAL_OBJ = S.ctes(S.conflicts(), _CANDS) + f""", a1 as (select c.*, k.p, k.y_true, k.y_pred, k.chi_r, k.chi_r_crit, k.rho_nas,
@@ -262,7 +267,7 @@ def zero_loss_count(spark, sf):
     return W.zero_loss_count(_objective_scores(spark, sf))
 
 
-_SIMPLEX = S.EVALUATION + f""", mg as (select p, u, i, d, chi_r, {S.reference()} as expected, count(*) as n from (select round(p, 2) as p, round(u, 2) as u, round(i, 2) as i, round(d, 2) as d, chi_r, chi_r_crit, y_true, y_pred from ev) group by all),
+_SIMPLEX = S.EVALUATION + f""", mg as (select p, u, i, d, chi_r, {S.reference()} as expected, count(*) as n from ev group by all),
 gr as (select a / 20e0 as w1, b / 20e0 as w2, c / 20e0 as w3, e / 20e0 as w4, (20 - a - b - c - e) / 20e0 as w5 from (select unnest(range(1, 17)) as a), (select unnest(range(1, 17)) as b), (select unnest(range(1, 17)) as c), (select unnest(range(1, 17)) as e)
     where a + b + c + e <= 19),
 y as (select *, {S.clip('w1 * p + w2 * u + w3 * (1 - i) + w4 * d + w5 * chi_r::int')} as rho, case expected when 'accept' then 0.15e0 when 'lower_confidence' then 0.4e0 when 'request_more_data' then 0.5e0 when 'defer_to_human' then 0.75e0 else 1e0 end as target from mg, gr),
@@ -273,11 +278,11 @@ select round(w1, 6) as predicted_risk, round(w2, 6) as uncertainty, round(w3, 6)
 
 @query("calibrate_simplex", _SIMPLEX)
 def calibrate_simplex(spark, sf):
-    """All 3,876 weightings over the whole log, seen at two decimals so that equal cases merge."""
+    """All 3,876 weightings over the whole log."""
     from ..functions import gates as G
 
     rows = V.evaluation_rows(spark, sf).select(
-        *[F.round(c, 2).alias(c) for c in ("p", "u", "interpretability", "reduction_loss")], "chi_r", "chi_r_crit", (F.col("y_true") != F.col("y_pred")).alias("wrong")
+        "p", "u", "interpretability", "reduction_loss", "chi_r", "chi_r_crit", (F.col("y_true") != F.col("y_pred")).alias("wrong")
     )
     expected = G.reference_action(F.col("p"), F.col("u"), F.col("interpretability"), F.col("chi_r"), F.col("chi_r_crit"), F.col("wrong"))
     return rounded(W.calibrate_simplex(rows.withColumn("expected_action", expected), W.simplex_grid(spark)))

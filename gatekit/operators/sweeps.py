@@ -1,15 +1,17 @@
 """Ablations, sensitivity sweeps and calibration over tables of cases.
 
-Configs are few and known when the plan is built, so cases meet them by exploding a literal or
-scalar-subquery array inside the row. Counters are combined map-side; a shuffle carries one row
-per config and task, never the product.
+A handful of configs meets the cases by exploding a literal array inside the row; thousands of them are
+scored as a matrix in the tasks. Counters are combined there; a shuffle carries one row per config and task,
+never the product.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..functions.numeric import clip01, config_array, double_array, hash_uniform
 from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, GatePolicy, risk_shares
 from .attributions import AUTO_HIGH, AUTO_LOW, conflict_rho
 from .decisions import long_actions
-from .metrics import conflict_counts, is_auto, objective, objective_metrics, policy_metrics, recall_or_one, share
+from .metrics import is_auto, objective, objective_metrics, policy_metrics, recall_or_one, share
 
 EVAL_WEIGHTS = {
     "predicted_risk": 0.40, "uncertainty": 0.20, "interpretability_gap": 0.15, "reduction_loss": 0.10, "diagnostic": 0.15,
@@ -402,8 +404,11 @@ GRID_THETAS = (0.20, 0.40, 0.60, 0.80)
 GRID_STEPS = (0.05, 0.10, 0.20, 0.30, 0.40)
 
 
-def objective_candidates(spark: SparkSession, n_random: int = 200, n_coordinate: int = 200, seed: int = 42) -> DataFrame:
-    """Manual, grid, random and coordinate candidates as a small table built by Spark."""
+def objective_candidates(spark: SparkSession, n_random: int = 5000, n_coordinate: int = 200, n_grid: int = 500, seed: int = 42) -> DataFrame:
+    """Manual, grid, random and coordinate candidates as a small table built by Spark.
+
+    The grid is filled up to n_grid with random weights under the thresholds of the grid.
+    """
     first = [F.lit(MANUAL[w]).alias(w) for w in OBJECTIVE_WEIGHTS]
     th = lambda values: [F.lit(v).alias(f"t{i + 1}") for i, v in enumerate(values)]
     one = spark.range(1)
@@ -419,6 +424,11 @@ def objective_candidates(spark: SparkSession, n_random: int = 200, n_coordinate:
     draw = lambda name: hash_uniform(seed, F.col("id"), F.lit(name))
     random = spark.range(n_random).select("id", *[(-F.log(1.0 - draw(w))).alias(w) for w in OBJECTIVE_WEIGHTS])
     total = sum((F.col(w) for w in OBJECTIVE_WEIGHTS[1:]), F.col("w_p"))
+    extra = spark.range(n_grid).select("id", *[(-F.log(1.0 - hash_uniform(seed, F.col("id"), F.lit(f"grid_{w}")))).alias(w) for w in OBJECTIVE_WEIGHTS])
+    room = F.lit(n_grid) - grid.agg(F.count("*")).scalar()
+    extra = extra.where(F.col("id") < room).select(
+        F.lit("grid").alias("method"), (1000 + F.col("id")).alias("idx"), *[(F.col(w) / total).alias(w) for w in OBJECTIVE_WEIGHTS], *th(GRID_THETAS)
+    )
     cuts = F.array_sort(F.array(*[0.12 + 0.80 * draw(f"t{i}") for i in (1, 2, 3, 4)]))
     random = random.select(
         F.lit("random").alias("method"), F.col("id").alias("idx"),
@@ -432,42 +442,61 @@ def objective_candidates(spark: SparkSession, n_random: int = 200, n_coordinate:
         *[((moved if w == "w_r" else F.lit(MANUAL[w])) / (fixed + moved)).alias(w) for w in OBJECTIVE_WEIGHTS],
         *th(MANUAL_THETAS),
     )
-    return manual.unionByName(grid).unionByName(random).unionByName(coordinate)
+    return manual.unionByName(grid).unionByName(extra).unionByName(random).unionByName(coordinate)
+
+
+CONFLICT_COLUMNS = ("p", "u_m", "i_pre", "delta_m", "rho_nas", "chi_r", "chi_r_crit", "wrong")
+COUNTERS = ("missed_critical", "false_auto_accept", "unsafe_accept", "false_block", "excessive_defer")
+# Rows that meet all candidates at once; bounds the memory of a worker.
+SCORED_AT_ONCE = 1000
+
+
+def _objective_counter(weights: np.ndarray, thetas: np.ndarray):
+    """Counters of every candidate over the cases of a task, one row per candidate and task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, margin, n = np.zeros((5, len(weights)), np.int64), np.zeros(len(weights)), 0
+        for frame in frames:
+            for at in range(0, len(frame), SCORED_AT_ONCE):
+                rows = frame.iloc[at : at + SCORED_AT_ONCE]
+                p, u, i, d, rho_nas = (rows[c].to_numpy(float)[:, None] for c in CONFLICT_COLUMNS[:5])
+                chi, crit, wrong = (rows[c].to_numpy(bool)[:, None] for c in CONFLICT_COLUMNS[5:])
+                # The terms are added one by one, in the order of the query engine, so that ties fall the same way.
+                w = weights.T[:, None, :]
+                rho = np.clip(w[0] * p + w[1] * u + w[2] * (1.0 - i) + w[3] * d + w[4] * chi, 0.0, 1.0)
+                t = thetas.T[:, None, :]
+                accept, block = ~crit & (rho < t[0]), crit | (rho >= np.maximum.accumulate(t)[3])
+                defer = ~crit & (rho >= np.maximum.accumulate(t)[2]) & (rho < t[3])
+                low = p < 0.35
+                hits = (crit & ~block, accept & (wrong | chi), accept & chi, block & ~wrong & ~chi & low, defer & ~chi & low)
+                counts += np.stack([h.sum(axis=0) for h in hits])
+                margin += np.abs(t - rho_nas).min(axis=0).sum(axis=0)
+                n += len(rows)
+        if n:
+            yield pd.DataFrame({"at": np.arange(len(weights)), **dict(zip(COUNTERS, counts, strict=True)), "margin": margin, "n": n})
+
+    return run
 
 
 def calibrate_by_objective(cases: DataFrame, candidates: DataFrame) -> DataFrame:
     """Objective and tie-breakers of every candidate over conflict cases.
 
-    Equal cases are merged first. Candidates reach the rows as one array from a scalar subquery, so
-    the cost is cases x candidates with map-side sums; keep the candidate list in the thousands.
+    The candidates are configuration: the driver reads them once and ships them to the tasks as a matrix. A task
+    scores its cases against it in blocks and returns one row of counters per candidate, so nothing is
+    exploded and what is shuffled is candidates times tasks, whatever the log.
     """
-    # Equal cases are merged after the columns are narrowed to what a candidate can see.
-    merged = (
-        cases.select("p", "u_m", "i_pre", "delta_m", "rho_nas", "chi_r", "chi_r_crit", (F.col("y_true") != F.col("y_pred")).alias("wrong"))
-        .groupBy("p", "u_m", "i_pre", "delta_m", "rho_nas", "chi_r", "chi_r_crit", "wrong")
-        .agg(F.count("*").alias("n"))
-    )
     fields = ["method", "idx", *OBJECTIVE_WEIGHTS, "t1", "t2", "t3", "t4"]
-    table = candidates.agg(F.collect_list(F.struct(*fields))).scalar()
-    rows = merged.withColumn("_c", table).select(*merged.columns, F.inline("_c"))
-    rho = clip01(
-        F.col("w_p") * F.col("p") + F.col("w_u") * F.col("u_m") + F.col("w_i") * (1.0 - F.col("i_pre"))
-        + F.col("w_d") * F.col("delta_m") + F.col("w_r") * F.col("chi_r").cast("double")
-    )
-    thetas = [F.col(f"t{i}") for i in (1, 2, 3, 4)]
-    rows = rows.withColumn("action", G.zone_ladder(rho, thetas, F.col("chi_r_crit"))).withColumn(
-        "_margin", F.least(*[F.abs(t - F.col("rho_nas")) for t in thetas])
-    )
-    wrong = F.col("wrong")
-    rows = rows.withColumn("y_true", wrong.cast("int")).withColumn("y_pred", F.lit(0))
-    counts = {k: F.sum(F.when(c, F.col("n")).otherwise(0)) for k, c in conflict_counts().items()}
-    out = rows.groupBy(*fields).agg(
-        *[c.alias(k) for k, c in counts.items()], (F.sum(F.col("_margin") * F.col("n")) / F.sum("n")).alias("margin")
-    )
+    listed = candidates.select(*fields).toPandas()
+    seen = cases.withColumn("wrong", F.col("y_true") != F.col("y_pred")).select(*CONFLICT_COLUMNS)
+    counter = _objective_counter(listed[list(OBJECTIVE_WEIGHTS)].to_numpy(float), listed[["t1", "t2", "t3", "t4"]].to_numpy(float))
+    schema = "at long, " + ", ".join(f"{c} long" for c in COUNTERS) + ", margin double, n long"
+    sums = seen.mapInPandas(counter, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "margin", "n")])
+    table = cases.sparkSession.createDataFrame(listed.assign(at=range(len(listed))))
+    out = table.join(sums, "at").select(*fields, *COUNTERS, (F.col("margin") / F.col("n")).alias("margin"))
     entropy = F.lit(0.0)
     for w in OBJECTIVE_WEIGHTS:
         entropy = entropy - F.col(w) * F.log(F.col(w) + 1e-12)
-    return out.withColumn("objective", objective({k: F.col(k) for k in counts})).withColumn("weight_entropy", entropy)
+    return out.withColumn("objective", objective({k: F.col(k) for k in COUNTERS})).withColumn("weight_entropy", entropy)
 
 
 def best_objective(scored: DataFrame) -> DataFrame:
@@ -505,28 +534,49 @@ def simplex_grid(spark: SparkSession, units: int = 20) -> DataFrame:
     return grid.select(*[(F.col(n) / float(units)).alias(t) for n, t in zip(names, RISK_TERMS)])
 
 
+SIMPLEX_COLUMNS = ("p", "u", "interpretability", "reduction_loss", "chi_r")
+
+
+def _simplex_counter(weights: np.ndarray, policy: GatePolicy):
+    """Agreements and squared errors of every weighting over the cases of a task, one row per weighting and task."""
+    names = list(TARGET_RHO)
+    levels = np.array([TARGET_RHO[a] for a in names])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        agreed, error, n = np.zeros(len(weights), np.int64), np.zeros(len(weights)), 0
+        for frame in frames:
+            for at in range(0, len(frame), SCORED_AT_ONCE):
+                rows = frame.iloc[at : at + SCORED_AT_ONCE]
+                p, u, i, d = (rows[c].to_numpy(float)[:, None] for c in SIMPLEX_COLUMNS[:4])
+                chi = rows["chi_r"].to_numpy(bool)[:, None]
+                expected = rows["expected_action"].map(names.index).to_numpy()[:, None]
+                w = weights.T[:, None, :]
+                rho = np.clip(w[0] * p + w[1] * u + w[2] * (1.0 - i) + w[3] * d + w[4] * chi, 0.0, 1.0)
+                unsure, mid = u >= policy.uncertainty_max, rho >= policy.theta_mid
+                low = np.where(unsure & (p >= policy.theta_mid), names.index("lower_confidence"), names.index("accept"))
+                action = np.where(mid, np.where(unsure, names.index("request_more_data"), names.index("lower_confidence")), low)
+                action = np.where(rho >= policy.theta_high, names.index("defer_to_human"), action)
+                action = np.where(chi, names.index("block"), action)
+                agreed += (action == expected).sum(axis=0)
+                error += ((rho - levels[expected]) ** 2).sum(axis=0)
+                n += len(rows)
+        if n:
+            yield pd.DataFrame({"at": np.arange(len(weights)), "agreed": agreed, "error": error, "n": n})
+
+    return run
+
+
 def calibrate_simplex(cases: DataFrame, grid: DataFrame) -> DataFrame:
     """Accuracy, squared error to the target risk and distance to the defaults of each weighting.
 
-    Cases that look the same to the gate are merged before they meet the grid.
+    As in `calibrate_by_objective`, tasks score their cases against the whole grid and return one row per weighting.
     """
-    merged = cases.groupBy("p", "u", "interpretability", "reduction_loss", "chi_r", "expected_action").agg(
-        F.count("*").alias("n")
-    )
-    names = [f"w_{t}" for t in RISK_TERMS]
-    table = grid.agg(F.collect_list(F.struct(*[F.col(t).alias(n) for t, n in zip(RISK_TERMS, names)]))).scalar()
-    rows = merged.withColumn("_g", table).select(*merged.columns, F.inline("_g"))
-    rho = G.config_risk(
-        F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss"), F.col("chi_r"), _weight_columns()
-    )
-    rows = rows.withColumn("rho", rho)
-    action = G.gate_simple(F.col("rho"), F.col("u"), F.col("p"), F.col("chi_r"))
-    target = F.element_at(F.create_map(*[F.lit(x) for kv in TARGET_RHO.items() for x in kv]), F.col("expected_action"))
-    n = F.sum("n")
-    out = rows.groupBy(*[F.col(n).alias(t) for t, n in zip(RISK_TERMS, names)]).agg(
-        (F.sum(F.when(action == F.col("expected_action"), F.col("n")).otherwise(0)) / n).alias("accuracy"),
-        (F.sum((F.col("rho") - target) * (F.col("rho") - target) * F.col("n")) / n).alias("mse"),
-    )
+    listed = grid.select(*RISK_TERMS).toPandas()
+    counter = _simplex_counter(listed.to_numpy(float), GatePolicy())
+    seen = cases.select(*SIMPLEX_COLUMNS, "expected_action")
+    sums = seen.mapInPandas(counter, "at long, agreed long, error double, n long").groupBy("at").agg(*[F.sum(c).alias(c) for c in ("agreed", "error", "n")])
+    table = cases.sparkSession.createDataFrame(listed.assign(at=range(len(listed))))
+    out = table.join(sums, "at").select(*RISK_TERMS, (F.col("agreed") / F.col("n")).alias("accuracy"), (F.col("error") / F.col("n")).alias("mse"))
     distance = F.lit(0.0)
     for t in RISK_TERMS:
         distance = distance + (F.col(t) - RISK_WEIGHTS[t]) * (F.col(t) - RISK_WEIGHTS[t])
