@@ -111,7 +111,6 @@ _EVENTS = {
     "critical_blocked": "chi_r_crit and action_nas = 'block'",
 }
 _SUMS = ", ".join(f"sum({k}) as {k}" for k in _EVENTS)
-_WSUMS = ", ".join(f"sum({k} * w) as {k}" for k in _EVENTS)
 
 
 def _unpivot(src: str) -> str:
@@ -122,8 +121,8 @@ def _unpivot(src: str) -> str:
 
 _BOOT_CI = S.CONFLICTS + ", fl as (select case_id, object_id, 1 as n, " + ", ".join(f"({c})::int as {k}" for k, c in _EVENTS.items()) + f""" from conf),
 ob as (select object_id, sum(n) as n, {_SUMS} from fl group by object_id),
-wc as (select rep, sum(n * w) as n, {_WSUMS} from (select fl.*, rep, {S.poisson(S.uniform(42, 'rep', 'case_id'))} as w from fl, (select unnest(range(200)) as rep)) group by rep),
-wo as (select rep, sum(n * w) as n, {_WSUMS} from (select ob.*, rep, {S.poisson(S.uniform(42, 'rep', 'object_id'))} as w from ob, (select unnest(range(200)) as rep)) group by rep),
+{S.bootstrap('fl', ['n', *_EVENTS], 'wc')},
+{S.bootstrap('ob', ['n', *_EVENTS], 'wo')},
 tt as (select sum(n) as n, {_SUMS} from ob), lc as ({_unpivot('wc')}), lo as ({_unpivot('wo')}), le as ({_unpivot('tt')}),
 ic as (select metric, quantile_cont(v, 0.025e0) as a, quantile_cont(v, 0.975e0) as b from lc group by 1), io as (select metric, quantile_cont(v, 0.025e0) as a, quantile_cont(v, 0.975e0) as b from lo group by 1)
 select le.metric, round(le.v, 6) as estimate, round(ic.a, 6) as case_low, round(ic.b, 6) as case_high, round(io.a, 6) as object_low, round(io.b, 6) as object_high
@@ -139,7 +138,8 @@ def _mcnemar_sql(a: str, b: str) -> str:
     return S.CONFLICTS + f""", x as (select object_id, chi_r_crit, ({a}) = 'block' as ba, ({b}) = 'block' as bb from conf),
 ob as (select object_id, count(*) as n, count(*) filter (where chi_r_crit and not ba and bb) as g, count(*) filter (where chi_r_crit and ba and not bb) as l, sum(bb::int) - sum(ba::int) as diff from x group by 1),
 t as (select sum(n) as n, sum(g)::bigint as g, sum(l)::bigint as l, sum(diff) as diff from ob),
-bs as (select rep, sum(diff * w) / sum(n * w)::double as e from (select ob.*, rep, {S.poisson(S.uniform(42, 'rep', 'object_id'))} as w from ob, (select unnest(range(200)) as rep)) group by rep),
+{S.bootstrap('ob', ['n', 'diff'], 'bw')},
+bs as (select rep, diff / n::double as e from bw),
 pv as (select sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) - m * ln(2e0))) * 2 as p from (select g + l as m, unnest(range(least(g, l) + 1)) as k from t))
 select (g + l)::bigint as n_discordant, round(case when g + l = 0 then 1e0 else least(1e0, p) end, 6) as p_value, round(diff / n::double, 6) as effect_size,
     round((select quantile_cont(e, 0.025e0) from bs), 6) as ci_low, round((select quantile_cont(e, 0.975e0) from bs), 6) as ci_high from t, pv"""

@@ -88,6 +88,56 @@ def poisson1(u: Column) -> Column:
     return let(u, ladder)
 
 
+# Above this mean a Poisson draw is taken from its normal expansion, whose error is then below a hundredth of a step.
+POISSON_EXACT = 40.0
+# Coefficients of the rational approximation of the normal quantile (relative error 1.2e-9).
+QUANTILE_TAIL = 0.02425
+QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+QUANTILE_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+QUANTILE_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+QUANTILE_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+
+
+def _horner(coefficients, x):
+    total = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        total = total * x + F.lit(c)
+    return total
+
+
+def normal_quantile(u: Column) -> Column:
+    """The standard normal quantile at u in (0,1)."""
+
+    def tail(q: Column) -> Column:
+        return let(F.sqrt(-2.0 * F.log(q)), lambda t: _horner(QUANTILE_C, t) / (_horner(QUANTILE_D, t) * t + 1.0))
+
+    middle = let(u - 0.5, lambda q: let(q * q, lambda r: _horner(QUANTILE_A, r) * q / (_horner(QUANTILE_B, r) * r + 1.0)))
+    return F.when(u < QUANTILE_TAIL, tail(u)).when(u > 1 - QUANTILE_TAIL, -tail(1.0 - u)).otherwise(middle)
+
+
+def poisson_steps(mean: Column) -> Column:
+    """Cumulative probabilities of Poisson(mean) as an array, as far as a draw can tell; empty above POISSON_EXACT."""
+
+    def steps(lam: Column) -> Column:
+        start = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("below"), F.array(F.exp(-lam)).alias("all"))
+
+        def step(acc: Column, k: Column) -> Column:
+            p = acc["p"] * lam / k
+            return F.struct(p.alias("p"), (acc["below"] + p).alias("below"), F.array_append(acc["all"], acc["below"] + p).alias("all"))
+
+        far = (lam + 12.0 * F.sqrt(lam) + 20.0).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), far), start, step)["all"]
+
+    return F.when(mean <= POISSON_EXACT, steps(mean.cast("double"))).otherwise(F.array().cast("array<double>"))
+
+
+def poisson_total(u: Column, mean: Column, steps: Column) -> Column:
+    """A Poisson draw at a uniform draw: the sum of `mean` Poisson(1) draws, taken at once. steps: `poisson_steps(mean)`."""
+    wide = let(normal_quantile(F.greatest(u, F.lit(2.0**-53))), lambda z: F.floor(mean + F.sqrt(mean) * z + (z * z - 1.0) / 6.0 + 0.5))
+    exact = F.size(F.filter(steps, lambda c: u >= c)).cast("long")
+    return F.when(mean <= POISSON_EXACT, exact).otherwise(F.greatest(F.lit(0).cast("long"), wide.cast("long")))
+
+
 def order_bucket(v: Column) -> Column:
     """Map doubles to integer buckets that keep their order (about 1024 per power of two).
 

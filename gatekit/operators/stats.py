@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hash_uniform, poisson1
+from ..functions.numeric import hash_uniform, let, poisson_steps, poisson_total
 from .attributions import topk_array
 from .quantiles import exact_quantiles
 
@@ -32,11 +32,17 @@ def conflict_events() -> dict[str, Column]:
     }
 
 
-def bootstrap_sums(units: DataFrame, unit: str, sums: Sequence[str], replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Weighted sums per replicate. Units are already aggregated, so each appears once per replicate."""
-    rows = units.select(unit, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    # Rows drawn zero times add nothing; filtering them would compute the draw twice.
-    rows = rows.withColumn("w", poisson1(hash_uniform(seed, F.col("rep"), F.col(unit))))
+def bootstrap_sums(units: DataFrame, sums: Sequence[str], replicates: int = 5000, seed: int = 42) -> DataFrame:
+    """Weighted sums per replicate, every unit weighted by a Poisson(1) draw.
+
+    Units with the same sums are one kind: what their draws add up to is one Poisson draw of their number. The
+    replicates meet the kinds, not the units, so the cost does not grow with the log.
+    """
+    kinds = units.groupBy(*sums).agg(F.count("*").alias("_units")).withColumn("_steps", poisson_steps(F.col("_units")))
+    kinds = kinds.withColumn("_kind", F.concat_ws(",", *[F.col(s).cast("string") for s in sums]))
+    rows = kinds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draw = let(hash_uniform(seed, F.col("rep"), F.col("_kind")), lambda u: poisson_total(u, F.col("_units"), F.col("_steps")))
+    rows = rows.select("rep", *sums, draw.alias("w"))
     return rows.groupBy("rep").agg(*[F.sum(F.col(s) * F.col("w")).alias(s) for s in sums])
 
 
@@ -50,16 +56,16 @@ def _intervals(sums: DataFrame, names: Mapping[str, Column], prefix: str) -> Dat
     )
 
 
-def bootstrap_ci(cases: DataFrame, case: str = "case_id", entity: str = "object_id", replicates: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_ci(cases: DataFrame, entity: str = "object_id", replicates: int = 5000, seed: int = 42) -> DataFrame:
     """Estimates with intervals by case and by object for the conflict shares and critical recall."""
     events = conflict_events()
     names = list(events)
-    flags = cases.select(case, entity, F.lit(1).cast("long").alias("n"), *[c.cast("long").alias(k) for k, c in events.items()])
+    flags = cases.select(entity, F.lit(1).cast("long").alias("n"), *[c.cast("long").alias(k) for k, c in events.items()])
     per_object = flags.groupBy(entity).agg(*[F.sum(k).alias(k) for k in ("n", *names)])
     metrics = {k: F.col(k) / F.col("n") for k in CONFLICT_SHARES}
     metrics["recall_critical"] = F.col("critical_blocked") / F.greatest(F.lit(1), F.col("critical"))
-    by_case = _intervals(bootstrap_sums(flags, case, ["n", *names], replicates, seed), metrics, "case")
-    by_object = _intervals(bootstrap_sums(per_object, entity, ["n", *names], replicates, seed), metrics, "object")
+    by_case = _intervals(bootstrap_sums(flags, ["n", *names], replicates, seed), metrics, "case")
+    by_object = _intervals(bootstrap_sums(per_object, ["n", *names], replicates, seed), metrics, "object")
     totals = per_object.agg(*[F.sum(k).alias(k) for k in ("n", *names)])
     estimates = totals.select(
         F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("estimate")) for k, v in metrics.items()]))
@@ -94,7 +100,7 @@ def binomial_two_sided(low: Column, n: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
 
 
-def mcnemar(cases: DataFrame, a: str, b: str, entity: str = "object_id", replicates: int = 200, seed: int = 42) -> DataFrame:
+def mcnemar(cases: DataFrame, a: str, b: str, entity: str = "object_id", replicates: int = 5000, seed: int = 42) -> DataFrame:
     """Paired test of two gates on blocking critical cases, with an object-level interval of the effect."""
     ba, bb, crit = F.col(a) == "block", F.col(b) == "block", F.col("chi_r_crit")
     per_object = cases.groupBy(entity).agg(
@@ -104,7 +110,7 @@ def mcnemar(cases: DataFrame, a: str, b: str, entity: str = "object_id", replica
         (F.count_if(bb) - F.count_if(ba)).alias("diff"),
     )
     totals = per_object.agg(*[F.sum(c).alias(c) for c in ("n", "gained", "lost", "diff")])
-    ci = _intervals(bootstrap_sums(per_object, entity, ["n", "diff"], replicates, seed), {"effect": F.col("diff") / F.col("n")}, "ci")
+    ci = _intervals(bootstrap_sums(per_object, ["n", "diff"], replicates, seed), {"effect": F.col("diff") / F.col("n")}, "ci")
     interval = ci.select(F.struct("ci_low", "ci_high")).scalar()
     discordant = F.col("gained") + F.col("lost")
     return totals.withColumn("_ci", interval).select(
