@@ -51,10 +51,23 @@ def places_alike(x: Column, y: Column, places: int) -> Column:
     return places - F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda acc, d: acc + d)
 
 
-def least_alike(places: int, percent: int) -> int:
-    """Places that a pair at the threshold has alike but for a chance of 2e-4, at the variance of plain MinHash."""
+def variance_share(places: int, union: int) -> float:
+    """Variance of the alike places of two sets with `union` elements in all, as a share of that of plain MinHash."""
+    gain = 0.0
+    for k in range(1, places):
+        at = [math.exp(union * math.log(x / (places - 1))) if x else 0.0 for x in (k - 1, k, k + 1)]
+        gain += math.exp(union * math.log(k / places)) * (at[2] + at[0] - 2 * at[1])
+    return 1 - gain * (places - 1) / (union - 1)
+
+
+def least_alike(places: int, percent: int, union: Column) -> Column:
+    """Places that a pair at the threshold has alike but for a chance of 2e-4; the more, the smaller its sets."""
     p = percent / 100
-    return math.floor(places * p - 3.6 * math.sqrt(places * p * (1 - p)))
+    spread = 3.6 * math.sqrt(places * p * (1 - p))
+    out = F.lit(math.floor(places * p - spread))
+    for most in (2400, 1200, 600, 300, 150) if places > 2 else ():
+        out = F.when(union <= most, F.lit(math.floor(places * p - spread * math.sqrt(variance_share(places, most))))).otherwise(out)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -90,7 +103,7 @@ def settle(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame,
         ).withColumnRenamed("bucket", "hub_bucket")
         near = (100 * F.col("na") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("na"))
         apart = (F.col("nth") > F.col("hub")) & (F.col("ca") != F.col("component")) & (F.col("home") != F.col("hub_home"))
-        alike = places_alike(F.col("brief"), F.col("hub_brief"), places) >= least_alike(places, percent)
+        alike = places_alike(F.col("brief"), F.col("hub_brief"), places) >= least_alike(places, percent, (F.col("na") + F.col("n")) * 100 / (100 + percent))
         pairs = live.join(hub, (F.col("bucket") == F.col("hub_bucket")) & apart & near & alike).select("a", F.col("rep").alias("b")).distinct()
         found = cut(found.union(verified(pairs, sets, percent)))
         groups = connected_components(found)
