@@ -56,3 +56,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table that comes in fewer pieces than there are cores over all cores, by keys.
+
+    A file of one row group is read by one task, and whatever is computed per row runs there. Tables of many
+    files or row groups have pieces enough and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -10,6 +10,7 @@ from ..functions.fuzzy import membership_map, source_memberships
 from ..functions.numeric import clip01
 from ..operators.attributions import attribution_conflict
 from ..operators.observe import observe
+from .tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,14 @@ def line_risk(quantity: Column, discount: Column) -> Column:
     return F.least(F.lit(1.0), x * x * x)
 
 
-def cases(spark: SparkSession, sf_dir: str, with_trace: bool = False) -> DataFrame:
-    """Prediction log: one case per line item. The order join is paid only when the trace flag is needed."""
+def cases(spark: SparkSession, sf_dir: str, with_trace: bool = False, spread_lines: bool = False) -> DataFrame:
+    """Prediction log: one case per line item. The order join is paid only when the trace flag is needed.
+
+    spread_lines deals the lines over all cores where the table comes in few pieces; it pays for work that is heavy per row.
+    """
     lines = table(spark, sf_dir, "lineitem")
+    if spread_lines:
+        lines = spread(lines, "l_orderkey", "l_linenumber")
     p = line_risk(F.col("l_quantity"), F.col("l_discount"))
     out = lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("case_id"),
@@ -65,7 +71,7 @@ def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Feature values and importance shares come from quantity, discount and tax.
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON payloads, some of them broken in known ways."""
-    rows = cases(spark, sf_dir)
+    rows = cases(spark, sf_dir, spread_lines=True)
     broken_p = F.when(F.col("tax") >= 0.08, F.col("p") + 1.0).otherwise(F.col("p"))
     shares = F.struct(
         (F.col("quantity") / 100.0).alias("quantity"), (F.col("discount") * 3).alias("discount"), F.col("tax").alias("tax")
@@ -116,7 +122,7 @@ def _trace(case: Column, version: Column, source: str, checksum: Column) -> Colu
 
 def model_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First source: the model's own explanation of each case."""
-    rows = cases(spark, sf_dir)
+    rows = cases(spark, sf_dir, spread_lines=True)
     m = source_memberships(F.col("p"))
     return rows.select(
         "case_id",
@@ -138,7 +144,7 @@ def second_risk() -> Column:
 
 def observer_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second source: another score of the same case in a richer representation."""
-    rows = cases(spark, sf_dir).withColumn("q", second_risk())
+    rows = cases(spark, sf_dir, spread_lines=True).withColumn("q", second_risk())
     q = F.col("q")
     rep = (
         F.when(F.col("line") % 3 == 0, R.neutrosophic(q, F.lit(0.15), 1.0 - q - 0.04, src_t="observer"))
