@@ -25,7 +25,7 @@ def signed(docs: DataFrame, width: int = WIDTH, places: int = PLACES, bands: int
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(bucket, rep, n, brief, home, nth): classes that share a band with another, numbered within the bucket.
+    """(bucket, rep, n, brief, keys, home, nth): classes that share a band with another, numbered within the bucket.
 
     Those that meet most others come first: the text that copies were made from meets nearly all of them.
     """
@@ -35,7 +35,7 @@ def _members(rows: DataFrame) -> DataFrame:
     shared = cut(own.join(sizes.select("bucket", "size"), "bucket"))
     central = shared.groupBy("rep").agg(F.sum("size").alias("met"))
     order = Window.partitionBy("bucket").orderBy(F.desc("met"), "rep", "n")
-    return shared.join(central, "rep").join(first.select("rep", "p1", "brief"), ["rep", "p1"]).select("bucket", "rep", "n", "brief", F.col("rep").alias("home"), F.row_number().over(order).alias("nth"))
+    return shared.join(central, "rep").join(first.select("rep", "p1", "brief", "keys"), ["rep", "p1"]).select("bucket", "rep", "n", "brief", "keys", F.col("rep").alias("home"), F.row_number().over(order).alias("nth"))
 
 
 def places_alike(x: Column, y: Column, places: int) -> Column:
@@ -82,12 +82,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def settle(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame, places: int = PLACES) -> DataFrame:
     """(node, component) of the classes that links tie, links being those given and all that buckets hold.
 
-    members: (bucket, rep, n, brief, home, nth); classes of one home are not compared; nth numbers a
-    bucket from 1. In round t the next 4**t members of each
+    members: (bucket, rep, n, brief, keys, home, nth); classes of one home are not compared; nth puts the
+    members of a bucket in an order that is the same in all buckets, from 1. In round t the next 4**t members of each
     bucket are hubs, compared with the members behind them, but only across components: a bucket of
-    copies of one text is settled by its first hubs, and no pair is compared twice in a bucket. Buckets leave once
+    copies of one text is settled by its first hubs. A pair is compared once, in the smallest bucket it shares
+    by its keys. Buckets leave once
     they lie in one component or each member has been a hub, so no pair of a bucket is left out. Pairs whose
     sizes or brief signatures rule out the threshold are not fetched; the rest is measured on full sets.
+    With places=0 members have one key, their bucket, and neither brief nor keys.
     """
     first, hubs, found, groups = 1, 4, links, connected_components(links)
     live = members.withColumn("component", F.col("rep"))
@@ -99,12 +101,16 @@ def settle(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame,
         if live.isEmpty():
             return groups
         hub = live.where(F.col("nth").between(first, first + hubs - 1)).select(
-            "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("nth").alias("hub"), F.col("component").alias("ca"), F.col("brief").alias("hub_brief"), F.col("home").alias("hub_home")
+            "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("nth").alias("hub"), F.col("component").alias("ca"), F.col("home").alias("hub_home"),
+            *([F.col("brief").alias("hub_brief"), F.col("keys").alias("hub_keys")] if places else []),
         ).withColumnRenamed("bucket", "hub_bucket")
         near = (100 * F.col("na") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("na"))
         apart = (F.col("nth") > F.col("hub")) & (F.col("ca") != F.col("component")) & (F.col("home") != F.col("hub_home"))
-        alike = places_alike(F.col("brief"), F.col("hub_brief"), places) >= least_alike(places, percent, (F.col("na") + F.col("n")) * 100 / (100 + percent))
-        pairs = live.join(hub, (F.col("bucket") == F.col("hub_bucket")) & apart & near & alike).select("a", F.col("rep").alias("b")).distinct()
+        apart = apart & near
+        if places:
+            apart = apart & (places_alike(F.col("brief"), F.col("hub_brief"), places) >= least_alike(places, percent, (F.col("na") + F.col("n")) * 100 / (100 + percent)))
+            apart = apart & (F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("bucket"))
+        pairs = live.join(hub, (F.col("bucket") == F.col("hub_bucket")) & apart).select("a", F.col("rep").alias("b")).distinct()
         found = cut(found.union(verified(pairs, sets, percent)))
         groups = connected_components(found)
         first, hubs = first + hubs, hubs * 4
