@@ -88,7 +88,6 @@ def test_hubs_leave_no_pair_out(spark):
     for a, b in ((3, 30), (30, 17), (25, 39)):
         sets[b] = set(sorted(sets[a])[1:]) | {rng.randrange(10**6)}
     members = spark.createDataFrame([(1, i, len(v), i, i + 1) for i, v in sets.items()], "bucket long, rep long, n int, home long, nth int")
-    members = members.withColumn("brief", F.array().cast("array<bigint>"))
     table = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "node long, set array<long>")
     links = spark.createDataFrame([], "a long, b long")
     got = {r.node: r.component for r in near_dup.settle(members, table, 80, links, places=0).collect()}
@@ -243,6 +242,22 @@ def test_edited_paragraphs_are_linked(spark):
     assert len(found) >= 45 and found <= set(range(100, 160))
 
 
+def test_a_common_line_is_no_meeting_place(spark):
+    """Paragraphs that share one line with many others are linked to those they resemble, and to no other."""
+    rng = random.Random(7)
+    line = some_words(rng, 14, 10**6)
+    sets, homes = {}, []
+    for i in range(60):
+        sets[i] = [hash(w) for w in line] + [hash(w) for w in some_words(rng, 8, 10**6)]
+    sets[50] = sets[3][:-1] + [5]
+    sets[51] = sets[50][1:] + [6]
+    homes = [(1, i, i) for i in sets]
+    placed = spark.createDataFrame(homes, "bucket long, u long, home long")
+    table = spark.createDataFrame(list(sets.items()), "node long, set array<long>")
+    split = paragraphs._meeting(paragraphs._split_crowds(placed, table, 80))
+    assert {r.u for r in split.collect()} <= {3, 50, 51} and {3, 50} <= {r.u for r in split.collect()}
+
+
 def test_toxicity_learns_pairs(spark):
     """Two terms are toxic together only: the machine learns what weights alone can't."""
     import numpy as np
