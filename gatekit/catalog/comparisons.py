@@ -54,18 +54,20 @@ def read_json_lines(spark, sf):
 
 # --- policies on scenarios ------------------------------------------------------------------------
 
-_P, _U, _I, _D = F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss")
+def _terms() -> tuple:
+    return F.col("p"), F.col("u"), F.col("interpretability"), F.col("reduction_loss")
 
 
 def scenario_actions() -> dict:
     """Four gates: by probability, by the explanation alone, without diagnostics and loss, in full."""
-    no_context = G.application_risk(_P, _U, _I, F.lit(0.0), F.lit(False))
-    full = G.application_risk(_P, _U, _I, _D, F.col("chi_r"))
+    p, u, i, d = _terms()
+    no_context = G.application_risk(p, u, i, F.lit(0.0), F.lit(False))
+    full = G.application_risk(p, u, i, d, F.col("chi_r"))
     return {
-        "threshold": F.when(_P >= 0.70, "defer_to_human").when(_P >= 0.35, "lower_confidence").otherwise("accept"),
-        "operator": F.when(_I >= 0.60, "accept").when(_I >= 0.45, "lower_confidence").otherwise("defer_to_human"),
-        "no_context": G.gate_simple(no_context, _U, _P, F.lit(False)),
-        "full": G.gate_simple(full, _U, _P, F.col("chi_r")),
+        "threshold": F.when(p >= 0.70, "defer_to_human").when(p >= 0.35, "lower_confidence").otherwise("accept"),
+        "operator": F.when(i >= 0.60, "accept").when(i >= 0.45, "lower_confidence").otherwise("defer_to_human"),
+        "no_context": G.gate_simple(no_context, u, p, F.lit(False)),
+        "full": G.gate_simple(full, u, p, F.col("chi_r")),
     }
 
 
@@ -113,11 +115,12 @@ select policy, round(avg((act = allowed[1])::int), 6) as agreement_strict, round
 )
 def set_agreement_policies(spark, sf):
     """The full gate and a threshold gate against sets of acceptable actions."""
-    rho = G.application_risk(_P, _U, _I, _D, F.col("chi_r"))
+    p, u, i, d = _terms()
+    rho = G.application_risk(p, u, i, d, F.col("chi_r"))
     actions = {
-        "full": G.gate_full(rho, _U, _I, _D, F.col("chi_r"), F.col("chi_r_crit"), F.col("chi_auto"), F.col("trace_valid")),
-        "threshold": F.when(F.col("chi_r_crit"), "block").when(_P >= 0.75, "defer_to_human").when((_U >= 0.45) | (_I < 0.65), "request_more_data")
-        .when(_P >= 0.35, "lower_confidence").otherwise("accept"),
+        "full": G.gate_full(rho, u, i, d, F.col("chi_r"), F.col("chi_r_crit"), F.col("chi_auto"), F.col("trace_valid")),
+        "threshold": F.when(F.col("chi_r_crit"), "block").when(p >= 0.75, "defer_to_human").when((u >= 0.45) | (i < 0.65), "request_more_data")
+        .when(p >= 0.35, "lower_confidence").otherwise("accept"),
     }
     return rounded(M.set_agreement(by_policy(P.expand_scenarios(V.evaluation_rows(spark, sf)), actions), ["policy"]))
 
@@ -253,7 +256,8 @@ def best_simplex(spark, sf):
     rows = V.evaluation_rows(spark, sf).select(
         "p", "u", "interpretability", "reduction_loss", "chi_r", "chi_r_crit", (F.col("y_true") != F.col("y_pred")).alias("wrong")
     )
-    expected = G.reference_action(_P, _U, _I, F.col("chi_r"), F.col("chi_r_crit"), F.col("wrong"))
+    p, u, i, _ = _terms()
+    expected = G.reference_action(p, u, i, F.col("chi_r"), F.col("chi_r_crit"), F.col("wrong"))
     best = W.best_simplex(W.calibrate_simplex(rows.withColumn("expected_action", expected), W.simplex_grid(spark)))
     return rounded(best.drop("mse", "distance"))
 
