@@ -136,20 +136,3 @@ def poisson_total(u: Column, mean: Column, steps: Column) -> Column:
     wide = let(normal_quantile(F.greatest(u, F.lit(2.0**-53))), lambda z: F.floor(mean + F.sqrt(mean) * z + (z * z - 1.0) / 6.0 + 0.5))
     exact = F.size(F.filter(steps, lambda c: u >= c)).cast("long")
     return F.when(mean <= POISSON_EXACT, exact).otherwise(F.greatest(F.lit(0).cast("long"), wide.cast("long")))
-
-
-def order_bucket(v: Column) -> Column:
-    """Map doubles to integer buckets that keep their order (about 1024 per power of two).
-
-    Used to split global orderings: sort inside buckets, add up bucket totals. Infinities have the outermost buckets,
-    null goes to bucket 0;
-    a key that cannot be null keeps Spark from pushing a null test on it, and with it the whole
-    derivation of v, down to the scan.
-    """
-    a = F.abs(v)
-    e = F.floor(F.log2(a))
-    key = (e + 1100) * 4096 + F.floor(a / F.pow(F.lit(2.0), e.cast("double")) * 1024)
-    infinite = a == F.lit(float("inf"))
-    key = F.when(infinite, F.lit(2**40)).otherwise(key)
-    signed = F.when(v == 0, F.lit(0).cast("long")).when(v > 0, key.cast("long")).otherwise(-key.cast("long"))
-    return F.coalesce(signed, F.lit(0).cast("long"))

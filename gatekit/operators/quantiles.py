@@ -1,39 +1,45 @@
 """Exact order statistics without a global sort or an unbounded group.
 
-Values are counted per distinct value, split into order-keeping buckets, and only
-bucket totals are added up globally. Windows run inside one bucket; Spark sorts
-and spills there, and no task holds all values.
+Values fall into buckets between split points that a sketch of the data gives, and only bucket totals are
+added up globally. Windows run inside one bucket; Spark sorts and spills there, and no task holds all values.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import order_bucket
-
 _BEFORE = (Window.unboundedPreceding, -1)
+# Buckets per key.
+SPLITS = 64
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per key and distinct value with its count; nulls and NaN are left out.
+def _bucketed(df: DataFrame, keys: Sequence[str], splits: int = SPLITS) -> DataFrame:
+    """df (keys, value, ...) plus bucket: how many split points of its key lie at or below the value.
 
-    They are dropped by their count of 0 after the aggregation: a filter on the value itself would
-    be pushed below it, and a derived value computed once more for the filter.
+    The split points are quantiles of a bounded sketch of the data itself, so buckets are alike in size whatever the
+    scale of the values; equal values share a bucket, and infinities fall into the outermost ones.
     """
-    counts = (
-        df.select(*keys, F.col(value).cast("double").alias("value"))
-        .groupBy(*keys, "value")
-        .agg(F.count(F.nanvl(F.col("value"), F.lit(None).cast("double"))).alias("n"))
-    )
-    return counts.where(F.col("n") > 0)
+    finite = F.when(F.abs("value") != F.lit(float("inf")), F.col("value"))
+    shares = [i / splits for i in range(1, splits)]
+    points = F.coalesce(F.percentile_approx(finite, shares, 10 * splits), F.array().cast("array<double>")).alias("_points")
+    if keys:
+        table = df.groupBy(*keys).agg(points)
+        own = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
+        same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+        with_points = df.join(table.select(*own, "_points"), reduce(lambda a, b: a & b, same)).drop(*[f"_key_{i}" for i in range(len(keys))])
+    else:
+        with_points = df.withColumn("_points", df.agg(points).scalar())
+    value = F.col("value")
+    return with_points.withColumn("bucket", F.size(F.filter("_points", lambda p: p <= value))).drop("_points")
 
 
 def _bucket_offsets(bucketed: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Totals per bucket and the sum of all earlier buckets. A few thousand rows per key."""
+    """Totals per bucket and the sum of all earlier buckets. At most SPLITS rows per key."""
     totals = bucketed.groupBy(*keys, "bucket").agg(*[F.sum(m).alias(f"in_{m}") for m in measures])
     w = Window.partitionBy(*keys).orderBy("bucket")
     whole = Window.partitionBy(*keys)
@@ -46,13 +52,20 @@ def _bucket_offsets(bucketed: DataFrame, measures: Sequence[str], keys: Sequence
     )
 
 
+def _beside(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Equi-join on names where null equals null; the columns of names are kept once."""
+    own = right.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(names)], *[c for c in right.columns if c not in names])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(names)]
+    return left.join(own, reduce(lambda a, b: a & b, same)).drop(*[f"_of_{i}" for i in range(len(names))])
+
+
 def prefix_totals(distinct: DataFrame, measures: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Add before_<m> (sum over smaller values) and all_<m> to a table of distinct values."""
-    bucketed = distinct.withColumn("bucket", order_bucket(F.col("value")))
+    bucketed = _bucketed(distinct, keys)
     offsets = _bucket_offsets(bucketed, measures, keys)
     w = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(*_BEFORE)
     inner = bucketed.select("*", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"inner_{m}") for m in measures])
-    joined = inner.join(offsets.drop(*[f"in_{m}" for m in measures]), [*keys, "bucket"])
+    joined = _beside(inner, offsets.drop(*[f"in_{m}" for m in measures]), [*keys, "bucket"])
     return joined.select(
         *keys,
         "value",
@@ -66,23 +79,27 @@ def _rank(q: float, n: Column) -> Column:
     return (n - 1) * F.lit(float(q))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles: one row per key, one column per named probability.
+def _around(df: DataFrame, value: str, keys: Sequence[str], wanted: Column) -> DataFrame:
+    """(keys, value, n, first_rank, all_n) of the values in the buckets where `wanted`, over off_n, in_n and all_n, holds.
 
-    Only the buckets that hold a wanted rank are sorted.
+    A sketch finds split points, a second scan counts the buckets, a third one takes the values of the few buckets
+    that hold a wanted rank. Neither the first nor the second shuffles values.
     """
-    counts = value_counts(df, value, keys).withColumn("bucket", order_bucket(F.col("value")))
-    offsets = _bucket_offsets(counts, ["n"], keys)
+    rows = df.select(*keys, F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    bucketed = _bucketed(rows, keys)
+    offsets = _bucket_offsets(bucketed.withColumn("n", F.lit(1).cast("long")), ["n"], keys).where(wanted).drop("in_n")
+    counts = _beside(bucketed, offsets, [*keys, "bucket"]).groupBy(*keys, "bucket", "off_n", "all_n", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(*_BEFORE)
+    return counts.withColumn("first_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("off_n"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles: one row per key, one column per named probability. Nulls and NaN are left out."""
     wanted = F.lit(False)
     for q in probs.values():
         h = _rank(q, F.col("all_n"))
         wanted = wanted | ((F.col("off_n") <= F.ceil(h)) & (F.floor(h) < F.col("off_n") + F.col("in_n")))
-    w = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(*_BEFORE)
-    ranked = (
-        counts.join(offsets.where(wanted).drop("in_n"), [*keys, "bucket"])
-        .withColumn("first_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("off_n"))
-        .withColumn("last_rank", F.col("first_rank") + F.col("n") - 1)
-    )
+    ranked = _around(df, value, keys, wanted).withColumn("last_rank", F.col("first_rank") + F.col("n") - 1)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("value")))
@@ -134,16 +151,11 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def cut_points(df: DataFrame, rank_value: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Value below which the given shares of each group fall, as columns cut_0, cut_1, ..."""
-    counts = value_counts(df, rank_value, keys).withColumn("bucket", order_bucket(F.col("value")))
-    offsets = _bucket_offsets(counts, ["n"], keys)
     wanted = F.lit(False)
     for s in shares:
         target = F.ceil(F.col("all_n") * F.lit(s))
         wanted = wanted | ((F.col("off_n") <= target) & (target < F.col("off_n") + F.col("in_n")))
-    w = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(*_BEFORE)
-    ranked = counts.join(offsets.where(wanted).drop("in_n"), [*keys, "bucket"]).withColumn(
-        "first_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("off_n")
-    )
+    ranked = _around(df, rank_value, keys, wanted)
     cuts = []
     for i, s in enumerate(shares):
         target = F.ceil(F.col("all_n") * F.lit(s))

@@ -7,7 +7,13 @@ from gatekit.catalog import SPARK, SQL
 
 SF = "/root/testdata/sf0.001"
 # One line item is repeated in the smallest tables, which leaves its order in a path and its partner in a join open.
-LARGER = dict.fromkeys(("certify_paths", "disagreement_with_reduction"), "/root/testdata/sf0.01")
+LARGER = dict.fromkeys(
+    (
+        "align_candidates certify_paths compose_chain compose_pair disagreement_with_reduction edge_report pareto_front "
+        "representation_distance semantic_disagreement tamper_check weighted_gamma weighted_mean_risk"
+    ).split(),
+    "/root/testdata/sf0.01",
+)
 TABLES = "lineitem orders events documents embeddings labels".split()
 
 
