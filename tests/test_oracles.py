@@ -32,7 +32,7 @@ def duck():
 
 
 def comparable(rows):
-    return sorted(tuple("" if v is None else round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in rows)
+    return sorted((tuple("" if v is None else round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
