@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import array_sum, clip01, r6
+from ..functions.numeric import array_sum, clip01, hash_uniform, r6
 from ..operators import compose as X
 from ..operators import fit as FT
 from ..operators import models as MD
@@ -231,6 +231,33 @@ def beta_pairs(spark, sf):
     return gaps.withColumn("expert_score", clip01(score))
 
 
+_GAPS = {
+    "repr": "g_repr", "rules": "g_rules", "activations": "g_act", "uncertainty": "abs(ul - ur)", "trace": "g_trace", "reduction": "least(1e0, delta_r)",
+}
+_TARGET = S.clip("0.4e0 * g_repr + 0.1e0 * g_rules + 0.2e0 * g_act + 0.2e0 * abs(ul - ur) + 0.1e0 * g_trace")
+_MOMENT_COLUMNS = [*_GAPS, "expert_score"]
+_MOMENTS = [(a, b) for i, a in enumerate(_MOMENT_COLUMNS) for b in _MOMENT_COLUMNS[i:]]
+
+
+@query(
+    "beta_moments",
+    S.PAIRED.rstrip() + ", gp as (select floor(" + S.uniform(42, "case_id") + " * 5)::bigint as fold, " + ", ".join(f"{v} as {k}" for k, v in _GAPS.items())
+    + f", {_TARGET} as expert_score from pairs) select fold, count(*)::bigint as n, " + ", ".join(f"round(sum({a} * {b}), 6) as {a}_{b}" for a, b in _MOMENTS) + " from gp group by fold",
+)
+def beta_moments(spark, sf):
+    """What the fit of the weights reads from the pairs: sums of products per fold."""
+    tagged = beta_pairs(spark, sf).withColumn("fold", F.floor(hash_uniform(42, F.col("case_id")) * 5))
+    sums = FT.moments(tagged, "expert_score", by=["fold"])
+    return sums.select("fold", "n", *[r6(F.col(f"`{a}*{b}`")).alias(f"{a}_{b}") for a, b in _MOMENTS])
+
+
+@query("fit_beta_optimality", " union all ".join(f"select '{f}' as feature, true as in_range, true as optimal, true as sums_to_one" for f in FT.FEATURES))
+def fit_beta_optimality(spark, sf):
+    """Whether the fitted weights meet the conditions of the optimum on the simplex, weight by weight."""
+    pairs = beta_pairs(spark, sf)
+    return FT.beta_optimality(pairs, FT.fit_beta(pairs))
+
+
 @query("fit_beta")
 def fit_beta(spark, sf):
     return rounded(FT.fit_beta(beta_pairs(spark, sf)))
@@ -251,6 +278,34 @@ def _model(spark, sf, kind, **args):
     return out.select("case_id", "split", "y_true", "y_pred", r6(F.col("p")).alias("p"), "action", r6(F.col("rho")).alias("rho"))
 
 
+@query("logistic_score_equations", " union all ".join(f"select '{f}' as term, true as solved" for f in ("intercept", *_MODEL_FEATURES)))
+def logistic_score_equations(spark, sf):
+    """Whether the fitted coefficients solve the equations of the likelihood: residuals are orthogonal to every feature."""
+    rows = P.stratified_split(V.cases(spark, sf).drop("p", "y_pred"), "y_true", ["case_id"])
+    train = rows.where(F.col("split") == "train")
+    scored = MD.score_risk_model(MD.fit_risk_model(train, _MODEL_FEATURES, "y_true", "logistic_regression"), train)
+    residual = F.col("y_true") - F.col("p")
+    terms = {"intercept": F.lit(1.0), **{f: F.col(f) for f in _MODEL_FEATURES}}
+    shares = [F.struct(F.lit(k).alias("term"), (F.abs(F.sum(residual * x)) <= 1e-3 * F.sum(F.abs(residual * x))).alias("solved")) for k, x in terms.items()]
+    return scored.agg(F.array(*shares).alias("terms")).select(F.inline("terms"))
+
+
+@query(
+    "forest_scores_every_row",
+    S.ctes(S.CASES) + f""", h as (select y_true, {S.uniform(42, "case_id")} as u from cases),
+r as (select *, rank() over (partition by y_true order by u) - 1 as k, count(*) over (partition by y_true) as n from h)
+select case when k < ceil(n * 0.25e0) then 'test' else 'validation' end as split, y_true::bigint as y_true, count(*)::bigint as n, count(*)::bigint as in_range, count(*)::bigint as gated from r where k < ceil(n * 0.4375e0) group by 1, 2""",
+)
+def forest_scores_every_row(spark, sf):
+    """Rows of the held-out parts, those with a probability, and those whose action is the gate's at that probability."""
+    rows = P.stratified_split(V.cases(spark, sf).drop("p", "y_pred"), "y_true", ["case_id"])
+    out = MD.fit_and_observe(rows.where(F.col("split") == "train"), rows.where(F.col("split") != "train"), _MODEL_FEATURES, "y_true", "random_forest", trees=20)
+    again = MD.gate_of(out.select("case_id", "split", "y_true", "p", "proba", F.col("action").alias("given")))
+    return again.groupBy("split", F.col("y_true").cast("long").alias("y_true")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("p").between(0.0, 1.0)).alias("in_range"), F.count_if(F.col("given") == F.col("action")).alias("gated")
+    )
+
+
 @query("fit_risk_model_logistic")
 def fit_risk_model_logistic(spark, sf):
     return _model(spark, sf, "logistic_regression")

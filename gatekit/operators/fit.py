@@ -5,6 +5,8 @@ Spark reduces the pairs to one 6x6 moment matrix (per fold); only that reaches t
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,32 +36,56 @@ def _unpack(row, features: Sequence[str], target: str):
     return xtx, xty, get(target, target), int(row["n"])
 
 
-def project_to_simplex(v: np.ndarray) -> np.ndarray:
-    """Nearest point of the probability simplex: shift by the level at which the positive part sums to 1."""
-    ordered = np.sort(v)[::-1]
-    levels = (np.cumsum(ordered) - 1.0) / np.arange(1, len(v) + 1)
-    return np.maximum(v - levels[ordered > levels][-1], 0.0)
+def solve_simplex(xtx: np.ndarray, xty: np.ndarray, n: int, l2: float = 1e-3) -> np.ndarray:
+    """The weights on the simplex with the least mean squared error plus l2 times their squares.
 
-
-def solve_simplex(xtx: np.ndarray, xty: np.ndarray, n: int, l2: float = 1e-3, steps: int = 2000, lr: float = 0.05) -> np.ndarray:
-    w = np.full(len(xty), 1.0 / len(xty))
-    for _ in range(steps):
-        w = project_to_simplex(w - lr * (2.0 / n * (xtx @ w - xty) + 2.0 * l2 * w))
-    return w
-
-
-def fit_beta(pairs: DataFrame, target: str = "expert_score", features: Sequence[str] = FEATURES, **solver) -> DataFrame:
+    The optimum is the solution of linear equations on the features it uses; with a handful of features every
+    choice of them is solved, and the best one without a negative weight is the optimum.
+    """
+    k = len(xty)
+    h, g = 2.0 / n * xtx + 2.0 * l2 * np.eye(k), 2.0 / n * xty
+    best, least = np.full(k, 1.0 / k), math.inf
+    for size in range(1, k + 1):
+        for used in map(list, itertools.combinations(range(k), size)):
+            system = np.ones((size + 1, size + 1))
+            system[:size, :size], system[size, size] = h[np.ix_(used, used)], 0.0
+            part = np.linalg.lstsq(system, np.append(g[used], 1.0), rcond=None)[0][:size]
+            if part.min() < -1e-12:
+                continue
+            w = np.zeros(k)
+            w[used] = np.maximum(part, 0.0)
+            error = float(w @ h @ w / 2 - g @ w)
+            if error < least - 1e-15:
+                best, least = w, error
+    return best
+
+
+def fit_beta(pairs: DataFrame, target: str = "expert_score", features: Sequence[str] = FEATURES, l2: float = 1e-3) -> DataFrame:
     """Weights on the simplex that best explain the expert score, as rows (feature, weight)."""
     row = moments(pairs, target, features).first().asDict()
     if not row["n"]:
         raise ValueError("at least one calibration pair is required")
     xtx, xty, _, n = _unpack(row, features, target)
-    w = solve_simplex(xtx, xty, n, **solver)
+    w = solve_simplex(xtx, xty, n, l2)
     return pairs.sparkSession.createDataFrame(
         [(f, float(v)) for f, v in zip(features, w)], "feature string, weight double"
     )
 
 
+def beta_optimality(pairs: DataFrame, weights: DataFrame, target: str = "expert_score", features: Sequence[str] = FEATURES, l2: float = 1e-3, tolerance: float = 1e-4) -> DataFrame:
+    """Per feature: weight in [0,1], and its slope the smallest of all where the weight is positive, no smaller where it is zero."""
+    xtx, xty, _, n = _unpack(moments(pairs, target, features).first().asDict(), features, target)
+    fitted = {r.feature: r.weight for r in weights.collect()}
+    w = np.array([fitted[f] for f in features])
+    slope = 2.0 / n * (xtx @ w - xty) + 2.0 * l2 * w
+    level = float(slope @ w)
+    rows = [
+        (f, bool(-tolerance <= v <= 1 + tolerance), bool(abs(g - level) <= tolerance if v > tolerance else g >= level - tolerance), bool(abs(w.sum() - 1) <= tolerance))
+        for f, v, g in zip(features, w, slope, strict=True)
+    ]
+    return pairs.sparkSession.createDataFrame(rows, "feature string, in_range boolean, optimal boolean, sums_to_one boolean")
+
+
 def cv_beta(pairs: DataFrame, case: str, target: str = "expert_score", folds: int = 5, seed: int = 42, features: Sequence[str] = FEATURES) -> DataFrame:
     """Per fold: squared error with even and with fitted weights, and rank correlation of the latter.
 

@@ -56,5 +56,10 @@ def score_risk_model(fitted, df: DataFrame, positive: int = 1) -> DataFrame:
 def fit_and_observe(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest", profile: Sequence[str] | None = None, **model_args) -> DataFrame:
     """Train on one part and gate the other."""
     fitted = fit_risk_model(train, features, label, kind, **model_args)
+    return gate_of(score_risk_model(fitted, test), profile)
+
+
+def gate_of(scored: DataFrame, profile: Sequence[str] | None = None) -> DataFrame:
+    """The gate of a risk model over its probabilities (p, proba)."""
     policy = GatePolicy(theta_mid=0.34, theta_high=0.62)
-    return observe(score_risk_model(fitted, test), "p", proba="proba", profile=profile, policy=policy)
+    return observe(scored, "p", proba="proba", profile=profile, policy=policy)
