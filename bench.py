@@ -23,7 +23,8 @@ HEADLINE = (
     "semantic_disagreement", "compose_pair", "certify_paths", "compose_chain", "drift_path", "tabular_route", "audit_decisions",
     "attribution_conflict", "objective_metrics", "level_summary", "ablation_modes", "calibrate_gate", "set_agreement",
     "series_stats", "classification_metrics", "rule_importance_lofo", "rule_importance_bootstrap", "bootstrap_ci",
-    "counterevidence_counts", "action_rates",
+    "counterevidence_counts", "action_rates", "triage_summary", "quality_conflict_gate", "rupture_gates", "impute", "mcnemar",
+    "calibrate_by_objective", "calibrate_simplex", "action_rates_stream",
 )
 
 

@@ -205,7 +205,9 @@ def action_rates_stream(spark, sf):
     S.ctes(_DRIFT) + "select user_id, event_id, round(gamma, 9) as gamma, round(gamma, 9) > 0.35 as rupture from dr",
 )
 def drift_stream(spark, sf):
-    out = run_to_table(ST.drift_stream(_stream(spark, sf), gamma_max=0.35), "drift")
+    # A day of a user is one group of the state; the ends of the days are joined afterwards.
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01"))
+    out = ST.join_shards(run_to_table(ST.drift_stream(_stream(spark, sf), gamma_max=0.35, shard=day), "drift"), 0.35)
     return out.where(~F.col("first")).select("user_id", "event_id", r9(F.col("gamma")).alias("gamma"), "rupture")
 
 

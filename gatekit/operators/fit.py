@@ -118,14 +118,19 @@ def cv_beta(pairs: DataFrame, case: str, target: str = "expert_score", folds: in
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
-    """Rank correlation per key with averaged ties, from distinct value pairs. Values must not be null."""
+    """Rank correlation per key with averaged ties, from distinct value pairs. Values must not be null.
+
+    Ranks are centred before their squares are summed, so that no digits are lost on long tables.
+    """
     # Join keys that cannot be null, so that no null test on them is pushed below the aggregation.
     va, vb = (F.coalesce(F.col(c), F.lit(float("nan"))) for c in (a, b))
     cells = df.groupBy(*keys, va.alias("va"), vb.alias("vb")).agg(F.count("*").alias("n"))
     ranks = {}
     for name in ("va", "vb"):
         counts = cells.groupBy(*keys, F.col(name).alias("value")).agg(F.sum("n").alias("n"))
-        ranks[name] = average_ranks(counts, keys).select(*keys, F.col("value").alias(name), F.col("rank").alias(f"r{name}"))
+        ranks[name] = average_ranks(counts, keys).select(
+            *keys, F.col("value").alias(name), (F.col("rank") - (F.col("all_n") + 1) / 2.0).alias(f"r{name}")
+        )
     joined = cells.join(ranks["va"], [*keys, "va"]).join(ranks["vb"], [*keys, "vb"])
     n, x, y = F.col("n"), F.col("rva"), F.col("rvb")
     s = {k: F.sum(v) for k, v in {"n": n, "x": n * x, "y": n * y, "xx": n * x * x, "yy": n * y * y, "xy": n * x * y}.items()}

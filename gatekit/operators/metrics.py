@@ -171,8 +171,7 @@ def distribution(df: DataFrame, columns: Sequence[str], rollup: bool = False) ->
     """Count and percentage to two places per value."""
     grouped = df.rollup(*columns) if rollup else df.groupBy(*columns)
     counts = grouped.agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy()) if not rollup else F.max("count").over(Window.partitionBy())
-    return counts.withColumn("percentage", F.round(F.col("count") / total * 100.0, 2))
+    return counts.withColumn("percentage", F.round(F.col("count") / df.agg(F.count("*")).scalar() * 100.0, 2))
 
 
 def class_coverage(df: DataFrame, cls: str = "representation_class", task: str = "task_type", case: str = "case_id", order: Sequence[str] = ("case_id",), examples: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -133,7 +133,7 @@ def drift_stream(events: DataFrame, gamma_max: float = 0.25, lateness: str = "1
     """Disagreement of each event with the user's one before, kept in state per user.
 
     `shard` splits a hot user, for example by day; each shard then starts afresh and its first row
-    is marked, so a batch job can join shard ends. State is one row per user and shard and times out.
+    is marked, and `join_shards` pairs it over the table written. State is one row per user and shard and times out.
     """
     keyed = events.withWatermark("ts", lateness).withColumn("shard", (F.lit(0) if shard is None else shard).cast("int"))
     return keyed.select("user_id", "shard", "event_id", "ts", "event_type", "u").groupBy("user_id", "shard").applyInPandasWithState(
@@ -141,6 +141,31 @@ def drift_stream(events: DataFrame, gamma_max: float = 0.25, lateness: str = "1
     )
 
 
+def join_shards(edges: DataFrame, gamma_max: float = 0.25) -> DataFrame:
+    """The table a sharded drift stream has written, with the first row of a shard paired with the end of the user's shard before.
+
+    Shards must rise with time. Only shard ends, one row each, are put in order; the very first row of a user stays
+    without a gamma.
+    """
+    end = F.max_by(F.struct("event_type", "u"), F.struct("ts", "event_id"))
+    ends = edges.groupBy("user_id", "shard").agg(end.alias("end"))
+    order = Window.partitionBy("user_id").orderBy("shard")
+    carried = ends.select(F.col("user_id").alias("_user"), F.col("shard").alias("_shard"), F.lag("end").over(order).alias("_before"))
+    joined = edges.join(carried, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("shard") == F.col("_shard")))
+    u0, u1 = F.col("_before.u"), F.col("u")
+    same = F.col("_before.event_type").eqNullSafe(F.col("event_type"))
+    a0, a1 = 0.5 + 0.5 * u0, 0.5 + 0.5 * u1
+    activation = F.when(same, F.abs(a0 - a1)).otherwise((a0 + a1) / 2.0)
+    gamma = (0.30 + 0.20) * F.abs(u0 - u1) + F.when(same, 0.0).otherwise(0.25) + 0.15 * activation + 0.10 * 2.0 / 6.0
+    opened = F.col("first") & F.col("_before").isNotNull()
+    return joined.select(
+        "user_id", "shard", "event_id", "ts",
+        F.when(opened, gamma).otherwise(F.col("gamma")).alias("gamma"),
+        F.when(opened, gamma > gamma_max).otherwise(F.col("rupture")).alias("rupture"),
+        (F.col("first") & ~opened).alias("first"), "event_type", "u",
+    )
+
+
 def session_paths(edges: DataFrame, key: str, ts: str, gap: str = "2 hours", lateness: str = "1 hour", gamma_max: float = 1.0, order: Sequence[str] = ()) -> DataFrame:
     """A path certificate per session of edges; on a stream it is emitted when the session closes."""
     source = edges.withWatermark(ts, lateness) if edges.isStreaming else edges
