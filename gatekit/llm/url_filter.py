@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import let
 from .common import ascii_lower
 
 # The rules of the query as (verdict, host, path).
