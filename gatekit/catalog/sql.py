@@ -37,27 +37,31 @@ def _horner(coefficients, x: str) -> str:
     return total
 
 
-def bootstrap(source: str, sums, out: str, replicates: int = 5000, seed: int = 42) -> str:
-    """CTEs that end in `out` (rep, sums): kinds of rows by their sums, a Poisson total per kind and replicate."""
+def poisson_weights(kinds: str, out: str, replicates: int = 5000, seed: int = 42) -> str:
+    """CTEs that end in `out`: the rows of kinds (units, kind, ...) once per rep with w, a Poisson total of their units."""
     from ..functions import numeric as N
 
-    names = ", ".join(sums)
-    kind = " || ',' || ".join(f"({s})::bigint::varchar" for s in sums)
-
     def tail(q):
         return f"({_horner(N.QUANTILE_C, f'sqrt(-2e0 * ln({q}))')} / ({_horner(N.QUANTILE_D, f'sqrt(-2e0 * ln({q}))')} * sqrt(-2e0 * ln({q})) + 1e0))"
 
     r = "((u - 0.5e0) * (u - 0.5e0))"
     middle = f"({_horner(N.QUANTILE_A, r)} * (u - 0.5e0) / ({_horner(N.QUANTILE_B, r)} * {r} + 1e0))"
     z = f"case when u < {N.QUANTILE_TAIL!r} then {tail('u')} when u > {1 - N.QUANTILE_TAIL!r} then -{tail('(1e0 - u)')} else {middle} end"
-    weighted = ", ".join(f"sum({s} * w)::bigint as {s}" for s in sums)
-    return f"""{out}_k as (select {names}, count(*) as units, {kind} as kind from {source} group by {names}),
-{out}_m as (select units, k, sum(exp(-units + k * ln(units) - lgamma(k + 1))) over (partition by units order by k) as cdf from (select distinct units from {out}_k where units <= {N.POISSON_EXACT}), (select unnest(range(150)) as k)),
+    return f"""{out}_m as (select units, k, sum(exp(-units + k * ln(units) - lgamma(k + 1))) over (partition by units order by k) as cdf from (select distinct units from {kinds} where units <= {N.POISSON_EXACT}), (select unnest(range(150)) as k)),
 {out}_l as (select units, list(cdf order by k) as cdfs from {out}_m group by 1),
-{out}_u as (select *, greatest({uniform(seed, 'rep', 'kind')}, 1.1102230246251565e-16) as u, {uniform(seed, 'rep', 'kind')} as u0 from {out}_k, (select unnest(range({replicates})) as rep)),
+{out}_u as (select *, greatest({uniform(seed, 'rep', 'kind')}, 1.1102230246251565e-16) as u, {uniform(seed, 'rep', 'kind')} as u0 from {kinds}, (select unnest(range({replicates})) as rep)),
 {out}_z as (select *, {z} as z from {out}_u),
-{out}_w as (select {out}_z.*, case when {out}_z.units <= {N.POISSON_EXACT} then len(list_filter(cdfs, lambda c: u0 >= c)) else greatest(0, floor({out}_z.units + sqrt({out}_z.units) * z + (z * z - 1e0) / 6e0 + 0.5e0)) end::bigint as w
-    from {out}_z left join {out}_l on {out}_z.units = {out}_l.units),
+{out} as (select {out}_z.*, case when {out}_z.units <= {N.POISSON_EXACT} then len(list_filter(cdfs, lambda c: u0 >= c)) else greatest(0, floor({out}_z.units + sqrt({out}_z.units) * z + (z * z - 1e0) / 6e0 + 0.5e0)) end::bigint as w
+    from {out}_z left join {out}_l on {out}_z.units = {out}_l.units)"""
+
+
+def bootstrap(source: str, sums, out: str, replicates: int = 5000, seed: int = 42) -> str:
+    """CTEs that end in `out` (rep, sums): kinds of rows by their sums, a Poisson total per kind and replicate."""
+    names = ", ".join(sums)
+    kind = " || ',' || ".join(f"({s})::bigint::varchar" for s in sums)
+    weighted = ", ".join(f"sum({s} * w)::bigint as {s}" for s in sums)
+    return f"""{out}_k as (select {names}, count(*) as units, {kind} as kind from {source} group by {names}),
+{poisson_weights(f"{out}_k", f"{out}_w", replicates, seed)},
 {out} as (select rep, {weighted} from {out}_w group by rep)"""
 
 

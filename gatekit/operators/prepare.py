@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.numeric import clip01, config_array, hash_uniform
+from ..functions.numeric import config_array, hash_uniform
 from .quantiles import cut_points, exact_quantiles, unpivot
 
 # Column names taken as the target, in order of preference.

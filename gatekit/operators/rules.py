@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import double_array, hash_uniform, poisson1
+from ..functions.numeric import double_array, hash_uniform, let, poisson_steps, poisson_total
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -82,17 +82,17 @@ def top_magnitude(importance: DataFrame, budget: int) -> DataFrame:
     return importance.orderBy(F.col("magnitude").desc(), "rule").limit(budget)
 
 
-def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], case: str, h: str = "h", y: str = "y", bias: float = 0.0, threshold: float = 0.0, replicates: int = 50, top_k: int | None = None, seed: int = 42) -> DataFrame:
+def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], h: str = "h", y: str = "y", bias: float = 0.0, threshold: float = 0.0, replicates: int = 50, top_k: int | None = None, seed: int = 42) -> DataFrame:
     """Mean and spread of the F1 drop, top-k frequency and mean rank over bootstrap replicates.
 
-    A row's weight in a replicate is a hash-derived Poisson(1) draw. Only (case, rule) pairs whose
-    prediction flips are expanded by replicate; all other pairs count as the full model does.
+    A row's weight in a replicate is a Poisson(1) draw. Rows with the same label, prediction and flipping rules are one
+    kind, whose draws add up to one Poisson draw of their number, so replicates meet the kinds and not the rows.
     Equal drops are ranked by mean activation over the whole table, then by rule.
     """
     n_rules = len(theta)
     top = max(1, min(n_rules, round(0.10 * n_rules) if top_k is None else top_k))
     scored = _scored(df, h, theta, bias).select(
-        F.col(case).alias("_case"), (F.col(y) == 1).alias("t"), (F.col("_z") >= threshold).alias("full"),
+        (F.col(y) == 1).alias("t"), (F.col("_z") >= threshold).alias("full"),
         F.filter(
             F.zip_with(
                 F.sequence(F.lit(0), F.lit(n_rules - 1)),
@@ -103,9 +103,11 @@ def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], case: str,
         ).alias("flips"),
     )
     reps = F.sequence(F.lit(0), F.lit(replicates - 1))
-    weighted = scored.select("*", F.explode(reps).alias("rep")).withColumn(
-        "w", poisson1(hash_uniform(seed, F.col("rep"), F.col("_case")))
-    )
+    kinds = scored.groupBy("t", "full", "flips").agg(F.count("*").alias("_units")).withColumn("_steps", poisson_steps(F.col("_units")))
+    name = F.concat_ws(",", F.col("t").cast("int").cast("string"), F.col("full").cast("int").cast("string"), F.array_join(F.col("flips").cast("array<string>"), "."))
+    rows = kinds.withColumn("_kind", name).withColumn("rep", F.explode(reps))
+    draw = let(hash_uniform(seed, F.col("rep"), F.col("_kind")), lambda u: poisson_total(u, F.col("_units"), F.col("_steps")))
+    weighted = rows.select("rep", "t", "full", "flips", draw.alias("w"))
     t, full = F.col("t"), F.col("full")
 
     def total(cond: Column) -> Column:

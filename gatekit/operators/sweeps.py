@@ -20,7 +20,7 @@ from ..functions.numeric import clip01, config_array, double_array, hash_uniform
 from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, GatePolicy, risk_shares
 from .attributions import AUTO_HIGH, AUTO_LOW, conflict_rho
 from .decisions import long_actions
-from .metrics import is_auto, objective, objective_metrics, policy_metrics, recall_or_one, share
+from .metrics import is_auto, objective, objective_metrics, policy_metrics, share
 
 EVAL_WEIGHTS = {
     "predicted_risk": 0.40, "uncertainty": 0.20, "interpretability_gap": 0.15, "reduction_loss": 0.10, "diagnostic": 0.15,
