@@ -39,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies. Null ids and empty texts are nobody's copy and stay."""
     copies = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(bounded(copies).hint("shuffle_hash"), docs["doc_id"] == F.col("__copy"), "left_anti")
+    return docs.join(bounded(copies, otherwise="shuffle_hash"), docs["doc_id"] == F.col("__copy"), "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,11 @@ PERCENT = 80
 BROADCAST_ROWS = 100_000
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its rows, counted before, are few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows, counted before, are few; else with the hint `otherwise` for a shuffled join."""
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 def item_sets(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -50,8 +52,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, w
     top = F.lit(max(cuts, default=-(2**63)))
     probes = docs.select(text_print(F.col("text")).alias("tp"), F.explode(F.filter(shingle_hashes(F.col("text"), width), lambda h: h <= top)).alias("h"))
     pairs = cut(probes.join(bounded(sketches), "h").select("tp", "ip").distinct())
-    texts = bounded(pairs.select("tp").distinct())
-    here = docs.select(text_print(F.col("text")).alias("tp"), F.col("text").alias("body")).join(texts.hint("shuffle_hash"), "tp")
+    texts = bounded(pairs.select("tp").distinct(), otherwise="shuffle_hash")
+    here = docs.select(text_print(F.col("text")).alias("tp"), F.col("text").alias("body")).join(texts, "tp")
     full = here.select("tp", F.array_distinct(shingle_hashes(F.col("body"), width)).alias("full"))
     shared = F.size(F.array_intersect("full", "set"))
     measured = full.join(bounded(pairs), "tp").join(bounded(sets), "ip").select("tp", "ip", F.col("n").alias("n_item"), shared.alias("n_shared"))
@@ -73,4 +75,4 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """docs without the rows whose text holds an item. All columns stay as they are."""
     found = cut(contained_items(docs, items, percent, width)).select(F.col("tp").alias("__leaking")).distinct()
-    return docs.join(bounded(found).hint("shuffle_hash"), text_print(docs["text"]) == F.col("__leaking"), "left_anti")
+    return docs.join(bounded(found, otherwise="shuffle_hash"), text_print(docs["text"]) == F.col("__leaking"), "left_anti")
