@@ -82,12 +82,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def settle(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame, places: int = PLACES) -> DataFrame:
     """(node, component) of the classes that links tie, links being those given and all that buckets hold.
 
-    members: (bucket, rep, n, brief, keys, home, nth); classes of one home are not compared; nth puts the
-    members of a bucket in an order that is the same in all buckets, from 1. In round t the next 4**t members of each
-    bucket are hubs, compared with the members behind them, but only across components: a bucket of
-    copies of one text is settled by its first hubs. A pair is compared once, in the smallest bucket it shares
-    by its keys. Buckets leave once
-    they lie in one component or each member has been a hub, so no pair of a bucket is left out. Pairs whose
+    members: (bucket, rep, n, brief, keys, home, nth). Classes of one home are not compared; nth puts the members of
+    a bucket in an order that is the same in all buckets, from 1. In round t the next 4**t members of each bucket are
+    hubs, compared with the members behind them, but only across components: a bucket of copies of one text is
+    settled by its first hubs. A pair is compared once, in the smallest bucket it shares by its keys. Buckets leave
+    once they lie in one component or each member has been a hub, so no pair of a bucket is left out. Pairs whose
     sizes or brief signatures rule out the threshold are not fetched; the rest is measured on full sets.
     With places=0 members have one key, their bucket, and neither brief nor keys.
     """
