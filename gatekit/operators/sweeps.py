@@ -451,6 +451,11 @@ COUNTERS = ("missed_critical", "false_auto_accept", "unsafe_accept", "false_bloc
 SCORED_AT_ONCE = 1000
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A few narrow columns dealt evenly: each row costs thousands of scores, so the shuffle is nothing beside them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _objective_counter(weights: np.ndarray, thetas: np.ndarray):
     """Counters of every candidate over the cases of a task, one row per candidate and task."""
 
@@ -487,7 +492,7 @@ def calibrate_by_objective(cases: DataFrame, candidates: DataFrame) -> DataFrame
     """
     fields = ["method", "idx", *OBJECTIVE_WEIGHTS, "t1", "t2", "t3", "t4"]
     listed = candidates.select(*fields).toPandas()
-    seen = cases.withColumn("wrong", F.col("y_true") != F.col("y_pred")).select(*CONFLICT_COLUMNS)
+    seen = _dealt(cases.withColumn("wrong", F.col("y_true") != F.col("y_pred")).select(*CONFLICT_COLUMNS))
     counter = _objective_counter(listed[list(OBJECTIVE_WEIGHTS)].to_numpy(float), listed[["t1", "t2", "t3", "t4"]].to_numpy(float))
     schema = "at long, " + ", ".join(f"{c} long" for c in COUNTERS) + ", margin double, n long"
     sums = seen.mapInPandas(counter, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "margin", "n")])
@@ -573,7 +578,7 @@ def calibrate_simplex(cases: DataFrame, grid: DataFrame) -> DataFrame:
     """
     listed = grid.select(*RISK_TERMS).toPandas()
     counter = _simplex_counter(listed.to_numpy(float), GatePolicy())
-    seen = cases.select(*SIMPLEX_COLUMNS, "expected_action")
+    seen = _dealt(cases.select(*SIMPLEX_COLUMNS, "expected_action"))
     sums = seen.mapInPandas(counter, "at long, agreed long, error double, n long").groupBy("at").agg(*[F.sum(c).alias(c) for c in ("agreed", "error", "n")])
     table = cases.sparkSession.createDataFrame(listed.assign(at=range(len(listed))))
     out = table.join(sums, "at").select(*RISK_TERMS, (F.col("agreed") / F.col("n")).alias("accuracy"), (F.col("error") / F.col("n")).alias("mse"))
