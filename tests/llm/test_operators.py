@@ -242,6 +242,39 @@ def test_edited_paragraphs_are_linked(spark):
     assert len(found) >= 45 and found <= set(range(100, 160))
 
 
+def test_similar_paragraphs_always_meet():
+    """Sets that share 80 percent have a band key in common, also if one repeats shingles."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        a = rng.integers(0, 2**63, 22).astype(np.uint64)
+        b, edits, repeats = a.copy(), rng.integers(0, 3), rng.integers(0, 5)
+        b[rng.choice(22, edits, replace=False)] = rng.integers(0, 2**63, edits).astype(np.uint64)
+        b[rng.choice(22, repeats, replace=False)] = b[0]
+        shared = len(set(a) & set(b))
+        if 100 * shared >= 80 * len(set(a) | set(b)):
+            x = np.sort(np.stack([a, b]), axis=1)
+            near, far = paragraphs._smallest(x, 80)
+            plain_key, odd = set(x[0][near[0]]), len(set(b)) < 22
+            assert (plain_key | (set(x[0][far[0]]) if odd else set())) & set(x[1][near[1]])
+
+
+def test_edits_inside_are_linked_at_the_production_window(spark):
+    """Paragraphs of 26 words with an edit near their end, and lines of 100 words with edits inside: all are linked."""
+    rng = random.Random(16)
+    short = [some_words(rng, 26, 10**6) for _ in range(60)]
+    long = [some_words(rng, 100, 10**6) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(short)] + [(100 + i, " ".join([*w[:24], "edit", w[25]])) for i, w in enumerate(short)]
+    around = lambda w: f"{' '.join(some_words(rng, 30, 10**6))}\n{' '.join(w)}\n{' '.join(some_words(rng, 9, 10**6))}"
+    rows += [(200 + i, around(w)) for i, w in enumerate(long)] + [(300 + i, around([x if k not in (20, 70) else "edit" for k, x in enumerate(w)])) for i, w in enumerate(long)]
+    out = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    assert {r.doc_id for r in out} == {*range(100, 160), *range(300, 360)}
+    # Paragraphs of 26 words with two words of the surroundings are similar enough, too.
+    assert all(r.first_doc == r.doc_id - 100 for r in out)
+    assert all((r.from_word, r.to_word) == (0, 26) if r.doc_id < 200 else 28 <= r.from_word <= 30 and 130 <= r.to_word <= 132 for r in out)
+
+
 def test_a_common_line_is_no_meeting_place(spark):
     """Paragraphs that share one line with many others are linked to those they resemble, and to no other."""
     rng = random.Random(7)
