@@ -232,6 +232,24 @@ def test_repeated_passages(spark, empty):
     assert not paragraphs.repeated_passages(empty).collect()
 
 
+def test_passages_end_where_texts_part(spark):
+    """Exact spans of exact repeats of 51 words or more, in the text that loses them and in the one that keeps them."""
+    rng = random.Random(8)
+    docs, want = {}, set()
+    for i in range(0, 80, 2):
+        passage = some_words(rng, 51 + i // 2, 10**6)
+        for d in (i, i + 1):
+            before = rng.randrange(0, 70)
+            docs[d] = some_words(rng, before, 10**6) + passage + some_words(rng, rng.randrange(40, 70), 10**6)
+            want.add((d, before, before + len(passage), i, d != i))
+    df = spark.createDataFrame([(d, "\n".join(" ".join(w[at : at + 20]) for at in range(0, len(w), 20))) for d, w in docs.items()], "doc_id long, text string")
+    equal = paragraphs.repeated_passages(df, percent=100).collect()
+    assert {(r.doc_id, r.from_word, r.to_word, r.first_doc, r.removed) for r in equal} == want
+    # At 80 percent a paragraph with two words of the surroundings is similar enough, too.
+    near = {r.doc_id: r for r in paragraphs.repeated_passages(df).collect()}
+    assert all(a - 2 <= near[d].from_word <= a and b <= near[d].to_word <= b + 2 for d, a, b, _, _ in want)
+
+
 def test_edited_paragraphs_are_linked(spark):
     """Paragraphs with an edit near their end are similar, not equal; most of them are linked."""
     rng = random.Random(6)
