@@ -1,10 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified on exact shingles.
+"""Benchmark decontamination: containment search by a prefix filter, verified on exact shingles.
 
 An item of n shingles of which `need` must be in a document keeps its n - need + 1 smallest shingle hashes: if a
-document holds `need` of its shingles, it holds one of these, so the search loses nothing. Items are partitioned
-by size; each partition has a cut, the largest hash its sketches keep, and a document is sketched to its hashes
-below the cuts. Documents of any length are thus probed with a fixed share of their shingles, where a MinHash of fixed
-length would miss a short item in a long text.
+document holds `need` of its shingles, it holds one of these, so the search loses nothing. There is one cut for items of
+all sizes, the largest hash that any of them keeps, and a document is probed with its hashes up to the cut. A short
+item, or many items, move the cut towards the maximum, and then nearly all shingles of a document are probed. A MinHash
+of fixed length would miss a short item in a long text.
 """
 
 from __future__ import annotations
