@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import queries_clean, queries_match, queries_model  # noqa: E402, F401
+from . import queries_clean, queries_format, queries_match, queries_model  # noqa: E402, F401
