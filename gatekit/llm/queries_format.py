@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from .common import table
+from .cross_tokenizer import align
 from .manifest import digest, fold, manifest, siblings
 from .queries import query
 
@@ -69,6 +70,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query("op12_cross_tokenizer")
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return aligned.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 SAYS = "<|im_end|><|im_start|>assistant ok"
 ESCAPED = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
 CHATS_SQL = f"""
