@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import gates as G
 from ..functions.numeric import array_sum, clip01, config_array
 from .attributions import conflict_rho
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, unpivot
 
 
 # --- tabular route -----------------------------------------------------------------
@@ -161,12 +161,11 @@ def baseline_gates(df: DataFrame, access: str = "native", q: float = 0.90) -> Da
 
     Needs p, u, interpretability, chi_r_crit, attr_top, surrogate_top, surrogate_mixed,
     anchor_precision, anchor_coverage and anchor_empty. The two cut values are exact quantiles of
-    the whole table, read by scalar subquery.
+    the whole table, found together and read by one scalar subquery.
     """
     p, crit = F.col("p"), F.col("chi_r_crit")
-    cuts = {
-        name: exact_quantiles(df, name, {"q": q}).select("q").scalar() for name in ("attr_top", "surrogate_top")
-    }
+    both = exact_quantiles(unpivot(df, ["attr_top", "surrogate_top"]), "value", {"q": q}, keys=["column"], few_keys=True)
+    cut = both.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in ("attr_top", "surrogate_top")]))
     if access == "native":
         fallback, seen = G.threshold_native(p), None
     elif access == "equal":
@@ -174,12 +173,12 @@ def baseline_gates(df: DataFrame, access: str = "native", q: float = 0.90) -> Da
     else:
         raise ValueError(f"unknown access {access!r}")
     weak = F.col("anchor_empty") | (F.col("anchor_precision") < 0.95) | (F.col("anchor_coverage") < 0.05)
-    with_cuts = df.withColumn("_qa", cuts["attr_top"]).withColumn("_qs", cuts["surrogate_top"])
-    mixed = F.col("surrogate_mixed") & (F.col("surrogate_top") >= F.col("_qs"))
+    with_cuts = df.withColumn("_cut", cut.scalar())
+    mixed = F.col("surrogate_mixed") & (F.col("surrogate_top") >= F.col("_cut.surrogate_top"))
     return with_cuts.select(
         *df.columns,
         fallback.alias("threshold"),
-        G.guarded(F.col("attr_top") >= F.col("_qa"), p, fallback, seen).alias("magnitude"),
+        G.guarded(F.col("attr_top") >= F.col("_cut.attr_top"), p, fallback, seen).alias("magnitude"),
         G.guarded(mixed, p, fallback, seen).alias("mixed_sign"),
         G.guarded(weak, p, fallback, seen).alias("anchor"),
     )

@@ -262,11 +262,8 @@ SERIES_QUANTILES = {"median": 0.50, "p25": 0.25, "p75": 0.75, "p05": 0.05, "p95"
 
 
 def series_stats(df: DataFrame, column: str) -> DataFrame:
-    """Mean, population deviation and five exact quantiles of a column."""
-    moments = df.agg(F.struct(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")).alias("m"))
-    quantiles = exact_quantiles(df, column, SERIES_QUANTILES)
-    with_moments = quantiles.withColumn("_m", moments.scalar())
-    return with_moments.select(F.col("_m.mean").alias("mean"), F.col("_m.std").alias("std"), *SERIES_QUANTILES)
+    """Mean, population deviation and five exact quantiles of a column, in two scans. Nulls and NaN are left out."""
+    return exact_quantiles(df, column, SERIES_QUANTILES, moments=True).select("mean", "std", *SERIES_QUANTILES)
 
 
 def quantile_digest(df: DataFrame, column: str) -> DataFrame:

@@ -91,7 +91,7 @@ def profile_to_tags(tags: Column) -> Column:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return exact_quantiles(unpivot(df, columns), "value", {"median": 0.5}, keys=["column"])
+    return exact_quantiles(unpivot(df, columns), "value", {"median": 0.5}, keys=["column"], few_keys=True)
 
 
 def _as_map(table: DataFrame, key: str, value: str) -> Column:
@@ -280,7 +280,7 @@ def fit_terms(df: DataFrame, columns: Sequence[str], approximate: bool = False)
         sketch = long.groupBy("column").agg(F.percentile_approx("value", list(QUARTILES.values()), 10000).alias("q"))
         found = sketch.select("column", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(QUARTILES)])
     else:
-        found = exact_quantiles(long, "value", QUARTILES, keys=["column"])
+        found = exact_quantiles(long, "value", QUARTILES, keys=["column"], few_keys=True)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     table = names.join(found, "column", "left")
     cols = ["column"]

@@ -1,7 +1,8 @@
 """Exact order statistics without a global sort or an unbounded group.
 
-Values fall into buckets between split points that a sketch of the data gives, and only bucket totals are
-added up globally. Windows run inside one bucket; Spark sorts and spills there, and no task holds all values.
+Quantiles count rows by order-preserving buckets and look only into the buckets of the wanted ranks, which takes two
+scans. Prefix sums cut distinct values at split points that a sketch gives. Only totals are added up globally;
+windows run inside a bucket or a part of one, where Spark sorts and spills.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import let
+
 _BEFORE = (Window.unboundedPreceding, -1)
 # Buckets per key.
 SPLITS = 64
@@ -34,8 +37,8 @@ def _bucketed(df: DataFrame, keys: Sequence[str], splits: int = SPLITS) -> DataF
         with_points = df.join(table.select(*own, "_points"), reduce(lambda a, b: a & b, same)).drop(*[f"_key_{i}" for i in range(len(keys))])
     else:
         with_points = df.withColumn("_points", df.agg(points).scalar())
-    value = F.col("value")
-    return with_points.withColumn("bucket", F.size(F.filter("_points", lambda p: p <= value))).drop("_points")
+    below = let(F.col("value"), lambda v: F.size(F.filter("_points", lambda p: p <= v)))
+    return with_points.withColumn("bucket", below).drop("_points")
 
 
 def _bucket_offsets(bucketed: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -79,32 +82,87 @@ def _rank(q: float, n: Column) -> Column:
     return (n - 1) * F.lit(float(q))
 
 
-def _around(df: DataFrame, value: str, keys: Sequence[str], wanted: Column) -> DataFrame:
-    """(keys, value, n, first_rank, all_n) of the values in the buckets where `wanted`, over off_n, in_n and all_n, holds.
+#: Buckets per power of two, and parts into which a bucket that holds a wanted rank is cut again.
+PER_OCTAVE = 4096
+PARTS = 1024
+_MISSING, _LARGEST = -(1 << 62), 1 << 40
+
 
-    A sketch finds split points, a second scan counts the buckets, a third one takes the values of the few buckets
-    that hold a wanted rank. Neither the first nor the second shuffles values.
+def order_bucket(value: Column) -> Column:
+    """A whole number that never falls as the value grows: the sign and the power of two, in PER_OCTAVE steps.
+
+    Null and NaN get a bucket of their own below all others. Values so small that they have no full precision still
+    have a positive place, and infinities lie outside of all finite values.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    bucketed = _bucketed(rows, keys)
-    offsets = _bucket_offsets(bucketed.withColumn("n", F.lit(1).cast("long")), ["n"], keys).where(wanted).drop("in_n")
-    counts = _beside(bucketed, offsets, [*keys, "bucket"]).groupBy(*keys, "bucket", "off_n", "all_n", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(*_BEFORE)
-    return counts.withColumn("first_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("off_n"))
+    size = F.abs(value)
+    place = F.floor(F.least((F.log2(size) + 1080.0) * float(PER_OCTAVE), F.lit(float(_LARGEST)))) + 1
+    return F.when(value.isNull() | F.isnan(value), _MISSING).when(value > 0, place).when(value < 0, -place).otherwise(0).cast("long")
+
 
+def _histogram(rows: DataFrame, keys: Sequence[str], moments: bool) -> DataFrame:
+    """Buckets of each key with in_n rows, off_n rows in lower ones, all_n in all, lo and hi; with moments, mean and std of the key.
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles: one row per key, one column per named probability. Nulls and NaN are left out."""
+    Tasks count their own rows; what is shuffled and put in order are buckets, which do not grow with the rows.
+    """
+    per_bucket = [F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    if moments:
+        per_bucket += [F.avg("value").alias("center"), F.var_pop("value").alias("spread")]
+    counted = rows.groupBy(*keys, "bucket").agg(*per_bucket)
+    n = F.when(F.col("bucket") == _MISSING, 0).otherwise(F.col("rows"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("in_n").over(whole.orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
+    out = counted.withColumn("in_n", n).select("*", before.alias("off_n"), F.sum("in_n").over(whole).alias("all_n"))
+    if moments:
+        held = F.col("in_n") > 0
+        out = out.withColumn("mean", F.sum(F.when(held, F.col("in_n") * F.col("center"))).over(whole) / F.col("all_n"))
+        off = F.col("center") - F.col("mean")
+        squares = F.sum(F.when(held, F.col("in_n") * (F.col("spread") + off * off))).over(whole)
+        out = out.withColumn("std", F.sqrt(squares / F.col("all_n")))
+    return out
+
+
+def _around(df: DataFrame, value: str, keys: Sequence[str], wanted: Column, few_keys: bool = False, moments: bool = False) -> DataFrame:
+    """(keys, value, n, first_rank, all_n) of the values in the buckets where `wanted`, over off_n, in_n and all_n, holds.
+
+    One scan counts buckets, a second one takes the values of the buckets that hold a wanted rank, counted in the
+    tasks. These buckets are cut again into parts between their smallest and largest value, and only parts that hold
+    a wanted rank are put in order, so that no task orders a whole bucket.
+    """
+    carried = ["mean", "std"] if moments else []
+    rows = df.select(*keys, F.col(value).cast("double").alias("value"))
+    rows = rows.select("*", order_bucket(F.col("value")).alias("bucket"))
+    offsets = _histogram(rows, keys, moments).where(wanted).select(*keys, "bucket", "off_n", "all_n", "lo", "hi", *carried)
+    # A key has two wanted buckets per rank, so without keys, or with keys that the plan lists, the table is small.
+    near = _beside(rows, F.broadcast(offsets) if few_keys or not keys else offsets, [*keys, "bucket"])
+    place = [*keys, "bucket", "off_n", "all_n", "lo", "hi", *carried]
+    counts = near.groupBy(*place, "value").agg(F.count(F.lit(1)).alias("n"))
+    step = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * float(PARTS - 1)
+    split = (F.col("hi") > F.col("lo")) & (F.abs("lo") < F.lit(math.inf)) & (F.abs("hi") < F.lit(math.inf))
+    parts = counts.withColumn("part", F.when(split, F.floor(step)).otherwise(0).cast("int"))
+    totals = parts.groupBy(*place, "part").agg(F.sum("n").alias("in_n"))
+    earlier = F.coalesce(F.sum("in_n").over(Window.partitionBy(*keys, "bucket").orderBy("part").rowsBetween(*_BEFORE)), F.lit(0))
+    held = totals.select(*keys, "bucket", "part", "in_n", (F.col("off_n") + earlier).alias("off_n"), "all_n").where(wanted).drop("in_n", "all_n")
+    chosen = _beside(parts.drop("off_n"), F.broadcast(held) if few_keys or not keys else held, [*keys, "bucket", "part"])
+    w = Window.partitionBy(*keys, "bucket", "part").orderBy("value").rowsBetween(*_BEFORE)
+    return chosen.select(*keys, "value", "n", "all_n", *carried, (F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("off_n")).alias("first_rank"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), few_keys: bool = False, moments: bool = False) -> DataFrame:
+    """Linearly interpolated quantiles: one row per key, one column per named probability. Nulls and NaN are left out.
+
+    few_keys: the keys come from a list in the plan, such as column names. moments adds mean and population deviation.
+    """
     wanted = F.lit(False)
     for q in probs.values():
         h = _rank(q, F.col("all_n"))
         wanted = wanted | ((F.col("off_n") <= F.ceil(h)) & (F.floor(h) < F.col("off_n") + F.col("in_n")))
-    ranked = _around(df, value, keys, wanted).withColumn("last_rank", F.col("first_rank") + F.col("n") - 1)
+    ranked = _around(df, value, keys, wanted, few_keys, moments).withColumn("last_rank", F.col("first_rank") + F.col("n") - 1)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("value")))
 
-    aggs = [F.max("all_n").alias("n_values")]
+    extra = ["mean", "std"] if moments else []
+    aggs = [F.max("all_n").alias("n_values"), *[F.max(c).alias(c) for c in extra]]
     for name, q in probs.items():
         h = _rank(q, F.col("all_n"))
         aggs += [at(F.floor(h)).alias(f"lo_{name}"), at(F.ceil(h)).alias(f"hi_{name}")]
@@ -112,6 +170,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Se
     return out.select(
         *keys,
         "n_values",
+        *extra,
         *[
             F.when(F.col(f"lo_{name}") == F.col(f"hi_{name}"), F.col(f"lo_{name}")).otherwise(
                 F.col(f"lo_{name}")

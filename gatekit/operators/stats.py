@@ -153,7 +153,7 @@ def distance_constants(distances: DataFrame, top_below: int = 0) -> DataFrame:
     """95th percentile of each distance; the maximum where there are fewer than top_below pairs."""
     names = {"c_H": "h_distance", "c_O": "o_distance", "c_K": "k_distance"}
     pairs = F.array(*[F.struct(F.lit(k).alias("constant"), F.col(v).alias("value")) for k, v in names.items()])
-    q = exact_quantiles(distances.select(F.inline(pairs)), "value", {"q95": 0.95, "top": 1.0}, keys=["constant"])
+    q = exact_quantiles(distances.select(F.inline(pairs)), "value", {"q95": 0.95, "top": 1.0}, keys=["constant"], few_keys=True)
     return q.select("constant", F.when(F.col("n_values") < top_below, F.col("top")).otherwise(F.col("q95")).alias("value"), F.col("n_values").alias("n_pairs"))
 
 
