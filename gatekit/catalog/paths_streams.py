@@ -207,7 +207,7 @@ def action_rates_stream(spark, sf):
 def drift_stream(spark, sf):
     # A day of a user is one group of the state; the ends of the days are joined afterwards.
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01"))
-    out = ST.join_shards(run_to_table(ST.drift_stream(_stream(spark, sf), gamma_max=0.35, shard=day), "drift"), 0.35)
+    out = ST.join_shards(run_to_table(ST.drift_stream(ST.closed(_stream(spark, sf)), gamma_max=0.35, shard=day), "drift"), 0.35)
     return out.where(~F.col("first")).select("user_id", "event_id", r9(F.col("gamma")).alias("gamma"), "rupture")
 
 

@@ -7,12 +7,12 @@ Sinks, triggers and checkpoint locations belong to the caller, see `write_stream
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.observe import observe
 from ..plans.plan import ACTIONS
@@ -84,14 +84,16 @@ def action_rates(scored: DataFrame, ts: str, window: str = "1 day", slide: str |
 # --- drift with state ---------------------------------------------------------------------------
 
 DRIFT_OUTPUT = "user_id long, shard int, event_id long, ts timestamp, gamma double, rupture boolean, first boolean, event_type string, u double"
-DRIFT_STATE = "ts timestamp, event_id long, event_type string, u double"
+DRIFT_ROW = "ts timestamp, event_id long, event_type string, u double"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _drift_updates(gamma_max: float, idle_ms: int):
-    """State function for one user and shard.
+def _drift_processor(gamma_max: float, idle_ms: int):
+    """State of one user (as text) and shard: the rows that wait for the watermark, and the last row that was paired.
 
     Everything it needs is defined inside, so Spark ships it by value and executors need pandas only.
     """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     def event_gamma(u0, type0, u1, type1):
         # The risk gap counts in the representation and the uncertainty part, the activation gap depends
@@ -101,46 +103,102 @@ def _drift_updates(gamma_max: float, idle_ms: int):
         activation = same * abs(a0 - a1) + (1.0 - same) * (a0 + a1) / 2.0
         return (0.30 + 0.20) * abs(u0 - u1) + 0.25 * (1.0 - same) + 0.15 * activation + 0.10 * 2.0 / 6.0
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        # Batches arrive in pieces; within a trigger the rows of a user and shard are put in event order.
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-        prev = rows[["event_type", "u"]].shift(1)
-        has_prev = pd.Series(True, index=rows.index)
-        if last is None:
-            has_prev.iloc[0] = False
-        else:
-            prev.loc[0, "event_type"], prev.loc[0, "u"] = last[2], last[3]
-        gamma = event_gamma(prev["u"], prev["event_type"], rows["u"], rows["event_type"]).where(has_prev)
-        tail = rows.iloc[-1]
-        state.update((tail["ts"].to_pydatetime(), int(tail["event_id"]), str(tail["event_type"]), float(tail["u"])))
-        state.setTimeoutTimestamp(max(int(tail["ts"].timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(
-            {
-                "user_id": rows["user_id"], "shard": key[1], "event_id": rows["event_id"], "ts": rows["ts"],
-                "gamma": gamma, "rupture": (gamma > gamma_max) & has_prev, "first": ~has_prev,
-                "event_type": rows["event_type"], "u": rows["u"],
-            }
-        )
-
-    return update
+    def millis(ts) -> int:
+        return int(pd.Timestamp(ts).value // 1_000_000)
+
+    class Drift(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", DRIFT_ROW)
+            self.last = handle.getValueState("last", DRIFT_ROW)
+            self.alarm = handle.getValueState("alarm", "at long")
+
+        def wake(self, at: int) -> None:
+            """One timer a group: the earliest time at which something can be done."""
+            before = self.alarm.get()[0] if self.alarm.exists() else None
+            if before is None or at < before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(at)
+                self.alarm.update((at,))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            for frame in rows:
+                if len(frame):
+                    known = lambda value, kind: None if pd.isna(value) else kind(value)
+                    columns = zip(frame["ts"], frame["event_id"], frame["event_type"], frame["u"], strict=True)
+                    self.waiting.appendList([(t.to_pydatetime(), known(e, int), known(k, str), known(u, float)) for t, e, k, u in columns])
+                    self.wake(millis(frame["ts"].min()) + 1)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.alarm.clear()
+            now = timerValues.getCurrentWatermarkInMs()
+            ready, later = [], []
+            for row in self.waiting.get():
+                (ready if millis(row[0]) < now else later).append(tuple(row))
+            ready.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+                self.wake(min(millis(r[0]) for r in later) + 1)
+            last = tuple(self.last.get()) if self.last.exists() else None
+            if ready:
+                before = pd.DataFrame([last or (None, None, None, float("nan")), *ready[:-1]], columns=["ts", "event_id", "event_type", "u"])
+                here = pd.DataFrame(ready, columns=["ts", "event_id", "event_type", "u"])
+                paired = pd.Series(True, index=here.index)
+                paired.iloc[0] = last is not None
+                gamma = event_gamma(before["u"].astype(float), before["event_type"], here["u"], here["event_type"]).where(paired)
+                last = ready[-1]
+                self.last.update(last)
+                yield pd.DataFrame(
+                    {
+                        "user_id": pd.array([int(key[0]) if key[0] else None] * len(here), dtype="Int64"), "shard": key[1], "event_id": here["event_id"].astype("Int64"), "ts": here["ts"],
+                        "gamma": gamma, "rupture": (gamma > gamma_max) & paired, "first": ~paired,
+                        "event_type": here["event_type"], "u": here["u"].astype(float),
+                    }
+                )
+            if last is not None and not later:
+                done = millis(last[0]) + idle_ms
+                if now >= done:
+                    self.last.clear()
+                else:
+                    self.wake(done)
+
+        def close(self) -> None:
+            pass
+
+    return Drift()
 
 
 def drift_stream(events: DataFrame, gamma_max: float = 0.25, lateness: str = "1 hour", idle_ms: int = 7 * 86_400_000, shard: Column | None = None) -> DataFrame:
-    """Disagreement of each event with the user's one before, kept in state per user.
+    """Disagreement of each event with the user's one before, in event order across triggers.
 
-    `shard` splits a hot user, for example by day; each shard then starts afresh and its first row
-    is marked, and `join_shards` pairs it over the table written. State is one row per user and shard and times out.
+    Rows wait in the state until the watermark has passed them; then they are ordered, paired and emitted, so that a row
+    that comes late, but within the lateness, still stands where it belongs. Later rows are dropped, and rows without a time. `shard` splits a
+    hot user, for example by day; each shard then starts afresh and its first row is marked, and `join_shards` pairs it over the table
+    written. Besides the waiting rows, state is one row per user and shard, which goes after idle_ms.
     """
-    keyed = events.withWatermark("ts", lateness).withColumn("shard", (F.lit(0) if shard is None else shard).cast("int"))
-    return keyed.select("user_id", "shard", "event_id", "ts", "event_type", "u").groupBy("user_id", "shard").applyInPandasWithState(
-        _drift_updates(gamma_max, idle_ms), DRIFT_OUTPUT, DRIFT_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # lists and timers need it
+    keyed = events.where(F.col("ts").isNotNull()).withWatermark("ts", lateness).withColumn("shard", F.coalesce((F.lit(0) if shard is None else shard).cast("int"), F.lit(-1)))
+    # Keys of a state are never null: the user as text, empty for null.
+    who = F.coalesce(F.col("user_id").cast("long").cast("string"), F.lit("")).alias("who")
+    return keyed.select(who, "shard", "event_id", "ts", "event_type", "u").groupBy("who", "shard").transformWithStateInPandas(
+        statefulProcessor=_drift_processor(gamma_max, idle_ms), outputStructType=DRIFT_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
 
+def closed(events: DataFrame, ts: str = "ts", end: str = "2200-01-01") -> DataFrame:
+    """events followed by one row that has only a time after all others: it moves the watermark past them, so they all come out.
+
+    For streams that run over a finite input in one trigger. The row itself waits for ever.
+    """
+    spark = events.sparkSession
+    path = f"{checkpoint_root(spark)}/end-{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit(end).cast("timestamp").alias(ts)).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(f"{ts} timestamp").parquet(path), allowMissingColumns=True)
+
+
 def join_shards(edges: DataFrame, gamma_max: float = 0.25) -> DataFrame:
     """The table a sharded drift stream has written, with the first row of a shard paired with the end of the user's shard before.
 
