@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6, r9
+from ..operators import chains as C
 from ..operators import compose as X
 from ..operators import observe as O
 from ..operators import paths as P
@@ -83,6 +84,45 @@ def chain_activations(spark, sf):
     return out.withColumn("activation", r6(F.col("activation")))
 
 
+_FOLD = """ev as (select user_id, event_id, event_type as t, least(value / 300, 1e0) as u, case when value >= 200 then 'high' when value >= 60 then 'mid' else 'low' end as band,
+    row_number() over (partition by user_id order by ts, event_id) as rn from events),
+steps as (
+    select user_id, rn, 1 as n, u as cu, u as pu, [t, band] as terms, [t] as names, map([t], [0.5e0 + 0.5e0 * u]) as acts, event_id as trace, null::varchar as reason, null::double as gamma from ev where rn = 1
+    union all
+    select user_id, rn, n + (why is null)::int, if(why is null, 1 - (1 - cu) * (1 - u) * (1 - g), cu), if(why is null, u, pu),
+        if(why is null, terms || [x for x in [t, band] if not list_contains(terms, x)], terms), if(why is null and not list_contains(names, t), names || [t], names),
+        if(why is null, map(map_keys(wide), [greatest(wide[k], if(k = t, a, 0e0)) for k in map_keys(wide)]), acts), if(why is null, event_id, trace), why, if(why is null, g, gamma)
+    from (select *, case when not list_contains(terms, t) and not list_contains(terms, band) then 'no common terms' when g > {limit} then 'disagreement above gamma_max' end as why
+        from (select s.user_id, e.rn, s.n, s.cu, s.pu, s.terms, s.names, s.acts, s.trace, s.gamma, e.t, e.u, e.band, e.event_id, 0.5e0 + 0.5e0 * e.u as a,
+            if(list_contains(s.names, e.t), s.acts, map(s.names || [e.t], map_values(s.acts) || [0e0])) as wide,
+            greatest(0e0, least(1e0, 0.3e0 * abs(s.pu - e.u) + 0.25e0 * (1 - list_contains(s.names, e.t)::int / (len(s.names) + 1e0 - list_contains(s.names, e.t)::int))
+                + 0.15e0 * (abs(coalesce(s.acts[e.t], 0e0) - (0.5e0 + 0.5e0 * e.u)) + list_sum(map_values(s.acts)) - coalesce(s.acts[e.t], 0e0))
+                    / (len(s.names) + 1 - list_contains(s.names, e.t)::int)
+                + 0.2e0 * abs(s.cu - e.u) + 0.1e0 * (2 / 6e0))) as g
+            from steps s join ev e on s.user_id = e.user_id and e.rn = s.rn + 1 where s.reason is null))),
+ends as (select *, row_number() over (partition by user_id order by rn desc) as nth from steps)
+select ends.user_id, total as n_stages, n::bigint as n_composed, reason, round(gamma, 9) as gamma, round(cu, 9) as uncertainty,
+    array_to_string(list_sort(terms), ';') as terms, array_to_string(['r_' || x for x in names], ';') as rules,
+    array_to_string([x || '=' || round(acts[x] * 1e6)::int for x in list_sort(map_keys(acts))], ';') as activations, trace::varchar as trace_id
+from ends join (select user_id, count(*)::bigint as total from ev group by 1) c on ends.user_id = c.user_id where nth = 1"""
+FOLD_LIMIT = 0.45
+
+
+@query("compose_chain_fold", S.ctes(_FOLD.format(limit=FOLD_LIMIT)).replace("with ", "with recursive ", 1))
+def compose_chain_fold(spark, sf):
+    """The events of a user folded into one explanation: its rules, activations, terms and last trace."""
+    e = V.event_explanations(spark, sf)
+    value = F.col("u") * 300
+    band = F.when(value >= 200, "high").when(value >= 60, "mid").otherwise("low")
+    out = C.fold_chain(e.withColumn("terms", F.array("event_type", band)), "user_id", ("ts", "event_id"), gamma_max=FOLD_LIMIT)
+    shown = F.transform(F.array_sort(F.map_keys("activations")), lambda k: F.concat(F.substr(k, F.lit(3)), F.lit("="), F.round(F.element_at("activations", k) * 1e6).cast("int").cast("string")))
+    return out.select(
+        "user_id", "n_stages", "n_composed", "reason", r9(F.col("gamma")).alias("gamma"), r9(F.col("uncertainty")).alias("uncertainty"),
+        F.array_join(F.array_sort("terms"), ";").alias("terms"), F.array_join(F.transform("rules", lambda r: r["name"]), ";").alias("rules"),
+        F.array_join(shown, ";").alias("activations"), F.col("trace.id").alias("trace_id"),
+    )
+
+
 _DRIFT = """ev as (select event_id, ts, user_id, event_type, least(value / 300, 1e0) as u,
     lag(event_type) over w as t0, lag(least(value / 300, 1e0)) over w as u0 from events window w as (partition by user_id order by ts, event_id)),
 dr as (select *, greatest(0e0, least(1e0, 0.3e0 * abs(u0 - u) + 0.25e0 * (case when t0 = event_type then 0e0 else 1e0 end)
