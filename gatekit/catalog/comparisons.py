@@ -13,9 +13,9 @@ from ..operators import prepare as P
 from ..operators import rules as RU
 from ..operators import stats as ST
 from ..operators import sweeps as W
+from ..session import checkpoint_root, materialised
 from ..sources import tables as T
 from ..sources import views as V
-from ..streaming.streams import checkpoint_root
 from . import sql as S
 from .preparation import SCENARIO_SQL
 from .registry import query
@@ -173,7 +173,7 @@ _COUNTS = ("missed_critical", "false_auto_accept", "unsafe_accept", "false_block
 def objective_on_splits(spark, sf):
     """Manual and best config on the part they were chosen on and on the other part."""
     validation, test = _halves(spark, sf)
-    two = _two_configs(spark, sf, validation).persist()
+    two = materialised(_two_configs(spark, sf, validation))
     parts = []
     for name, rows in (("validation", validation), ("test", test)):
         scored = W.calibrate_by_objective(rows, two.drop("config").distinct())
@@ -209,7 +209,7 @@ pairs as (select object_id, chi_r_crit, {_config_action_sql('m')} = 'block' as b
 def mcnemar_configs(spark, sf):
     """The manual config against the best one, chosen on the validation part, over all cases."""
     validation, _ = _halves(spark, sf)
-    configs = _two_configs(spark, sf, validation).persist()
+    configs = materialised(_two_configs(spark, sf, validation))
     cases = V.conflict_cases(spark, sf)
     for name in ("manual", "best"):
         fields = [*W.OBJECTIVE_WEIGHTS, "t1", "t2", "t3", "t4"]

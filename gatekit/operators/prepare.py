@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.numeric import config_array, hash_uniform
 from .quantiles import cut_points, exact_quantiles, unpivot
+from .ranks import dense_ranks
 
 # Column names taken as the target, in order of preference.
 TARGET_NAMES = ("target", "label", "class", "y", "result", "diagnosis", "risk", "is_risk")
@@ -122,15 +123,22 @@ def impute(df: DataFrame) -> DataFrame:
     return filled.select(*cols)
 
 
-def levels_of(df: DataFrame, column: str) -> list:
+#: A column of more levels than this is not spread over columns of its own; `one_hot_vector` has no such bound.
+MOST_LEVELS = 1_000
+
+
+def levels_of(df: DataFrame, column: str, most: int = MOST_LEVELS) -> list:
     """Sorted distinct values of a column that is about to become columns, which the driver has to name."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels: use one_hot_vector, or pass the levels that are wanted")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], dummy_na: bool = False, levels: dict[str, list] | None = None) -> DataFrame:
     """Replace text columns by 0/1 columns, one per level. Pass levels to avoid the discovery jobs.
 
-    A column per level suits a few hundred levels; `one_hot_vector` has no such bound.
+    Found levels are at most MOST_LEVELS per column, else the call is refused; `one_hot_vector` serves any number.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     dummies = []
@@ -157,10 +165,9 @@ def one_hot_vector(df: DataFrame, column: str, out: str) -> DataFrame:
 def encode_label(df: DataFrame, column: str, out: str = "label_code") -> DataFrame:
     """Label position in the sorted distinct labels, from 0; null for null.
 
-    Only the distinct labels are put in order, one row each; rows meet their code in an equi-join.
+    Distinct labels are ranked by range partitions, one row each; rows meet their code in an equi-join.
     """
-    labels = df.select(F.col(column).alias("_label")).where(F.col("_label").isNotNull()).distinct()
-    codes = labels.withColumn(out, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_label")) - 1).cast("long"))
+    codes = dense_ranks(df, column, "_code").select(F.col(column).alias("_label"), F.col("_code").cast("long").alias(out))
     return df.join(codes, F.col(column) == F.col("_label"), "left").drop("_label")
 
 
@@ -172,25 +179,22 @@ def binarize_at_median(df: DataFrame, column: str, out: str = "risk_target") ->
 def stratified_split(df: DataFrame, label: str, case_id: Sequence[str], seed: int = 42, test: float = 0.25, validation: float = 0.25, stratify: bool = True) -> DataFrame:
     """Repeatable train / validation / test split with exact shares per class.
 
-    Each row gets a hash draw; per class the draw at the wanted ranks is found once and
-    rows are compared with it, so full rows are never shuffled. stratify=False takes the shares of
-    the whole table instead.
+    Each row gets a hash draw; per class the draw at the wanted ranks is found once, and rows meet the cuts of their
+    class in an equi-join, which Spark broadcasts where classes are few and splits where one is hot. stratify=False
+    takes the shares of the whole table instead.
     """
     drawn = df.withColumn("_u", hash_uniform(seed, *[F.col(c) for c in case_id]))
     shares = (test, test + (1 - test) * validation)
     stratum = F.coalesce(F.col(label).cast("string"), F.lit("")) if stratify else F.lit("*")
     labelled = drawn.select(stratum.alias("stratum"), "_u")
     cuts = cut_points(labelled, "_u", shares, keys=["stratum"])
-    by_class = cuts.agg(
-        F.map_from_entries(F.collect_list(F.struct("stratum", F.struct("cut_0", "cut_1"))))
-    ).scalar()
-    with_cut = drawn.withColumn("_cut", F.element_at(by_class, stratum))
+    with_cut = drawn.withColumn("_stratum", stratum).join(cuts.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
     return with_cut.withColumn(
         "split",
-        F.when(F.col("_u") < F.col("_cut")["cut_0"], "test")
-        .when(F.col("_u") < F.col("_cut")["cut_1"], "validation")
+        F.when(F.col("_u") < F.col("cut_0"), "test")
+        .when(F.col("_u") < F.col("cut_1"), "validation")
         .otherwise("train"),
-    ).drop("_u", "_cut")
+    ).drop("_u", "_stratum", "cut_0", "cut_1")
 
 
 def data_card(df: DataFrame, label: str) -> DataFrame:

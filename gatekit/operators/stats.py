@@ -36,7 +36,8 @@ def bootstrap_sums(units: DataFrame, sums: Sequence[str], replicates: int = 5000
     """Weighted sums per replicate, every unit weighted by a Poisson(1) draw.
 
     Units with the same sums are one kind: what their draws add up to is one Poisson draw of their number. The
-    replicates meet the kinds, not the units, so the cost does not grow with the log.
+    replicates meet the kinds, not the units. Kinds of single cases do not grow with the log; kinds of objects do, and each
+    takes a draw per replicate in its task, which hands on one row of sums per replicate.
     """
     kinds = units.groupBy(*sums).agg(F.count("*").alias("_units")).withColumn("_steps", poisson_steps(F.col("_units")))
     kinds = kinds.withColumn("_kind", F.concat_ws(",", *[F.col(s).cast("string") for s in sums]))

@@ -1,8 +1,11 @@
-"""Session settings used by the tests, the bench and local runs."""
+"""Session settings used by the tests, the bench and local runs, and the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for results (UTC) or let Spark re-plan at run time (AQE).
 # Cluster sizing (executors, shuffle partitions) stays with whoever starts the job.
@@ -27,3 +30,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Checkpoints and the tables that streams and long jobs write must be seen by all executors, so a session on a cluster
+    without one is refused; a session in one process takes a folder in its warehouse.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", "")
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and the same for every reader after lost executors."""
+    path = f"{checkpoint_root(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -58,11 +58,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     writer.save(path)
 
 
+#: A table in more pieces than this is never dealt anew, however many cores there are.
+HANDFUL = 8
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a table that comes in fewer pieces than there are cores over all cores, by keys.
+    """Deal the rows of a table that comes in a handful of pieces, fewer than there are cores, over all cores, by keys.
 
-    A file of one row group is read by one task, and whatever is computed per row runs there. Tables of many
-    files or row groups have pieces enough and are left as they are, without a shuffle.
+    A file of one row group is read by one task, and whatever is computed per row runs there. Tables of more
+    files or row groups are left as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    pieces = df.rdd.getNumPartitions()
+    return df.repartition(cores, *keys) if pieces <= HANDFUL and pieces < cores else df

@@ -6,7 +6,6 @@ Sinks, triggers and checkpoint locations belong to the caller, see `write_stream
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -16,20 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.observe import observe
 from ..plans.plan import ACTIONS
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir.
-
-    Checkpoints and the tables that streams write must be seen by all executors, so a session on a cluster
-    without one is refused; a session in one process takes a folder in its warehouse.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        return configured
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+from ..session import checkpoint_root
 
 
 def write_stream(df: DataFrame, name: str, sink: str, path: str | None = None, mode: str = "append", once: bool = True):

@@ -8,6 +8,7 @@ from gatekit.operators import models as MD
 from gatekit.operators import paths as P
 from gatekit.operators import prepare as PR
 from gatekit.operators.quantiles import exact_quantiles
+from gatekit.operators.ranks import dense_ranks, positions
 from gatekit.sources.tables import read_table, spread, write_table
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def test_many_levels(spark):
     assert PR.one_hot(few, ["level"], levels={"level": []}).columns == []
 
 
+def test_a_million_labels_are_ranked_without_one_task(spark):
+    df = spark.range(1_000_000).select(F.format_string("l%07d", F.pmod(F.col("id") * 7919, F.lit(1_000_000))).alias("level"))
+    ranks = dense_ranks(df, "level", "code")
+    wrong = ranks.where(F.col("code") != F.substring("level", 2, 7).cast("long"))
+    assert ranks.count() == 1_000_000 and wrong.isEmpty()
+    # The only window without a partition runs over the sizes of the range partitions.
+    assert ranks.rdd.getNumPartitions() > 1
+
+
+def test_positions_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(None,), ("b",), ("a",), ("b",), (None,)], "x string")
+    assert [(r.x, r.position) for r in positions(df, ["x"]).orderBy("position").collect()] == [(None, 0), (None, 1), ("a", 2), ("b", 3), ("b", 4)]
+    assert dense_ranks(df.limit(0), "x").isEmpty()
+
+
+def test_too_many_levels_are_refused(spark):
+    df = spark.range(1_500).select(F.col("id").cast("string").alias("level"))
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        PR.one_hot(df, ["level"])
+
+
 def test_split_with_many_classes(spark):
     df = spark.range(3000).select("id", (F.col("id") % 30).alias("y"))
     parts = {(r.y, r.split): r.n for r in PR.stratified_split(df, "y", ["id"]).groupBy("y", "split").agg(F.count("*").alias("n")).collect()}
