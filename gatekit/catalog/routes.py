@@ -8,6 +8,7 @@ from ..functions import gates as G
 from ..functions.numeric import r6
 from ..operators import contracts as C
 from ..operators import decisions as D
+from ..operators.registry import register_gate
 from ..sources import views as V
 from . import sql as S
 from .registry import query
@@ -185,6 +186,23 @@ def comparison_gates(spark, sf):
     return D.comparison_gates(V.conflict_cases(spark, sf)).select("case_id", "method", "action")
 
 
+CAUTIOUS_SQL = "case when chi_r_crit then 'block' when p >= 0.8e0 or u_m > 0.9e0 then 'defer_to_human' when p < 0.3e0 then 'accept' else 'lower_confidence' end"
+
+
+def _cautious(c):
+    return F.when(c["chi_r_crit"], "block").when((c["p"] >= 0.8) | (c["u_m"] > 0.9), "defer_to_human").when(c["p"] < 0.3, "accept").otherwise("lower_confidence")
+
+
+@query(
+    "registered_gate",
+    METHODS_SQL + f", al as (select method, action from mm union all select 'cautious', {CAUTIOUS_SQL} from conf) select method, action, count(*)::bigint as n from al group by 1, 2",
+)
+def registered_gate(spark, sf):
+    """A gate of one's own beside the built-in ones, counted by action."""
+    register_gate("cautious", _cautious, {"chi_r_crit": "boolean", "p": "number", "u_m": "number"}, replace=True)
+    return D.comparison_gates(V.conflict_cases(spark, sf), ["cautious"]).groupBy("method", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- audit -----------------------------------------------------------------------------------------
 
 def decision_log(spark, sf):

@@ -11,6 +11,7 @@ from ..functions import gates as G
 from ..functions.numeric import array_sum, clip01, config_array
 from .attributions import conflict_rho
 from .quantiles import exact_quantiles, unpivot
+from .registry import gate_actions
 
 
 # --- tabular route -----------------------------------------------------------------
@@ -252,8 +253,8 @@ def structure_summary(gated: DataFrame) -> DataFrame:
     )
 
 
-def comparison_gates(df: DataFrame) -> DataFrame:
-    """Nine gates on conflict cases, long form with the gate name in method."""
+def comparison_gates(df: DataFrame, registered: Sequence[str] = ()) -> DataFrame:
+    """Nine gates on conflict cases, and registered ones by name, long form with the gate name in method."""
     p, u, gap = F.col("p"), F.col("u_m"), 1.0 - F.col("i_pre")
 
     def ladder(rho: Column) -> Column:
@@ -270,7 +271,7 @@ def comparison_gates(df: DataFrame) -> DataFrame:
         "M1_NAS": F.col("action_nas"),
         "M2_F_ML": F.col("action_fml"),
     }
-    return long_actions(df, actions, "method")
+    return long_actions(df, actions | gate_actions(df, registered), "method")
 
 
 # --- audit ----------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..functions import uncertainty as U
 from ..functions.fuzzy import explanation_uncertainty, risk_memberships
 from ..functions.numeric import let
 from ..plans.plan import GatePlan, GatePolicy
+from .registry import gate_actions
 
 # Interpretability components of the two-rule risk explanation, and the loss weight.
 COMPONENTS = {"H": 0.30, "C": 0.33, "O": 0.16, "K": 0.03}
@@ -34,11 +35,13 @@ def observe(
     diagnostic: str | None = None,
     plan: GatePlan = GatePlan(),
     policy: GatePolicy = GatePolicy(),
+    registered: Sequence[str] = (),
 ) -> DataFrame:
     """Score and gate every row. A projection: no shuffle, works on batch and streams alike.
 
     With `proba` the uncertainty comes from the probability array, otherwise from p as two classes.
-    With a profile the representation is chosen per row and its reduction loss enters the score.
+    With a profile the representation is chosen per row and its reduction loss enters the score. Registered gates
+    see the scored row and give a column action_<name> each.
     """
     risk = F.col(p)
 
@@ -86,7 +89,7 @@ def observe(
         F.col("_rupture"), F.col("_critical"), F.col("chi_auto"), F.col("_trace_ok"),
     )
     scored = scored.withColumn("action", G.gate_full(*args, policy))
-    return scored.select(
+    out = scored.select(
         *[c for c in scored.columns if not c.startswith("_") and c not in ("rho", "action")],
         F.when(F.col("_critical"), 1.0).otherwise(F.col("rho")).alias("rho"),
         "action",
@@ -95,6 +98,7 @@ def observe(
         ).alias("corrected_confidence"),
         G.gate_reason(F.col("action"), F.col("chi_auto"), F.col("_critical")).alias("reason"),
     )
+    return out.withColumns({f"action_{name}": action for name, action in gate_actions(out, registered).items()}) if registered else out
 
 
 def action_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gatekit.catalog import SPARK
 from gatekit.catalog import paths_streams as PS
 from gatekit.operators import paths as P
+from gatekit.operators import registry as RG
 from gatekit.sources import views as V
 from gatekit.streaming import streams as ST
 
@@ -24,6 +25,33 @@ def test_observe_stream(spark):
     assert rows(SPARK["observe_stream"](spark, SF).select("event_id", "action")) == rows(batch)
 
 
+def test_a_registered_gate_runs_in_batch_and_stream(spark, tmp_path):
+    gate = lambda c: F.when(c["crit"], "block").when(c["rho"] > 0.4, "defer_to_human").otherwise("accept")
+    RG.register_gate("own", gate, {"crit": "boolean", "rho": "number"}, replace=True)
+    try:
+        events = PS._with_flags(V.table(spark, SF, "events")).withColumn("p", F.least(F.col("value") / 100, F.lit(1.0)))
+        batch = ST.observe_stream(events, chi_r_crit="crit", registered=["own"])
+        live = PS._with_flags(PS._stream(spark, SF)).withColumn("p", F.least(F.col("value") / 100, F.lit(1.0)))
+        out = PS.run_to_table(ST.observe_stream(live, chi_r_crit="crit", registered=["own"]), "own-gate")
+        assert rows(out.select("event_id", "action_own")) == rows(batch.select("event_id", "action_own"))
+        assert RG.unknown_actions(batch, "action_own").isEmpty() and len(set(r.action_own for r in batch.collect())) == 3
+        assert "Exchange" not in batch._jdf.queryExecution().executedPlan().toString()
+        with pytest.raises(ValueError, match="no column crit"):
+            ST.observe_stream(events.drop("crit"), registered=["own"])
+        with pytest.raises(ValueError, match="not boolean"):
+            ST.observe_stream(events.withColumn("crit", F.lit(1)), registered=["own"])
+        with pytest.raises(ValueError, match="is registered"):
+            RG.register_gate("own", gate, {})
+    finally:
+        RG.unregister_gate("own")
+    with pytest.raises(ValueError, match="no gate own"):
+        ST.observe_stream(events, registered=["own"])
+    RG.register_gate("odd", lambda c: c["rho"], {"rho": "number"}, replace=True)
+    with pytest.raises(ValueError, match="must be a string"):
+        ST.observe_stream(events, registered=["odd"])
+    RG.unregister_gate("odd")
+
+
 def test_drift_stream(spark):
     assert rows(SPARK["drift_stream"](spark, SF)) == rows(SPARK["drift_edges"](spark, SF))
 
