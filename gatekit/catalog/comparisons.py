@@ -21,7 +21,7 @@ from .preparation import SCENARIO_SQL
 from .registry import query
 from .reports import OBJECTIVE_J, OBJECTIVE_SQL, rounded
 from .routes import METHODS
-from .rules_stats import _LOFO, _MAG, _f1, _mcnemar_sql
+from .rules_stats import _BOOT, _LOFO, _MAG, _RULES, _f1, _mcnemar_sql
 from .sweeping import _CANDS, _SIMPLEX
 
 # --- other formats ------------------------------------------------------------------------------
@@ -227,22 +227,26 @@ def mcnemar_configs(spark, sf):
 
 @query(
     "rule_pruning",
-    _LOFO + _MAG.replace("with ", "") + f""", tops as (select 'removal' as ranking, rule from lofo where rk <= 12 union all select 'magnitude', rule from mgr where rk <= 12),
+    _BOOT + _LOFO.replace(S.ctes(_RULES), "") + _MAG + f""", bk as (select rule, row_number() over (order by top_frequency desc, round(mean_delta_f1, 12) desc, mean_rank, rule) as rk from bt),
+tops as (select 'removal' as ranking, rule from lofo where rk <= 12 union all select 'magnitude', rule from mgr where rk <= 12 union all select 'bootstrap', rule from bk where rk <= 12),
 sz as (select ranking, p.vec_id, p.y, sum(case when t.rule is not null then part else 0e0 end) >= 0 as q from (select distinct ranking from tops) r cross join pr p left join tops t using (ranking, rule) group by 1, 2, 3),
 fs as (select ranking, {_f1('q')} as f1 from sz group by ranking),
-ov as (select count(*) filter (where n = 2) / count(*)::double as jaccard from (select rule, count(*) as n from tops group by rule))
-select ranking, round(f1, 6) as f1, round(jaccard, 6) as overlap from fs, ov""",
+ov as (select a.ranking, count(b.rule) / (24 - count(b.rule))::double as jaccard from tops a left join tops b on a.rule = b.rule and b.ranking = 'removal' group by 1)
+select ranking, round(f1, 6) as f1, round(jaccard, 6) as overlap from fs join ov using (ranking)""",
 )
 def rule_pruning(spark, sf):
-    """F1 of the twelve rules kept by removal and by magnitude, and how far the two sets agree."""
+    """F1 of the twelve rules kept by removal, by magnitude and by the bootstrap, and how far each set agrees with removal."""
     rows = V.embeddings(spark, sf)
     tops = {
         "removal": RU.top_rules(RU.rule_importance_lofo(rows, V.THETA), 12),
         "magnitude": RU.top_magnitude(RU.rule_importance_magnitude(rows, V.THETA), 12),
+        "bootstrap": RU.top_bootstrap(RU.rule_importance_bootstrap(rows, V.THETA, "vec_id"), 12),
     }
-    overlap = RU.set_jaccard(*tops.values()).select("jaccard").scalar()
-    parts = [RU.subset_f1(rows, V.THETA, top).select(F.lit(k).alias("ranking"), r6(F.col("f1")).alias("f1")) for k, top in tops.items()]
-    return parts[0].unionByName(parts[1]).withColumn("overlap", r6(overlap))
+    parts = []
+    for name, top in tops.items():
+        overlap = RU.set_jaccard(tops["removal"], top).select("jaccard").scalar()
+        parts.append(RU.subset_f1(rows, V.THETA, top).select(F.lit(name).alias("ranking"), r6(F.col("f1")).alias("f1"), r6(overlap).alias("overlap")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

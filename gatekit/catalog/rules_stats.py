@@ -63,20 +63,18 @@ def rule_importance_magnitude(spark, sf):
     return rounded(RU.rule_importance_magnitude(V.embeddings(spark, sf), V.THETA))
 
 
-_BOOT = S.ctes(_RULES) + f""", vk as (select vec_id, y, fu, coalesce(string_agg(rule::varchar, '.' order by rule) filter (where fu <> wo), '') as flips from pr group by vec_id, y, fu),
-kn as (select vec_id, (y = 1)::int || ',' || fu::int || ',' || flips as kind from vk),
-ku as (select kind, count(*) as units from kn group by kind),
-{S.poisson_weights('ku', 'kw', 50)},
-pk as (select distinct kind, rule, y, fu, wo from pr join kn using (vec_id)),
-bf as (select rep, rule, {_f1('fu', 'w')} - {_f1('wo', 'w')} as delta from pk join kw using (kind) group by rep, rule),
-ma as (select rule, avg(abs(hv)) as m from pr group by rule),
-br as (select b.rep, b.rule, delta, row_number() over (partition by rep order by round(delta, 12) desc, round(m, 12) desc, b.rule) as rk from bf b join ma on b.rule = ma.rule)
-select rule::bigint as rule, round(avg(delta), 6) as mean_delta_f1, round(stddev_pop(delta), 6) as std_delta_f1, round(avg((rk <= 6)::int), 6) as top_frequency, round(avg(rk), 6) as mean_rank from br group by rule"""
-
-
-@query("rule_importance_bootstrap", _BOOT)
+_BOOT = S.ctes(_RULES) + f""", bw as (select vec_id, rep, {S.poisson('u')} as w from (select vec_id, rep, {S.uniform(42, 'rep', 'vec_id')} as u from (select distinct vec_id from pr), (select unnest(range(50)) as rep))),
+bf as (select rep, rule, {_f1('fu', 'w')} - {_f1('wo', 'w')} as delta, sum(w * abs(hv)) / sum(w) as m from pr join bw using (vec_id) group by rep, rule),
+br as (select *, row_number() over (partition by rep order by round(delta, 12) desc, round(m, 12) desc, rule) as rk from bf),
+bt as (select rule::bigint as rule, avg(delta) as mean_delta_f1, stddev_pop(delta) as std_delta_f1, avg((rk <= 6)::int) as top_frequency, avg(rk) as mean_rank from br group by rule)"""
+
+
+@query(
+    "rule_importance_bootstrap",
+    _BOOT + "select rule, round(mean_delta_f1, 6) as mean_delta_f1, round(std_delta_f1, 6) as std_delta_f1, round(top_frequency, 6) as top_frequency, round(mean_rank, 6) as mean_rank from bt",
+)
 def rule_importance_bootstrap(spark, sf):
-    return rounded(RU.rule_importance_bootstrap(V.embeddings(spark, sf), V.THETA))
+    return rounded(RU.rule_importance_bootstrap(V.embeddings(spark, sf), V.THETA, "vec_id"))
 
 
 @query(

@@ -6,12 +6,14 @@ literal array. The full logit is computed once per row and each rule is removed
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import double_array, hash_uniform, let, poisson_steps, poisson_total
+from ..functions.numeric import double_array, hash_uniform, poisson1
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -82,60 +84,58 @@ def top_magnitude(importance: DataFrame, budget: int) -> DataFrame:
     return importance.orderBy(F.col("magnitude").desc(), "rule").limit(budget)
 
 
-def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], h: str = "h", y: str = "y", bias: float = 0.0, threshold: float = 0.0, replicates: int = 50, top_k: int | None = None, seed: int = 42) -> DataFrame:
+def _moments(replicates: int, n_rules: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (cell, flips, activations, draws) to one row of weighted moments per replicate, rule and task.
+
+    Draws are a rows x replicates matrix, activations and flips are rows x rules; their products are the moments, so
+    what a task holds and hands on does not depend on its rows. Defined inside, so that Spark ships it by value.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved = np.zeros((4, replicates, n_rules))
+        held, cells = np.zeros((replicates, n_rules)), np.zeros((4, replicates))
+        for batch in batches:
+            n = batch.num_rows
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            flat = lambda name, width, kind: batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, width)  # noqa: B023, E731
+            draws, activations = flat("draws", replicates, float), flat("activations", n_rules, float)
+            flips = flat("flips", n_rules, float)
+            held += draws.T @ activations
+            for k in range(4):
+                mine = cell == k
+                cells[k] += draws[mine].sum(axis=0)
+                moved[k] += draws[mine].T @ flips[mine]
+        rep, rule = (x.ravel() for x in np.indices((replicates, n_rules)))
+        columns = [rep.astype(np.int64), rule.astype(np.int64), held.ravel(), *(m.ravel() for m in moved), *(np.repeat(c, n_rules) for c in cells)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "rule", "held", *[f"moved_{k}" for k in range(4)], *[f"cell_{k}" for k in range(4)]])
+
+    return run
+
+
+def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], case: str, h: str = "h", y: str = "y", bias: float = 0.0, threshold: float = 0.0, replicates: int = 50, top_k: int | None = None, seed: int = 42) -> DataFrame:
     """Mean and spread of the F1 drop, top-k frequency and mean rank over bootstrap replicates.
 
-    A row's weight in a replicate is a Poisson(1) draw. Rows with the same label, prediction and flipping rules are one
-    kind, whose draws add up to one Poisson draw of their number, so replicates meet the kinds and not the rows.
-    Equal drops are ranked by mean activation over the whole table, then by rule.
+    A row's weight in a replicate is a Poisson(1) draw from the replicate and `case`. Equal drops are ranked by the mean
+    absolute activation within the replicate, then by rule. Tasks multiply draws with activations and flips in blocks
+    and hand on replicates x rules sums, whatever number of rows they saw.
     """
     n_rules = len(theta)
     top = max(1, min(n_rules, round(0.10 * n_rules) if top_k is None else top_k))
-    scored = _scored(df, h, theta, bias).select(
-        (F.col(y) == 1).alias("t"), (F.col("_z") >= threshold).alias("full"),
-        F.filter(
-            F.zip_with(
-                F.sequence(F.lit(0), F.lit(n_rules - 1)),
-                F.zip_with(h, "_theta", lambda a, b: a * b),
-                lambda r, part: F.when((F.col("_z") - part >= threshold) != (F.col("_z") >= threshold), r),
-            ),
-            lambda r: r.isNotNull(),
-        ).alias("flips"),
-    )
-    reps = F.sequence(F.lit(0), F.lit(replicates - 1))
-    kinds = scored.groupBy("t", "full", "flips").agg(F.count("*").alias("_units")).withColumn("_steps", poisson_steps(F.col("_units")))
-    name = F.concat_ws(",", F.col("t").cast("int").cast("string"), F.col("full").cast("int").cast("string"), F.array_join(F.col("flips").cast("array<string>"), "."))
-    rows = kinds.withColumn("_kind", name).withColumn("rep", F.explode(reps))
-    draw = let(hash_uniform(seed, F.col("rep"), F.col("_kind")), lambda u: poisson_total(u, F.col("_units"), F.col("_steps")))
-    weighted = rows.select("rep", "t", "full", "flips", draw.alias("w"))
-    t, full = F.col("t"), F.col("full")
-
-    def total(cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col("w")).otherwise(0))
-
-    base = weighted.groupBy("rep").agg(
-        total(t & full).alias("tp"), total(~t & full).alias("fp"), total(t & ~full).alias("fn")
-    )
+    t, full = F.col(y) == 1, F.col("_z") >= threshold
+    flips = F.transform(F.zip_with(h, "_theta", lambda a, b: a * b), lambda part: ((F.col("_z") - part >= threshold) != full).cast("double"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda rep: poisson1(hash_uniform(seed, rep, F.col(case))))
+    # Cells of the confusion table: 0 true positive, 1 false positive, 2 false negative, 3 true negative.
+    cell = F.when(t & full, 0).when(full, 1).when(t, 2).otherwise(3)
+    rows = _scored(df, h, theta, bias).select(cell.alias("cell"), flips.alias("flips"), F.transform(h, F.abs).alias("activations"), draws.alias("draws"))
+    sums = [*[f"moved_{k}" for k in range(4)], *[f"cell_{k}" for k in range(4)]]
+    per_task = rows.mapInArrow(_moments(replicates, n_rules), "rep long, rule long, held double, " + ", ".join(f"{c} double" for c in sums))
+    total = per_task.groupBy("rep", "rule").agg(*[F.sum(c).alias(c) for c in ("held", *sums)])
+    tp, fp, fn, tn = (F.col(f"cell_{k}") for k in range(4))
     # A flip moves a case out of its cell of the confusion table and into the opposite one.
-    flips = weighted.select("rep", "w", "t", "full", F.explode("flips").alias("rule")).groupBy("rep", "rule").agg(
-        (total(t & ~full) - total(t & full)).alias("d_tp"),
-        (total(~t & ~full) - total(~t & full)).alias("d_fp"),
-        (total(t & full) - total(t & ~full)).alias("d_fn"),
-    )
-    means = rule_importance_magnitude(df, theta, h).select("rule", "mean_abs_activation")
-    grid = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_rules - 1))).alias("rule"))
-    joined = grid.join(flips, ["rep", "rule"], "left").join(means, "rule")
-
-    def moved(name: str) -> Column:
-        return F.col(name) + F.coalesce(F.col(f"d_{name}"), F.lit(0))
-
-    drops = joined.select(
-        "rep", F.col("rule").cast("long").alias("rule"), "mean_abs_activation",
-        (f1(F.col("tp"), F.col("fp"), F.col("fn")) - f1(moved("tp"), moved("fp"), moved("fn"))).alias("delta_f1"),
-    )
-    w = Window.partitionBy("rep").orderBy(
-        F.round("delta_f1", 12).desc(), F.round("mean_abs_activation", 12).desc(), "rule"
-    )
+    out_tp, out_fp, out_fn, out_tn = (F.col(f"moved_{k}") for k in range(4))
+    without = f1(tp - out_tp + out_fn, fp - out_fp + out_tn, fn - out_fn + out_tp)
+    drops = total.select("rep", "rule", (f1(tp, fp, fn) - without).alias("delta_f1"), (F.col("held") / F.greatest(F.lit(1.0), tp + fp + fn + tn)).alias("mean_abs_activation"))
+    w = Window.partitionBy("rep").orderBy(F.round("delta_f1", 12).desc(), F.round("mean_abs_activation", 12).desc(), "rule")
     ranked = drops.withColumn("rank", F.row_number().over(w))
     return ranked.groupBy("rule").agg(
         F.avg("delta_f1").alias("mean_delta_f1"),
@@ -145,6 +145,11 @@ def rule_importance_bootstrap(df: DataFrame, theta: Sequence[float], h: str = "h
     )
 
 
+def top_bootstrap(importance: DataFrame, budget: int) -> DataFrame:
+    """The rules most often in the top, then by mean drop, mean rank and rule."""
+    return importance.orderBy(F.col("top_frequency").desc(), F.round("mean_delta_f1", 12).desc(), "mean_rank", "rule").limit(budget)
+
+
 def subset_f1(df: DataFrame, theta: Sequence[float], chosen: DataFrame, h: str = "h", y: str = "y", bias: float = 0.0, threshold: float = 0.0) -> DataFrame:
     """F1 of the model reduced to the chosen rules; their ids come by scalar subquery."""
     kept = chosen.agg(F.collect_list(F.col("rule").cast("int"))).scalar()
