@@ -1,10 +1,10 @@
 """Benchmark decontamination: containment search by a prefix filter, verified on exact shingles.
 
 An item of n shingles of which `need` must be in a document keeps its n - need + 1 smallest shingle hashes: if a
-document holds `need` of its shingles, it holds one of these, so the search loses nothing. There is one cut for items of
-all sizes, the largest hash that any of them keeps, and a document is probed with its hashes up to the cut. A short
-item, or many items, move the cut towards the maximum, and then nearly all shingles of a document are probed. A MinHash
-of fixed length would miss a short item in a long text.
+document holds `need` of its shingles, it holds one of these, so the search loses nothing. Items are partitioned by size
+(powers of two). Each partition has a cut of its own, the largest hash that any of its items keeps, and is probed
+with a document's hashes up to that cut only: short items keep most of the range, long ones about a fifth, and neither
+changes what the other's partition is probed with. A MinHash of fixed length would miss a short item in a long text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import let
 from .common import cut, shingle_hashes, text_print
 
 WIDTH = 5
@@ -40,6 +41,17 @@ def item_sketches(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sets.select("ip", F.floor(F.log2("n")).cast("int").alias("part"), F.explode(kept).alias("h"))
 
 
+def probes(docs: DataFrame, cuts: dict[int, int], width: int = WIDTH) -> DataFrame:
+    """(tp, part, h): the shingle hashes of every text once per size partition, up to the cut of the partition.
+
+    cuts has one entry per power of two among the sizes of items, some dozens at most, and becomes a literal.
+    """
+    parts = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(top).cast("long").alias("top")) for part, top in sorted(cuts.items())])
+    below = lambda hs: F.flatten(F.transform(parts, lambda p: F.transform(F.filter(hs, lambda h: h <= p["top"]), lambda h: F.struct(p["part"].alias("part"), h.alias("h")))))
+    each = docs.select(text_print(F.col("text")).alias("tp"), F.explode(let(shingle_hashes(F.col("text"), width), below)).alias("p"))
+    return each.select("tp", "p.part", "p.h")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(tp, ip, n_item, n_shared): prints of texts and of the items of which they hold percent or more.
 
@@ -48,10 +60,10 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, w
     """
     sets = cut(item_sets(items, width))
     sketches = cut(item_sketches(sets, percent))
-    cuts = [r.top for r in sketches.groupBy("part").agg(F.max("h").alias("top")).collect()]  # one per power of two
-    top = F.lit(max(cuts, default=-(2**63)))
-    probes = docs.select(text_print(F.col("text")).alias("tp"), F.explode(F.filter(shingle_hashes(F.col("text"), width), lambda h: h <= top)).alias("h"))
-    pairs = cut(probes.join(bounded(sketches), "h").select("tp", "ip").distinct())
+    cuts = {r.part: r.top for r in sketches.groupBy("part").agg(F.max("h").alias("top")).collect()}  # one per power of two
+    if not cuts:
+        return docs.sparkSession.createDataFrame([], "tp long, ip long, n_item int, n_shared int")
+    pairs = cut(probes(docs, cuts, width).join(bounded(sketches), ["part", "h"]).select("tp", "ip").distinct())
     texts = bounded(pairs.select("tp").distinct(), otherwise="shuffle_hash")
     here = docs.select(text_print(F.col("text")).alias("tp"), F.col("text").alias("body")).join(texts, "tp")
     full = here.select("tp", F.array_distinct(shingle_hashes(F.col("body"), width)).alias("full"))
