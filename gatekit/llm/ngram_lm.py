@@ -36,6 +36,9 @@ BEGIN = np.uint64(1)
 END = np.uint64(2)
 # Tokens handled at once; bounds the memory of a worker.
 TOKENS = 3_000_000
+#: Bytes of text whose pairs make a part of the model, and parts that a worker keeps mapped.
+PART_BYTES = 16 << 20
+OPEN_PARTS = 128
 
 
 def token_hashes(text: Column) -> Column:
@@ -137,6 +140,11 @@ def _write(folder: str, name: str, columns: dict[str, np.ndarray]) -> None:
         os.replace(temporary, path)
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in 4 bytes each where all of them fit, else in 8."""
+    return n.astype(np.uint32 if not n.size or n.max() < 1 << 32 else np.uint64)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
     blobs: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
@@ -163,7 +171,7 @@ def _pair_merger(folder: str, parts: int) -> Callable[[Iterator[pa.RecordBatch]]
             first = _runs(keys[order])
             n = np.add.reduceat(n[order], first)
             u, v, keys = u[order][first], v[order][first], keys[order][first]
-            _write(folder, f"pairs-{part:07d}", {"key": keys, "n": n.astype(np.uint32)})
+            _write(folder, f"pairs-{part:07d}", {"key": keys, "n": _narrow(n)})
             names = np.concatenate([v, u])
             none = np.zeros(len(n), np.uint64)
             facts = [
@@ -192,8 +200,8 @@ def _word_merger(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             order = np.argsort(keys)
             first = _runs(keys[order])
             count, before, total, one, two, more = (np.add.reduceat(f[order], first) for f in facts)
-            after = np.stack([one, two, more], axis=1).astype(np.uint32)
-            _write(folder, f"words-{part:07d}", {"key": keys[order][first], "count": count, "before": before.astype(np.uint32), "total": total, "after": after})
+            after = _narrow(np.stack([one, two, more], axis=1))
+            _write(folder, f"words-{part:07d}", {"key": keys[order][first], "count": count, "before": _narrow(before), "total": total, "after": after})
             sums = [int((count > 0).sum()), int(count.sum()), int(before.sum()), *_counts_of_counts(before), int((before > 2).sum())]
             yield _batch(**{k: pa.array([s], pa.int64()) for k, s in zip(("v", "n", "pairs", "m1", "m2", "m3", "m4", "many"), sums, strict=True)})
 
@@ -228,8 +236,10 @@ def fit(docs: DataFrame, folder: str | None = None, folds: int = FOLDS, held: in
     spark = docs.sparkSession
     place = os.path.join(folder or _path(spark), f"lm-{uuid.uuid4().hex}")
     os.makedirs(place, exist_ok=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    learned = docs.where(F.coalesce(fold(F.col("doc_id"), folds) != held, F.lit(True))).select(token_hashes(F.col("text")).alias("tokens"))
+    given = docs.where(F.coalesce(fold(F.col("doc_id"), folds) != held, F.lit(True))).select("text")
+    # The model has so many parts that a task merges what PART_BYTES of text hold, whatever the size of the corpus.
+    parts = 1 + (given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    learned = given.select(token_hashes(F.col("text")).alias("tokens"))
     counted = learned.mapInArrow(_counter(parts), "part int, blob binary").repartition(parts, "part")
     merged = cut(counted.mapInArrow(_pair_merger(place, parts), "part int, blob binary, n1 long, n2 long, n3 long, n4 long"))
     pair_counts = merged.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
@@ -261,7 +271,7 @@ class Arrays:
         for p in np.flatnonzero(np.diff(ends)):
             held, *values = self._open(f"{name}-{p:07d}", ("key", *kinds))
             if not out:
-                out = [np.zeros((len(keys), *v.shape[1:]), v.dtype) for v in values]
+                out = [np.zeros((len(keys), *v.shape[1:]), np.uint64) for v in values]
             if not len(held):
                 continue
             asked = keys[ends[p] : ends[p + 1]]
@@ -273,6 +283,8 @@ class Arrays:
 
     def _open(self, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
         if name not in self.files:
+            if len(self.files) >= OPEN_PARTS:  # a mapped file takes a descriptor; the first that was mapped goes
+                self.files.pop(next(iter(self.files)))
             paths = [os.path.join(self.model.folder, f"{name}.{k}.npy") for k in kinds]
             empty = {"after": np.zeros((0, 3), np.uint32)}
             self.files[name] = [np.load(p, mmap_mode="r") if os.path.exists(p) else empty.get(k, np.zeros(0, np.uint64)) for k, p in zip(kinds, paths, strict=True)]

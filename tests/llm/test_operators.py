@@ -374,3 +374,46 @@ def test_language_model(docs, texts, empty):
         assert r.score == pytest.approx(score, rel=1e-9) and r.base_score == pytest.approx(base, rel=1e-9)
     assert not ngram_lm.lm_scores(empty).collect()
     assert math.isfinite(ngram_lm.lm_scores(docs.limit(5), ngram_lm.fit(empty)).first().score)
+
+
+def test_counts_above_four_bytes_are_merged(tmp_path):
+    """Two tasks that saw a pair three billion times each: six billion are written and read back."""
+    import numpy as np
+    import pyarrow as pa
+
+    u, v, n = (np.array(x, np.uint64) for x in ([9, 9], [11, 12], [3_000_000_000, 2]))
+    blobs = [ngram_lm.pack([u, v, n]), ngram_lm.pack([u[:1], v[:1], n[:1]])]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+    merged = list(ngram_lm._pair_merger(str(tmp_path), 1)(iter([batch])))
+    list(ngram_lm._word_merger(str(tmp_path))(iter([b.select(["part", "blob"]) for b in merged])))
+    model = ngram_lm.Model(str(tmp_path), 1, 1, 1, 2, np.zeros(4), np.zeros(4), 0.0)
+    keys = ngram_lm.pair_keys(u, v)
+    order = np.argsort(keys)
+    found = ngram_lm.Arrays(model).find("pairs", ("n",), keys[order])[0]
+    assert found.tolist() == np.array([6_000_000_000, 2], np.uint64)[order].tolist()
+
+
+def test_a_model_in_many_parts_scores_alike(docs, monkeypatch):
+    want = {r.doc_id: r.score for r in ngram_lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(ngram_lm, "PART_BYTES", 2_000)
+    model = ngram_lm.fit(docs)
+    assert model.parts > 50
+    for open_parts in (128, 3):
+        monkeypatch.setattr(ngram_lm, "OPEN_PARTS", open_parts)
+        got = {r.doc_id: r.score for r in ngram_lm.lm_scores(docs, model).collect()}
+        assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_a_short_item_does_not_raise_the_probes_of_long_ones(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(some_words(rng, 300, 4_000))) for i in range(40)], "doc_id long, text string")
+    long = [(i, " ".join(some_words(rng, 200, 4_000))) for i in range(6)]
+
+    def probed(items):
+        sketches = decontam.item_sketches(decontam.item_sets(spark.createDataFrame(items, "item_id long, text string")))
+        cuts = {r.part: r.top for r in sketches.groupBy("part").agg(F.max("h").alias("top")).collect()}
+        return {r.part: r.n for r in decontam.probes(docs, cuts).groupBy("part").agg(F.count("h").alias("n")).collect()}
+
+    alone, mixed = probed(long), probed([*long, (6, "one two three four five six")])
+    assert {p: mixed[p] for p in alone} == alone and len(mixed) == len(alone) + 1
+    assert sum(alone.values()) < 0.4 * 40 * 296
