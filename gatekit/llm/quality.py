@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.numeric import let
 from .common import SPACE, WORD, lines, n_words, words
 
-# Signs counted as symbols, and phrases of site furniture.
+# Signs counted as symbols, and phrases of site furniture in the four languages of the corpus.
 SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "javascript", "lorem ipsum",
     "subscribe to our newsletter", "click here", "sign up now", "log in to continue", "page not found",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "hier klicken", "seite nicht gefunden",
+    "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "cliquez ici", "page introuvable",
+    "política de privacidad", "términos de uso", "todos los derechos reservados", "haga clic aquí", "página no encontrada",
 )
 # A line fails the punctuation rule if this share of its word characters, or more, is noise.
 NOISE = r"[#*$%&|<>{}\[\]=~^_\\]|[!?]{2,}"

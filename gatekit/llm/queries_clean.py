@@ -30,7 +30,7 @@ LINE_DEDUP_SQL = f"""
     FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
-_phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+_phrases = " OR ".join("contains(lower(line), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
 QUALITY_SQL = f"""
     WITH d AS (
         SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL.format("coalesce(text, '')")} AS ws,

@@ -124,9 +124,10 @@ def test_quality_rules(spark, docs, texts, empty):
         covered = {i + k for i in range(len(w) - 4) if times[tuple(w[i : i + 5])] > 1 for k in range(5)}
         assert (got[d].n_words, got[d].word_chars, got[d].n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
     menu = "Home | About | News | Contact | Shop | Help | Terms\nOne sentence of text stands here, and it is long enough to keep."
-    rows = [(1, menu), (2, "Buy!!! NOW!!! cheap!!! $$$ %%% *** go go go go go"), (3, "This site uses a cookie."), (4, "A plain sentence of ten words or a few more.")]
+    rows = [(1, menu), (2, "Buy!!! NOW!!! cheap!!! $$$ %%% *** go go go go go"), (3, "This site uses a cookie."), (4, "A plain sentence of ten words or a few more."), (5, "Alle Rechte VORBEHALTEN\nTous droits réservés.\nPOLÍTICA de privacidad\nUn texto sin más.")]
     judged = {r.doc_id: r for r in quality.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert judged[1].clean_text.startswith("One") and judged[1].lost_words == 13 and not judged[2].kept and judged[3].clean_text == "" and judged[4].kept
+    assert judged[5].clean_text == "Un texto sin más."
     assert not quality.judge_lines(empty).collect()
 
 
