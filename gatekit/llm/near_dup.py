@@ -24,18 +24,40 @@ def signed(docs: DataFrame, width: int = WIDTH, places: int = PLACES, bands: int
     return sets.mapInArrow(sketcher(places, bands, 1), "doc_id long, n long, p1 long, p2 long, keys array<long>, brief array<long>")
 
 
+#: Steps per doubling by which classes of a bucket are ordered, and lots into which those of one step are dealt.
+STEPS, LOTS = 8, 16
+
+
+def numbered(shared: DataFrame) -> DataFrame:
+    """shared (bucket, rep, met, ...) with nth, the place of a class in its bucket, from 1; the order is the same in all buckets.
+
+    Those that meet most others come first, in steps of the logarithm, then by lot: a bucket is cut by step and lot, each
+    piece is numbered on its own, and pieces are shifted by the sizes of those before, so that no task orders a whole
+    bucket.
+    """
+    step, lot = F.floor(F.log2(F.col("met").cast("double")) * STEPS).cast("int"), F.pmod(F.xxhash64("rep"), F.lit(LOTS)).cast("int")
+    pieces = shared.withColumns({"step": step, "lot": lot})
+    sizes = pieces.groupBy("bucket", "step", "lot").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.partitionBy("bucket").orderBy(F.desc("step"), "lot").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("bucket", "step", "lot", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("bucket", "step", "lot").orderBy("rep", "n"))
+    place = ["bucket", "step", "lot"]
+    return pieces.withColumn("own", own).join(shifts, place).withColumn("nth", F.col("own") + F.col("shift")).drop("own", "shift", "step", "lot", "met")
+
+
 def _members(rows: DataFrame) -> DataFrame:
     """(bucket, rep, n, brief, keys, home, nth): classes that share a band with another, numbered within the bucket.
 
-    Those that meet most others come first: the text that copies were made from meets nearly all of them.
+    Those that meet most others come first: the text that copies were made from meets nearly all of them. Buckets are
+    numbered without signatures and keys, which join afterwards.
     """
     first = rows.where("doc_id = rep").select("rep", "p1", "n", "brief", "keys").dropDuplicates(["rep", "p1"])
     own = first.select("rep", "p1", "n", F.explode("keys").alias("bucket")).distinct()
     sizes = own.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     shared = cut(own.join(sizes.select("bucket", "size"), "bucket"))
     central = shared.groupBy("rep").agg(F.sum("size").alias("met"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("met"), "rep", "n")
-    return shared.join(central, "rep").join(first.select("rep", "p1", "brief", "keys"), ["rep", "p1"]).select("bucket", "rep", "n", "brief", "keys", F.col("rep").alias("home"), F.row_number().over(order).alias("nth"))
+    placed = numbered(shared.join(central, "rep").select("bucket", "rep", "p1", "n", "met"))
+    return placed.join(first.select("rep", "p1", "brief", "keys"), ["rep", "p1"]).select("bucket", "rep", "n", "brief", "keys", F.col("rep").alias("home"), "nth")
 
 
 def places_alike(x: Column, y: Column, places: int) -> Column:
@@ -128,7 +150,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     """
     rows = cut(signed(docs, width, places, bands))
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = able.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
+    # Cut, so that the join deals both of its sides anew and can split a class that many rows share.
+    classes = cut(able.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep")))
     classed = able.join(classes, ["p1", "p2", "n"]).select("doc_id", "p1", "n", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "brief")])
     classed = cut(classed)
     members = cut(_members(classed))

@@ -95,6 +95,22 @@ def test_hubs_leave_no_pair_out(spark):
     assert got == want and set(want) == {3, 30, 17, 25, 39}
 
 
+def test_buckets_are_numbered_in_one_order(spark):
+    rng = random.Random(12)
+    met = {r: rng.choice([3, 3, 50, 400 + r]) for r in range(300)}
+    rows = [(b, r, 7, met[r]) for b in range(5) for r in met if rng.random() < 0.7] + [(9, 1, 7, 3)]
+    got = near_dup.numbered(spark.createDataFrame(rows, "bucket long, rep long, n long, met long")).collect()
+    order = {}
+    for b in {r.bucket for r in got}:
+        here = sorted((r.nth, r.rep) for r in got if r.bucket == b)
+        assert [n for n, _ in here] == list(range(1, len(here) + 1))
+        order[b] = [rep for _, rep in here]
+        assert all(met[x] * 1.1 >= met[y] for i, x in enumerate(order[b]) for y in order[b][i:])
+    for b in order:
+        common = set(order[0]) & set(order[b])
+        assert [r for r in order[0] if r in common] == [r for r in order[b] if r in common]
+
+
 def test_line_dedup(docs, texts, empty):
     out = line_dedup.dedup_lines(docs)
     got = {r.doc_id: r for r in out.collect()}
