@@ -14,7 +14,7 @@ LARGER = dict.fromkeys(
     ).split(),
     "/root/testdata/sf0.01",
 )
-TABLES = "lineitem orders events documents embeddings labels".split()
+TABLES = "lineitem orders events documents embeddings labels part".split()
 
 
 @pytest.fixture(scope="module")
