@@ -24,7 +24,7 @@ HEADLINE = (
     "attribution_conflict", "objective_metrics", "level_summary", "ablation_modes", "calibrate_gate", "set_agreement",
     "series_stats", "classification_metrics", "rule_importance_lofo", "rule_importance_bootstrap", "bootstrap_ci",
     "counterevidence_counts", "action_rates", "triage_summary", "quality_conflict_gate", "rupture_gates", "impute", "mcnemar",
-    "calibrate_by_objective", "calibrate_simplex", "action_rates_stream",
+    "calibrate_by_objective", "calibrate_simplex", "compose_chain_fold", "skyline_candidates", "align_from_table", "action_rates_stream",
 )
 
 
