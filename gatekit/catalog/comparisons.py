@@ -181,6 +181,28 @@ def objective_on_splits(spark, sf):
     return parts[0].unionByName(parts[1]).select("config", "part", *_COUNTS)
 
 
+# --- a partitioned table -----------------------------------------------------------------------------
+
+def one_type_of_events(spark, sf):
+    """Events written by type and day, then one type read back: a filter on the folders, not on the rows."""
+    events = V.table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    path = f"{checkpoint_root(spark)}/events-{uuid.uuid4().hex}"
+    # Rows of a folder meet in few files; days keep a type that is hot apart.
+    T.write_table(events.repartition("event_type", "day"), path, partition_by=("event_type", "day"))
+    return T.read_table(spark, path, "parquet").where(F.col("event_type") == "error")
+
+
+@query(
+    "partitioned_events",
+    "select strftime(ts, '%Y-%m-%d') as day, count(*)::bigint as n, round(sum(value), 4) as total, count(distinct user_id)::bigint as users from events where event_type = 'error' group by 1",
+)
+def partitioned_events(spark, sf):
+    back = one_type_of_events(spark, sf)
+    return back.groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users")
+    )
+
+
 # --- paired tests --------------------------------------------------------------------------------------
 
 @query("mcnemar_fml", _mcnemar_sql("action_f0", "action_fml"))

@@ -7,6 +7,7 @@ from gatekit.functions import numeric as N
 from gatekit.operators import models as MD
 from gatekit.operators import paths as P
 from gatekit.operators import prepare as PR
+from gatekit.catalog.comparisons import one_type_of_events
 from gatekit.operators.quantiles import exact_quantiles
 from gatekit.operators.ranks import dense_ranks, positions
 from gatekit.sources.tables import read_table, spread, write_table
@@ -115,3 +116,11 @@ def test_spread_leaves_split_tables_alone(spark):
     few, many = spark.range(100).coalesce(1), spark.range(100).repartition(16)
     assert spread(few, "id").rdd.getNumPartitions() == 8 and spread(many, "id").rdd.getNumPartitions() == 16
     assert spread(few, "id").count() == 100
+
+
+def test_a_partitioned_table_is_pruned(spark):
+    back = one_type_of_events(spark, "/root/testdata/sf0.001")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_type" in plan and "PushedFilters: []" in plan
+    folders = {r.file.split("/")[-3] for r in back.select(F.input_file_name().alias("file")).distinct().collect()}
+    assert folders == {"event_type=error"}
