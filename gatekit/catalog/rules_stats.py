@@ -210,7 +210,7 @@ def distance_constants(spark, sf):
     return rounded(ST.distance_constants(_pair_rows(spark, sf)))
 
 
-# --- fitted weights and models (rows only) -----------------------------------------------------------
+# --- fitted weights and models -----------------------------------------------------------
 
 def beta_pairs(spark, sf):
     """Component gaps of the explanation pairs with a score that depends on them."""
@@ -241,6 +241,48 @@ _MOMENT_COLUMNS = [*_GAPS, "expert_score"]
 _MOMENTS = [(a, b) for i, a in enumerate(_MOMENT_COLUMNS) for b in _MOMENT_COLUMNS[i:]]
 
 
+# The pairs with their fold, for all queries on the fit of the weights.
+_GAP_ROWS = S.PAIRED.rstrip().replace("with ", "with recursive ", 1) + f""", gp as (select case_id, floor({S.uniform(42, "case_id")} * 5)::bigint as fold,
+    {", ".join(f"{v} as {k}" for k, v in _GAPS.items())}, {_TARGET} as expert_score from pairs),
+"""
+_N, _L2 = len(FT.FEATURES), 1e-3
+
+
+def _simplex(held_out: bool) -> str:
+    """CTEs up to fit (fold, i, w): the weights on the simplex by elimination on every choice of features, for all rows, or for the rows outside each fold.
+
+    A choice keeps its features' rows of the optimality equations and puts `weight = 0` for the others, so all have one
+    shape; the sum of the weights comes last, as the pivots before it are then positive.
+    """
+    products = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': sum({a} * {b})}}" for i, a in enumerate(FT.FEATURES) for j, b in enumerate([*FT.FEATURES, "expert_score"]))
+    by_fold = f"own as (select fold, n, p.i, p.j, p.v from (select fold, count(*) as n, unnest([{products}]) as p from gp group by fold)),\n"
+    others = "(select i, j, sum(v) as v, sum(n) as n from own group by i, j)"
+    if held_out:
+        learned = f"mo as (select o.fold, o.i, o.j, t.v - o.v as v, t.n - o.n as n from own o join {others} t using (i, j)),\n"
+    else:
+        learned = f"mo as (select 0 as fold, i, j, v, n from {others}),\n"
+    last = _N
+    return by_fold + learned + f"""cell as (select fold, i, j, 2e0 / n * v + case when i = j then {2 * _L2} else 0e0 end as v from mo),
+face as (select s::int as s from range(1, {2**_N}) t(s)),
+e0 as (select fold, s, i, case when j = {_N} then {_N + 1} else j end as j,
+        case when j = {_N} then (s >> i & 1) * v when (s >> i & 1) + (s >> j & 1) = 2 then v else (i = j)::int end as v from cell, face
+    union all select fold, s, i, {last}, s >> i & 1 from cell, face where j = {_N}
+    union all select fold, s, {last}, i, s >> i & 1 from cell, face where j = {_N}
+    union all select fold, s, {last}, j, (j > {last})::int from (select distinct fold from cell), face, range({last}, {last + 2}) t(j)),
+el as (select 0 as k, fold, s, i::int as i, j::int as j, v::double as v from e0
+    union all select k + 1, fold, s, i, j, case when i = k then r / d else v - c * r / d end from (select *,
+        max(case when i = k and j = k then v end) over (partition by fold, s) as d, max(case when i = k then v end) over (partition by fold, s, j) as r,
+        max(case when j = k then v end) over (partition by fold, s, i) as c from el where k <= {last})),
+so as (select fold, s, i, v from el where k = {last + 1} and j = {last + 1}),
+ob as (select so.fold, s, -(sum(case when so.i < {_N} then so.v * g.v else so.v end)) / 2 as error from so left join (select fold, i, v from cell where j = {_N}) g on g.fold = so.fold and g.i = so.i
+    group by 1, 2 having min(case when so.i < {_N} then so.v end) >= -1e-12),
+fit as (select so.fold, i, greatest(so.v, 0e0) as w from so join (select fold, arg_min(s, error) as s from ob group by fold) using (fold, s) where i < {_N})
+"""
+
+
+_NAMED = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FT.FEATURES))
+
+
 @query(
     "beta_moments",
     S.PAIRED.rstrip() + ", gp as (select floor(" + S.uniform(42, "case_id") + " * 5)::bigint as fold, " + ", ".join(f"{v} as {k}" for k, v in _GAPS.items())
@@ -253,19 +295,34 @@ def beta_moments(spark, sf):
     return sums.select("fold", "n", *[r6(F.col(f"`{a}*{b}`")).alias(f"{a}_{b}") for a, b in _MOMENTS])
 
 
-@query("fit_beta_optimality", " union all ".join(f"select '{f}' as feature, true as in_range, true as optimal, true as sums_to_one" for f in FT.FEATURES))
+@query(
+    "fit_beta_optimality",
+    _GAP_ROWS + _simplex(False) + f""", sl as (select c.i, any_value(f.w) as w, sum(case when c.j < {_N} then c.v * o.w else -c.v end) as slope
+    from cell c join fit f on f.i = c.i left join fit o on o.i = c.j group by c.i),
+lv as (select *, sum(slope * w) over () as level, sum(w) over () as total from sl)
+select feature, w between -1e-4 and 1 + 1e-4 as in_range, case when w > 1e-4 then abs(slope - level) <= 1e-4 else slope >= level - 1e-4 end as optimal,
+    abs(total - 1) <= 1e-4 as sums_to_one from lv join (values {_NAMED}) v(i, feature) using (i)""",
+)
 def fit_beta_optimality(spark, sf):
     """Whether the fitted weights meet the conditions of the optimum on the simplex, weight by weight."""
     pairs = beta_pairs(spark, sf)
     return FT.beta_optimality(pairs, FT.fit_beta(pairs))
 
 
-@query("fit_beta")
+@query("fit_beta", _GAP_ROWS + _simplex(False) + f"select feature, round(w, 6) as weight from fit join (values {_NAMED}) v(i, feature) using (i)")
 def fit_beta(spark, sf):
     return rounded(FT.fit_beta(beta_pairs(spark, sf)))
 
 
-@query("cv_beta")
+@query(
+    "cv_beta",
+    _GAP_ROWS + _simplex(True) + f""", wt as (select fold, list(w order by i) as w from fit group by fold),
+pd as (select fold, expert_score as a, {" + ".join(["0e0", *[f"{f} * w[{i + 1}]" for i, f in enumerate(FT.FEATURES)]])} as b, ({" + ".join(FT.FEATURES)}) / {_N}e0 as even from gp join wt using (fold)),
+rk as (select *, rank() over (partition by fold order by a) + (count(*) over (partition by fold, a) - 1) / 2e0 as ra,
+    rank() over (partition by fold order by b) + (count(*) over (partition by fold, b) - 1) / 2e0 as rb from pd)
+select fold::int as fold, (select count(*) from gp)::bigint - count(*)::bigint as n_train, count(*)::bigint as n_test, round(avg((a - even) ** 2), 6) as mse_base, round(avg((a - b) ** 2), 6) as mse_calibrated,
+    round(case when stddev_pop(ra) = 0 or stddev_pop(rb) = 0 then 0e0 else corr(ra, rb) end, 6) as spearman from rk group by fold""",
+)
 def cv_beta(spark, sf):
     return rounded(FT.cv_beta(beta_pairs(spark, sf), "case_id"))
 

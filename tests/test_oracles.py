@@ -9,8 +9,8 @@ SF = "/root/testdata/sf0.001"
 # One line item is repeated in the smallest tables, which leaves its order in a path and its partner in a join open.
 LARGER = dict.fromkeys(
     (
-        "align_candidates beta_moments certify_paths compose_chain compose_pair disagreement_with_reduction edge_report pareto_front "
-        "representation_distance semantic_disagreement tamper_check weighted_gamma weighted_mean_risk"
+        "align_candidates beta_moments certify_paths compose_chain compose_pair cv_beta disagreement_with_reduction edge_report "
+        "fit_beta fit_beta_optimality pareto_front representation_distance semantic_disagreement tamper_check weighted_gamma weighted_mean_risk"
     ).split(),
     "/root/testdata/sf0.01",
 )
