@@ -90,11 +90,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint for long, narrow tables."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}", codec)
+
+
+def _written(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Stored tables of a job that go once all that was made from them is stored itself.
+
+    Nothing may read them after release(): what is still wanted must be stored, so that lost executors read it anew.
+    """
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        self._paths.append((df.sparkSession, path))
+        return _written(df, path)
+
+    def release(self) -> None:
+        while self._paths:
+            spark, path = self._paths.pop()
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def ship_by_value(module: str) -> None:
     """Send a module's functions with the tasks that use them, so that workers need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -2,11 +2,12 @@
 
 import math
 import random
+from pathlib import Path
 
 import plain
 import pytest
 from gatekit.llm import components as C
-from gatekit.llm import decontam, langid, line_dedup, mixing, near_dup, ngram_lm, paragraphs, quality, toxicity, url_filter
+from gatekit.llm import common, decontam, langid, line_dedup, mixing, near_dup, ngram_lm, paragraphs, quality, toxicity, url_filter
 from pyspark.sql import functions as F
 
 # Columns that clash with the names the operators use inside.
@@ -249,6 +250,16 @@ def test_repeated_passages(spark, empty):
     assert not paragraphs.repeated_passages(empty).collect()
 
 
+def test_tables_go_when_they_are_released(spark):
+    tables = common.Tables()
+    early = tables.stored(spark.range(5))
+    late = common.stored(early.where("id > 2"))
+    files = [Path(f.removeprefix("file://")) for f in early.inputFiles()]
+    tables.release()
+    assert files and not any(f.parent.exists() for f in files)
+    assert late.count() == 2
+
+
 def test_passages_end_where_texts_part(spark):
     """Exact spans of exact repeats of 51 words or more, in the text that loses them and in the one that keeps them."""
     rng = random.Random(8)
