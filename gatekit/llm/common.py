@@ -6,6 +6,7 @@ import re
 import sys
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +81,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def mounted(folder: str) -> str:
+    """The folder as a path that workers can open."""
+    url = urlparse(folder)
+    if url.scheme not in ("", "file"):
+        raise ValueError("workers open files there: spark.checkpoint.dir must be on a mounted shared file system")
+    return url.path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors."""
     context = df.sparkSession.sparkContext
@@ -112,6 +121,12 @@ class Tables:
         self._paths.append((df.sparkSession, path))
         return _written(df, path)
 
+    def path(self, spark: SparkSession) -> str:
+        """A folder of its own for files that workers write and read, which must see the shared folder as a path."""
+        path = f"{mounted(shared_folder(spark))}/files-{uuid.uuid4().hex}"
+        self._paths.append((spark, path))
+        return path
+
     def release(self) -> None:
         while self._paths:
             spark, path = self._paths.pop()
