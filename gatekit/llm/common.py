@@ -6,6 +6,8 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark import cloudpickle
@@ -134,6 +136,24 @@ class Tables:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends: for jobs of many steps that store each result.
+
+    A result that is computed again is shuffled again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def ship_by_value(module: str) -> None:
     """Send a module's functions with the tasks that use them, so that workers need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
