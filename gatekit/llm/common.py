@@ -51,6 +51,11 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def word_hashes(text: Column) -> Column:
+    """Hashes of the words of a text (A to Z lower-cased); none for null."""
+    return F.transform(words(ascii_lower(F.coalesce(text, F.lit("")))), lambda w: F.xxhash64(w))
+
+
 def shingle_hashes(text: Column, width: int = 5) -> Column:
     """Hashes of the word shingles in text order; a shorter text is one shingle, no words give none.
 
@@ -63,7 +68,7 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
         each = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, whole).otherwise(each)
 
-    return let(F.transform(words(ascii_lower(F.coalesce(text, F.lit("")))), lambda w: F.xxhash64(w)), windows)
+    return let(word_hashes(text), windows)
 
 
 def text_print(text: Column) -> Column:
