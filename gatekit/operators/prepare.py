@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.numeric import config_array, hash_uniform
+from ..session import materialised
 from .quantiles import cut_points, exact_quantiles, unpivot
 from .ranks import dense_ranks
 
@@ -179,15 +180,15 @@ def binarize_at_median(df: DataFrame, column: str, out: str = "risk_target") ->
 def stratified_split(df: DataFrame, label: str, case_id: Sequence[str], seed: int = 42, test: float = 0.25, validation: float = 0.25, stratify: bool = True) -> DataFrame:
     """Repeatable train / validation / test split with exact shares per class.
 
-    Each row gets a hash draw; per class the draw at the wanted ranks is found once, and rows meet the cuts of their
-    class in an equi-join, which Spark broadcasts where classes are few and splits where one is hot. stratify=False
-    takes the shares of the whole table instead.
+    Each row gets a hash draw; per class the draw at the wanted ranks is found once and stored, and rows meet the cuts of
+    their class in an equi-join. As the size of the stored cuts is known to the plan, Spark broadcasts them where classes
+    are few, without a shuffle of the rows by class. stratify=False takes the shares of the whole table instead.
     """
     drawn = df.withColumn("_u", hash_uniform(seed, *[F.col(c) for c in case_id]))
     shares = (test, test + (1 - test) * validation)
     stratum = F.coalesce(F.col(label).cast("string"), F.lit("")) if stratify else F.lit("*")
     labelled = drawn.select(stratum.alias("stratum"), "_u")
-    cuts = cut_points(labelled, "_u", shares, keys=["stratum"])
+    cuts = materialised(cut_points(labelled, "_u", shares, keys=["stratum"]))
     with_cut = drawn.withColumn("_stratum", stratum).join(cuts.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
     return with_cut.withColumn(
         "split",

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import let
+from ..session import materialised
 
 _BEFORE = (Window.unboundedPreceding, -1)
 # Buckets per key.
@@ -121,17 +122,20 @@ def _histogram(rows: DataFrame, keys: Sequence[str], moments: bool) -> DataFrame
     return out
 
 
-def _around(df: DataFrame, value: str, keys: Sequence[str], wanted: Column, few_keys: bool = False, moments: bool = False) -> DataFrame:
+def _around(df: DataFrame, value: str, keys: Sequence[str], wanted: Column, few_keys: bool = False, moments: bool = False, stored: bool = False) -> DataFrame:
     """(keys, value, n, first_rank, all_n) of the values in the buckets where `wanted`, over off_n, in_n and all_n, holds.
 
     One scan counts buckets, a second one takes the values of the buckets that hold a wanted rank, counted in the
     tasks. These buckets are cut again into parts between their smallest and largest value, and only parts that hold
-    a wanted rank are put in order, so that no task orders a whole bucket.
+    a wanted rank are put in order, so that no task orders a whole bucket. stored: the wanted buckets become a table, so that
+    the plan knows their size and rows meet them without a shuffle where keys are few.
     """
     carried = ["mean", "std"] if moments else []
     rows = df.select(*keys, F.col(value).cast("double").alias("value"))
     rows = rows.select("*", order_bucket(F.col("value")).alias("bucket"))
     offsets = _histogram(rows, keys, moments).where(wanted).select(*keys, "bucket", "off_n", "all_n", "lo", "hi", *carried)
+    if stored:
+        offsets = materialised(offsets)
     # A key has two wanted buckets per rank, so without keys, or with keys that the plan lists, the table is small.
     near = _beside(rows, F.broadcast(offsets) if few_keys or not keys else offsets, [*keys, "bucket"])
     place = [*keys, "bucket", "off_n", "all_n", "lo", "hi", *carried]
@@ -214,7 +218,7 @@ def cut_points(df: DataFrame, rank_value: str, shares: Sequence[float], keys: Se
     for s in shares:
         target = F.ceil(F.col("all_n") * F.lit(s))
         wanted = wanted | ((F.col("off_n") <= target) & (target < F.col("off_n") + F.col("in_n")))
-    ranked = _around(df, rank_value, keys, wanted)
+    ranked = _around(df, rank_value, keys, wanted, stored=bool(keys))
     cuts = []
     for i, s in enumerate(shares):
         target = F.ceil(F.col("all_n") * F.lit(s))

@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatekit.catalog import rules_stats as RS
 from gatekit.operators import fit as FT
+from gatekit.operators import models as MD
+from gatekit.operators import prepare as PR
+from gatekit.operators import sweeps as W
 
 
 def counted(df):
@@ -37,3 +41,47 @@ def test_fit_and_its_check_share_one_scan(gaps):
     sums = FT.moment_sums(pairs)
     assert all(r.optimal for r in FT.beta_optimality(pairs, FT.fit_beta(pairs, sums=sums), sums=sums).collect())
     assert seen.value == 300
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_split_does_not_shuffle_rows_by_class(spark):
+    rows = spark.range(0, 4000, 1, 4).select("id", (F.col("id") % 2).alias("y"))
+    split = PR.stratified_split(rows, "y", ["id"])
+    assert "Exchange hashpartitioning" not in plan(split) and "SortMergeJoin" not in plan(split)
+    assert {(r.y, r.split): r["count"] for r in split.groupBy("y", "split").count().collect()} == {
+        (y, part): n for y in (0, 1) for part, n in (("test", 500), ("validation", 375), ("train", 1125))
+    }
+
+
+def test_models_read_a_stored_split(spark):
+    assert "Join" not in plan(RS._split(spark, "/root/testdata/sf0.001"))
+
+
+def test_forest_rows_are_dealt_by_their_number(spark, monkeypatch):
+    seen = {}
+
+    class Forest:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, df):
+            seen["pieces"] = df.rdd.getNumPartitions()
+
+    monkeypatch.setattr(MD, "RandomForestClassifier", Forest)
+    monkeypatch.setattr(MD, "FOREST_ROWS", 50)
+    MD.fit_risk_model(spark.range(0, 1000, 1, 1).select(F.col("id").alias("x"), (F.col("id") % 2).alias("y")), ["x"], "y")
+    assert seen["pieces"] == 20
+
+
+def test_the_search_for_the_best_config_reads_each_part_once(spark):
+    x = F.col("id") / 200.0
+    rows = spark.range(200).select(
+        x.alias("p"), (1 - x).alias("u"), x.alias("interpretability"), (x / 2).alias("reduction_loss"), (x > 0.7).alias("chi_r"), (x > 0.9).alias("chi_r_crit"),
+        (x < 0.5).alias("chi_auto"), F.lit(True).alias("trace_valid"), F.lit(1).alias("y_true"), (x > 0.5).cast("int").alias("y_pred"),
+    ).localCheckpoint()
+    (validation, first), (test, second) = counted(rows), counted(rows)
+    out = W.calibrate_before_after(validation, test).collect()
+    assert sorted(r.part for r in out) == ["test", "validation"] and (first.value, second.value) == (200, 200)
