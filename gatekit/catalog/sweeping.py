@@ -9,6 +9,7 @@ from ..functions.numeric import r6
 from ..operators import prepare as P
 from ..operators import sweeps as W
 from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, risk_shares
+from ..session import materialised
 from ..sources import views as V
 from . import sql as S
 from .registry import query
@@ -200,7 +201,11 @@ src as (select *, case when k < ceil(nn * 0.25e0) then 'test' when k < ceil(nn *
 select {_CAL_OUT}, part from m2, best where config_id = cid and part in ('validation', 'test')""",
 )
 def calibrate_before_after(spark, sf):
-    rows = P.stratified_split(V.evaluation_rows(spark, sf), "y_true", ["case_id"])
+    cases = V.evaluation_rows(spark, sf).select(
+        "case_id", "p", "u", "interpretability", "reduction_loss", "chi_r", "chi_r_crit", "chi_auto", "trace_valid", "y_true", "y_pred"
+    )
+    # Stored, for the cuts, the search and the test read them.
+    rows = materialised(P.stratified_split(materialised(cases), "y_true", ["case_id"]))
     out = W.calibrate_before_after(rows.where(F.col("split") == "validation"), rows.where(F.col("split") == "test"))
     return rounded(out)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import gates as G
 from ..functions.numeric import clip01, config_array, double_array, hash_uniform
 from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, GatePolicy, risk_shares
+from ..session import materialised
 from .attributions import AUTO_HIGH, AUTO_LOW, conflict_rho
 from .decisions import long_actions
 from .metrics import is_auto, objective, objective_metrics, policy_metrics, share
@@ -386,7 +387,7 @@ def best_gate(metrics: DataFrame) -> DataFrame:
 
 def calibrate_before_after(validation: DataFrame, test: DataFrame) -> DataFrame:
     """Best config on validation, with its metrics on validation and on test."""
-    best = best_gate(calibrate_gate(validation))
+    best = materialised(best_gate(calibrate_gate(validation)))
     on_test = calibrate_gate(test)
     chosen = best.select("config_id").scalar()
     rows = best.withColumn("part", F.lit("validation")).unionByName(
