@@ -15,10 +15,15 @@ from ..plans.plan import GatePolicy
 from .observe import observe
 
 
+#: Training rows of a forest in one task. A row is kept with a draw per tree, some 670 bytes for 120 trees.
+FOREST_ROWS = 200_000
+
+
 def fit_risk_model(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest", seed: int = 42, trees: int = 120, depth: int = 6):
     """Fit a random forest or a logistic regression; training is distributed by Spark ML.
 
-    Nulls and NaN are filled with the medians of the training part, so every row is learned from and scored.
+    Nulls and NaN are filled with the medians of the training part, so every row is learned from and scored. A forest's rows
+    are dealt over tasks by their number, for each costs a walk through all trees per level.
     """
     if kind == "random_forest":
         model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
@@ -34,7 +39,10 @@ def fit_risk_model(train: DataFrame, features: Sequence[str], label: str, kind:
             VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="error"),
         ]
     ).fit(rows)
-    return prepare, model.fit(prepare.transform(rows))
+    ready = prepare.transform(rows).select("features", label)
+    if kind == "random_forest":
+        ready = ready.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FOREST_ROWS)))
+    return prepare, model.fit(ready)
 
 
 def _as_doubles(df: DataFrame, features: Sequence[str]) -> DataFrame:
