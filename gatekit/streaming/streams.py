@@ -70,17 +70,19 @@ def action_rates(scored: DataFrame, ts: str, window: str = "1 day", slide: str |
 # --- drift with state ---------------------------------------------------------------------------
 
 DRIFT_OUTPUT = "user_id long, shard int, event_id long, ts timestamp, gamma double, rupture boolean, first boolean, event_type string, u double"
-DRIFT_ROW = "ts timestamp, event_id long, event_type string, u double"
+DRIFT_ROW = "who string, ts timestamp, event_id long, event_type string, u double"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _drift_processor(gamma_max: float, idle_ms: int):
-    """State of one user (as text) and shard: the rows that wait for the watermark, and the last row that was paired.
+    """State of one group of users (as text) and shard: the rows that wait for the watermark, and the last row of each user that was paired.
 
     Everything it needs is defined inside, so Spark ships it by value and executors need pandas only.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    columns = ["who", "ts", "event_id", "event_type", "u"]
+
     def event_gamma(u0, type0, u1, type1):
         # The risk gap counts in the representation and the uncertainty part, the activation gap depends
         # on whether both fire the same rule, and the trace differs in id and time (2 of 6 fields).
@@ -96,7 +98,7 @@ def _drift_processor(gamma_max: float, idle_ms: int):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.waiting = handle.getListState("waiting", DRIFT_ROW)
-            self.last = handle.getValueState("last", DRIFT_ROW)
+            self.last = handle.getListState("last", DRIFT_ROW)
             self.alarm = handle.getValueState("alarm", "at long")
 
         def wake(self, at: int) -> None:
@@ -112,8 +114,8 @@ def _drift_processor(gamma_max: float, idle_ms: int):
             for frame in rows:
                 if len(frame):
                     known = lambda value, kind: None if pd.isna(value) else kind(value)
-                    columns = zip(frame["ts"], frame["event_id"], frame["event_type"], frame["u"], strict=True)
-                    self.waiting.appendList([(t.to_pydatetime(), known(e, int), known(k, str), known(u, float)) for t, e, k, u in columns])
+                    fields = zip(*[frame[c] for c in columns], strict=True)
+                    self.waiting.appendList([(w, t.to_pydatetime(), known(e, int), known(k, str), known(u, float)) for w, t, e, k, u in fields])
                     self.wake(millis(frame["ts"].min()) + 1)
             return iter(())
 
@@ -122,34 +124,38 @@ def _drift_processor(gamma_max: float, idle_ms: int):
             now = timerValues.getCurrentWatermarkInMs()
             ready, later = [], []
             for row in self.waiting.get():
-                (ready if millis(row[0]) < now else later).append(tuple(row))
-            ready.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+                (ready if millis(row[1]) < now else later).append(tuple(row))
+            ready.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
-                self.wake(min(millis(r[0]) for r in later) + 1)
-            last = tuple(self.last.get()) if self.last.exists() else None
+                self.wake(min(millis(r[1]) for r in later) + 1)
+            last = {row[0]: tuple(row) for row in self.last.get()}
             if ready:
-                before = pd.DataFrame([last or (None, None, None, float("nan")), *ready[:-1]], columns=["ts", "event_id", "event_type", "u"])
-                here = pd.DataFrame(ready, columns=["ts", "event_id", "event_type", "u"])
-                paired = pd.Series(True, index=here.index)
-                paired.iloc[0] = last is not None
-                gamma = event_gamma(before["u"].astype(float), before["event_type"], here["u"], here["event_type"]).where(paired)
-                last = ready[-1]
-                self.last.update(last)
+                # A user's first row follows the user's last one of before, or nothing.
+                nobody = (None, None, None, None, float("nan"))
+                previous = [ready[k - 1] if k and ready[k - 1][0] == r[0] else last.get(r[0], nobody) for k, r in enumerate(ready)]
+                before, here = pd.DataFrame(previous, columns=columns), pd.DataFrame(ready, columns=columns)
+                paired = pd.Series([p is not nobody for p in previous], index=here.index)
+                gamma = event_gamma(before["u"].astype(float), before["event_type"], here["u"].astype(float), here["event_type"]).where(paired)
+                last |= {r[0]: r for r in ready}
                 yield pd.DataFrame(
                     {
-                        "user_id": pd.array([int(key[0]) if key[0] else None] * len(here), dtype="Int64"), "shard": key[1], "event_id": here["event_id"].astype("Int64"), "ts": here["ts"],
+                        "user_id": pd.array([int(w) if w else None for w in here["who"]], dtype="Int64"), "shard": key[1], "event_id": here["event_id"].astype("Int64"), "ts": here["ts"],
                         "gamma": gamma, "rupture": (gamma > gamma_max) & paired, "first": ~paired,
                         "event_type": here["event_type"], "u": here["u"].astype(float),
                     }
                 )
-            if last is not None and not later:
-                done = millis(last[0]) + idle_ms
-                if now >= done:
-                    self.last.clear()
-                else:
-                    self.wake(done)
+            # A last row goes after idle_ms, unless rows of the user wait for it.
+            awaited = {r[0] for r in later}
+            kept = {w: r for w, r in last.items() if w in awaited or now < millis(r[1]) + idle_ms}
+            if kept:
+                self.last.put(list(kept.values()))
+            else:
+                self.last.clear()
+            done = [millis(r[1]) + idle_ms for w, r in kept.items() if w not in awaited]
+            if done:
+                self.wake(min(done))
 
         def close(self) -> None:
             pass
@@ -157,19 +163,23 @@ def _drift_processor(gamma_max: float, idle_ms: int):
     return Drift()
 
 
-def drift_stream(events: DataFrame, gamma_max: float = 0.25, lateness: str = "1 hour", idle_ms: int = 7 * 86_400_000, shard: Column | None = None) -> DataFrame:
+def drift_stream(events: DataFrame, gamma_max: float = 0.25, lateness: str = "1 hour", idle_ms: int = 7 * 86_400_000, shard: Column | None = None, groups: int | None = None) -> DataFrame:
     """Disagreement of each event with the user's one before, in event order across triggers.
 
     Rows wait in the state until the watermark has passed them; then they are ordered, paired and emitted, so that a row
     that comes late, but within the lateness, still stands where it belongs. Later rows are dropped, and rows without a time. `shard` splits a
     hot user, for example by day; each shard then starts afresh and its first row is marked, and `join_shards` pairs it over the table
     written. Besides the waiting rows, state is one row per user and shard, which goes after idle_ms.
+
+    A call of the state costs the same for one row as for many. With `groups`, users are dealt over so many groups per shard
+    and a group is handled at once, which suits many users with few rows each; without it every user is a group.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # lists and timers need it
     keyed = events.where(F.col("ts").isNotNull()).withWatermark("ts", lateness).withColumn("shard", F.coalesce((F.lit(0) if shard is None else shard).cast("int"), F.lit(-1)))
     # Keys of a state are never null: the user as text, empty for null.
     who = F.coalesce(F.col("user_id").cast("long").cast("string"), F.lit("")).alias("who")
-    return keyed.select(who, "shard", "event_id", "ts", "event_type", "u").groupBy("who", "shard").transformWithStateInPandas(
+    held = F.col("who") if groups is None else F.pmod(F.xxhash64("who"), F.lit(groups)).cast("string")
+    return keyed.select(who, "shard", "event_id", "ts", "event_type", "u").withColumn("held", held).groupBy("held", "shard").transformWithStateInPandas(
         statefulProcessor=_drift_processor(gamma_max, idle_ms), outputStructType=DRIFT_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 

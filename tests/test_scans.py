@@ -1,14 +1,20 @@
 """Long jobs read their input once, or as often as said here, and what they hand on does not grow with copies."""
 
+import datetime as dt
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatekit.catalog import paths_streams as PS
 from gatekit.catalog import rules_stats as RS
 from gatekit.operators import fit as FT
 from gatekit.operators import models as MD
 from gatekit.operators import prepare as PR
 from gatekit.operators import sweeps as W
+from gatekit.streaming import streams as ST
+from test_streams import drift_over_files
 
 
 def counted(df):
@@ -85,3 +91,14 @@ def test_the_search_for_the_best_config_reads_each_part_once(spark):
     (validation, first), (test, second) = counted(rows), counted(rows)
     out = W.calibrate_before_after(validation, test).collect()
     assert sorted(r.part for r in out) == ["test", "validation"] and (first.value, second.value) == (200, 200)
+
+
+def test_users_of_one_group_keep_their_own_order(spark, tmp_path, monkeypatch):
+    at = lambda minute, event, user, value: (event, dt.datetime(2024, 1, 1, 0, minute), user, "click", value, "")
+    parts = [[at(0, 1, 1, 30.0), at(5, 2, 2, 60.0), at(30, 3, 1, 90.0)], [at(20, 4, 2, 10.0), at(25, 5, 1, 0.0), at(50, 6, None, 50.0)], [at(59, 7, 2, 20.0)]]
+    frames = [spark.createDataFrame(p, PS.EVENT_SCHEMA) for p in parts]
+    plain = drift_over_files(spark, tmp_path / "plain", frames, "15 minutes").collect()
+    monkeypatch.setattr(ST, "drift_stream", partial(ST.drift_stream, groups=1))
+    grouped = drift_over_files(spark, tmp_path / "grouped", frames, "15 minutes").collect()
+    assert sorted(map(str, plain)) == sorted(map(str, grouped))
+    assert sorted(r.event_id for r in grouped) == [3, 4, 5, 7]
