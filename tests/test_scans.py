@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatekit.catalog import SPARK
 from gatekit.catalog import paths_streams as PS
 from gatekit.catalog import rules_stats as RS
 from gatekit.operators import fit as FT
 from gatekit.operators import models as MD
 from gatekit.operators import prepare as PR
+from gatekit.operators import selection as L
 from gatekit.operators import sweeps as W
 from gatekit.streaming import streams as ST
 from test_streams import drift_over_files
@@ -102,3 +104,18 @@ def test_users_of_one_group_keep_their_own_order(spark, tmp_path, monkeypatch):
     grouped = drift_over_files(spark, tmp_path / "grouped", frames, "15 minutes").collect()
     assert sorted(map(str, plain)) == sorted(map(str, grouped))
     assert sorted(r.event_id for r in grouped) == [3, 4, 5, 7]
+
+
+def test_equal_candidates_are_one_kind(spark):
+    rows = [(k, f"a{k}", {"x": "y"}, {}, 0.5 + k % 2) for k in range(40)]
+    kinds = L._kinds(spark.createDataFrame(rows, "pos long, name string, term_map map<string,string>, rule_map map<string,string>, activation_scale double"))
+    assert sorted((r.pos, r.name, r.n) for r in kinds.collect()) == [(0, "a0", 20), (1, "a1", 20)]
+
+
+def test_pairs_and_candidates_never_become_rows(spark, monkeypatch):
+    """Sorts and aggregations by pair see a row per pair and list, and lists may be cut anywhere."""
+    aligned = SPARK["align_from_table"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in plan(aligned)
+    want = sorted(map(str, aligned.collect()))
+    monkeypatch.setattr(L, "KINDS_AT_ONCE", 2)
+    assert sorted(map(str, SPARK["align_from_table"](spark, "/root/testdata/sf0.001").collect())) == want
