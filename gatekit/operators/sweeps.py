@@ -547,6 +547,8 @@ def _simplex_counter(weights: np.ndarray, policy: GatePolicy):
     """Agreements and squared errors of every weighting over the cases of a task, one row per weighting and task."""
     names = list(TARGET_RHO)
     levels = np.array([TARGET_RHO[a] for a in names])
+    # Plain numbers, so that workers need no copy of the package.
+    uncertainty_max, theta_mid, theta_high = policy.uncertainty_max, policy.theta_mid, policy.theta_high
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         agreed, error, n = np.zeros(len(weights), np.int64), np.zeros(len(weights)), 0
@@ -556,16 +558,17 @@ def _simplex_counter(weights: np.ndarray, policy: GatePolicy):
                 p, u, i, d = (rows[c].to_numpy(float)[:, None] for c in SIMPLEX_COLUMNS[:4])
                 chi = rows["chi_r"].to_numpy(bool)[:, None]
                 expected = rows["expected_action"].map(names.index).to_numpy()[:, None]
+                times = rows["n"].to_numpy(np.int64)[:, None]
                 w = weights.T[:, None, :]
                 rho = np.clip(w[0] * p + w[1] * u + w[2] * (1.0 - i) + w[3] * d + w[4] * chi, 0.0, 1.0)
-                unsure, mid = u >= policy.uncertainty_max, rho >= policy.theta_mid
-                low = np.where(unsure & (p >= policy.theta_mid), names.index("lower_confidence"), names.index("accept"))
+                unsure, mid = u >= uncertainty_max, rho >= theta_mid
+                low = np.where(unsure & (p >= theta_mid), names.index("lower_confidence"), names.index("accept"))
                 action = np.where(mid, np.where(unsure, names.index("request_more_data"), names.index("lower_confidence")), low)
-                action = np.where(rho >= policy.theta_high, names.index("defer_to_human"), action)
+                action = np.where(rho >= theta_high, names.index("defer_to_human"), action)
                 action = np.where(chi, names.index("block"), action)
-                agreed += (action == expected).sum(axis=0)
-                error += ((rho - levels[expected]) ** 2).sum(axis=0)
-                n += len(rows)
+                agreed += ((action == expected) * times).sum(axis=0)
+                error += ((rho - levels[expected]) ** 2 * times).sum(axis=0)
+                n += int(times.sum())
         if n:
             yield pd.DataFrame({"at": np.arange(len(weights)), "agreed": agreed, "error": error, "n": n})
 
@@ -575,11 +578,13 @@ def _simplex_counter(weights: np.ndarray, policy: GatePolicy):
 def calibrate_simplex(cases: DataFrame, grid: DataFrame) -> DataFrame:
     """Accuracy, squared error to the target risk and distance to the defaults of each weighting.
 
-    As in `calibrate_by_objective`, tasks score their cases against the whole grid and return one row per weighting.
+    Equal cases are one kind with a number. As in `calibrate_by_objective`, tasks score their kinds against the whole grid
+    and return one row per weighting.
     """
     listed = grid.select(*RISK_TERMS).toPandas()
     counter = _simplex_counter(listed.to_numpy(float), GatePolicy())
-    seen = _dealt(cases.select(*SIMPLEX_COLUMNS, "expected_action"))
+    kinds = cases.groupBy(*SIMPLEX_COLUMNS, "expected_action").agg(F.count(F.lit(1)).alias("n"))
+    seen = _dealt(kinds)
     sums = seen.mapInPandas(counter, "at long, agreed long, error double, n long").groupBy("at").agg(*[F.sum(c).alias(c) for c in ("agreed", "error", "n")])
     table = cases.sparkSession.createDataFrame(listed.assign(at=range(len(listed))))
     out = table.join(sums, "at").select(*RISK_TERMS, (F.col("agreed") / F.col("n")).alias("accuracy"), (F.col("error") / F.col("n")).alias("mse"))
