@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import gates as G
-from ..functions.numeric import clip01, hash_uniform, poisson1, r6
+from ..functions.numeric import clip01, hash_uniform, poisson1, r6, r6_scaled
 from ..operators import metrics as M
 from ..operators import prepare as P
 from ..operators import rules as RU
@@ -285,7 +285,7 @@ def best_simplex(spark, sf):
     p, u, i, _ = _terms()
     expected = G.reference_action(p, u, i, F.col("chi_r"), F.col("chi_r_crit"), F.col("wrong"))
     best = W.best_simplex(W.calibrate_simplex(rows.withColumn("expected_action", expected), W.simplex_grid(spark)))
-    return rounded(best.drop("mse", "distance"))
+    return rounded(best.drop("mse", "distance").withColumn("accuracy", r6_scaled(F.col("accuracy"))))
 
 
 # --- a sample with replacement beside the natural flow ----------------------------------------------------

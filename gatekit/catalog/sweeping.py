@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import r6
+from ..functions.numeric import r6, r6_scaled
 from ..operators import prepare as P
 from ..operators import sweeps as W
 from ..plans.plan import RISK_TERMS, RISK_WEIGHTS, risk_shares
@@ -290,6 +290,8 @@ def calibrate_simplex(spark, sf):
         "p", "u", "interpretability", "reduction_loss", "chi_r", "chi_r_crit", (F.col("y_true") != F.col("y_pred")).alias("wrong")
     )
     expected = G.reference_action(F.col("p"), F.col("u"), F.col("interpretability"), F.col("chi_r"), F.col("chi_r_crit"), F.col("wrong"))
-    return rounded(W.calibrate_simplex(rows.withColumn("expected_action", expected), W.simplex_grid(spark)))
+    out = W.calibrate_simplex(rows.withColumn("expected_action", expected), W.simplex_grid(spark))
+    # Accuracies are shares of the cases and can fall exactly between two six-digit numbers.
+    return rounded(out.withColumn("accuracy", r6_scaled(F.col("accuracy"))))
 
 

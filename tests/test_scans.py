@@ -3,6 +3,7 @@
 import datetime as dt
 from functools import partial
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gatekit.catalog import SPARK
 from gatekit.catalog import paths_streams as PS
 from gatekit.catalog import rules_stats as RS
+from gatekit.functions.numeric import r6_scaled
 from gatekit.operators import fit as FT
 from gatekit.operators import models as MD
 from gatekit.operators import prepare as PR
@@ -119,3 +121,17 @@ def test_pairs_and_candidates_never_become_rows(spark, monkeypatch):
     want = sorted(map(str, aligned.collect()))
     monkeypatch.setattr(L, "KINDS_AT_ONCE", 2)
     assert sorted(map(str, SPARK["align_from_table"](spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_shares_between_two_numbers_are_rounded_as_in_sql(spark):
+    got = spark.range(2000).select(r6_scaled(F.col("id") / 2e6).alias("x")).collect()
+    assert [r.x for r in got] == [x for (x,) in duckdb.sql("select round(i / 2e6::double, 6) from range(2000) t(i) order by i").fetchall()]
+
+
+def test_equal_cases_are_scored_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(W, "_dealt", lambda rows: seen.setdefault("rows", rows))
+    case = {"p": 0.5, "u": 0.2, "interpretability": 0.7, "reduction_loss": 0.1, "chi_r": False, "expected_action": "accept"}
+    rows = spark.range(500).select(*[F.lit(v).alias(k) for k, v in case.items()])
+    out = W.calibrate_simplex(rows, W.simplex_grid(spark).limit(3)).collect()
+    assert len(out) == 3 and seen["rows"].count() == 1
