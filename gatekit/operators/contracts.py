@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -110,16 +111,37 @@ PAYLOAD_SCHEMA = ", ".join(
 def parse_payloads(df: DataFrame, payload: str = "payload", schema: str = "classification") -> DataFrame:
     """Errors and typed fields of each payload; quality and context numbers default to 0.
 
-    A payload whose required fields all parse to their types is valid, so only the others pay for
-    the detailed check. The row is built inside a one-element array that is inlined, so a later
-    filter on the errors stays above the parse and does not repeat it.
+    A payload whose required fields all parse to their types is valid, and what `_told` can tell from the
+    parsed row is told from it, so only the others are parsed again for the detailed check. The parsed row
+    is inlined out of a one-element array, so its fields are plain columns: a later filter on the errors
+    stays above the parse and does not repeat it, and the typed fields are compiled.
     """
-    detailed = payload_errors(F.col(payload), schema)
-    parsed = F.from_json(F.col(payload), PAYLOAD_SCHEMA)
-    return df.select("*", F.inline(F.transform(F.array(parsed), lambda doc: _typed(doc, schema, detailed))))
+    fields = (*PLAIN_FIELDS, "top_k_importance", *MAP_FIELDS)
+    parsed = F.inline(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA))).alias(*[f"_doc_{n}" for n in fields])
+    doc = {n: F.col(f"_doc_{n}") for n in fields}
+    return df.select("*", parsed).select(*df.columns, *_typed(doc, schema, F.col(payload)))
 
 
-def _typed(doc: Column, schema: str, detailed: Column) -> Column:
+def _told(doc: Mapping[str, Column], schema: str, payload: Column) -> tuple[Column, Column]:
+    """Whether the parsed fields alone tell all broken rules of a payload, and the codes they tell.
+
+    A field without a value is missing for sure where its name is nowhere in the text and nothing is escaped. One whose
+    name is there may be null or of another type, which the detailed check finds out.
+    """
+    asked = tuple(dict.fromkeys((*REQUIRED[schema], *OBJECT_FIELDS)))
+    if any(n not in doc for n in asked):
+        return F.lit(False), F.array().cast("array<string>")
+    told = F.startswith(payload, F.lit("{")) & ~F.contains(payload, F.lit("\\")) & F.coalesce(*[doc[n] for n in PLAIN_FIELDS]).isNotNull()
+    for name in asked:
+        told = told & (doc[name].isNotNull() | ~F.contains(payload, F.lit(name)))
+    codes = [F.when(doc[n].isNull(), F.lit(f"{n}:missing")) for n in REQUIRED[schema]]
+    if schema == "classification":
+        p = doc["class_probability"]
+        codes.append(F.when(p.isNotNull() & ~F.coalesce(p.try_cast("double").between(0.0, 1.0), F.lit(False)), F.lit("class_probability:not_unit")))
+    return told, F.array_compact(F.array(*codes))
+
+
+def _typed(doc: Mapping[str, Column], schema: str, payload: Column) -> list[Column]:
     p = doc["class_probability"].try_cast("double")
     known = (*PLAIN_FIELDS, *MAP_FIELDS)
     clean = F.lit(all(n in known for n in REQUIRED[schema]))
@@ -136,15 +158,16 @@ def _typed(doc: Column, schema: str, detailed: Column) -> Column:
 
     def context(name: str, alias: str) -> Column:
         raw = F.element_at(doc["context_values"], name).try_cast("double")
-        return F.round(F.coalesce(raw, F.lit(0.0)), 6).alias(alias)
+        return F.coalesce(F.round(raw, 6), F.lit(0.0)).alias(alias)
 
     def text(name: str, default: str | None) -> Column:
         raw = F.element_at(doc["context_values"], name)
         return (F.coalesce(raw, F.lit(default)) if default else raw).alias(name)
 
+    told, codes = _told(doc, schema, payload)
     importance = doc["feature_importance"]
-    return F.struct(
-        F.when(clean, F.array().cast("array<string>")).otherwise(detailed).alias("errors"),
+    return [
+        F.when(clean, F.array().cast("array<string>")).when(told, codes).otherwise(payload_errors(payload, schema)).alias("errors"),
         *[doc[n].try_cast(t).alias(n) for n, t in PLAIN_FIELDS.items()],
         doc["feature_values"].alias("feature_values"),
         importance.alias("feature_importance"),
@@ -158,7 +181,7 @@ def _typed(doc: Column, schema: str, detailed: Column) -> Column:
         context("prediction_interval_width", "interval_width"),
         context("noise_ratio", "signal_noise"),
         context("occlusion_rate", "image_noise"),
-    )
+    ]
 
 
 def flatten_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:

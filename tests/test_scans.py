@@ -1,6 +1,7 @@
 """Long jobs read their input once, or as often as said here, and what they hand on does not grow with copies."""
 
 import datetime as dt
+import json
 from functools import partial
 
 import duckdb
@@ -12,6 +13,7 @@ from gatekit.catalog import SPARK
 from gatekit.catalog import paths_streams as PS
 from gatekit.catalog import rules_stats as RS
 from gatekit.functions.numeric import r6_scaled
+from gatekit.operators import contracts as C
 from gatekit.operators import fit as FT
 from gatekit.operators import models as MD
 from gatekit.operators import prepare as PR
@@ -135,3 +137,23 @@ def test_equal_cases_are_scored_once(spark, monkeypatch):
     rows = spark.range(500).select(*[F.lit(v).alias(k) for k, v in case.items()])
     out = W.calibrate_simplex(rows, W.simplex_grid(spark).limit(3)).collect()
     assert len(out) == 3 and seen["rows"].count() == 1
+
+
+def test_errors_are_told_from_the_parsed_fields(spark):
+    whole = {
+        "scenario_id": "s", "source_type": "t", "model_name": "m", "dataset_name": "d", "predicted_class": 1, "class_probability": 0.5,
+        "feature_values": {"a": 1.0}, "feature_importance": {"a": 0.4}, "quality_metrics": {"missing_rate": 0.1},
+    }
+    without = {k: v for k, v in whole.items() if k != "model_name"}
+    told = [whole | {"class_probability": 2}, without, without | {"class_probability": "x"}, {k: v for k, v in whole.items() if k != "feature_values"}]
+    rest = [whole | {"feature_values": "n/a"}, whole | {"model_name": None}, without | {"context_values": {"model_name": "x"}}]
+    texts = [json.dumps(p) for p in (*told, *rest)]
+    odd = [None, "", "{}", "abc", f"[{texts[1]}]", texts[1][:-1], texts[0].replace("model_name", "m\\u006fdel_name")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + odd)], "id int, payload string")
+    parsed = C.parse_payloads(rows)
+    assert "transform(array(from_json(StructField" not in plan(parsed)
+    for r in parsed.withColumn("wanted", C.payload_errors(F.col("payload"), "classification")).collect():
+        assert r.errors == r.wanted, r.payload
+    doc = {n: F.from_json("payload", C.PAYLOAD_SCHEMA)[n] for n in (*C.PLAIN_FIELDS, "top_k_importance", *C.MAP_FIELDS)}
+    told_rows = rows.where(C._told(doc, "classification", F.col("payload"))[0])
+    assert sorted(r.id for r in told_rows.collect()) == list(range(len(told)))
