@@ -234,20 +234,26 @@ def contribution_summary(df: DataFrame, plan: GatePlan = GatePlan()) -> DataFram
     )
 
 
-def _mode(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
-    """Most common value per group, ties by name, from counts per value."""
-    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("_n"), F.col(column))).alias(out))
-
-
 def model_summary(df: DataFrame, model: str = "model_name") -> DataFrame:
-    means = df.groupBy(model).agg(
-        F.count("*").alias("n"),
-        *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("gamma", "delta", "rho")],
-        F.count_if(F.col("action") == "audit").alias("audit_count"),
+    """Counts, means, and the most common action and component per model, ties by name.
+
+    All of it comes from one count per model, action and component, so rows are scanned once. Rows without a model are left out.
+    """
+    means = ("gamma", "delta", "rho")
+    cells = df.where(F.col(model).isNotNull()).groupBy(model, "action", "dominant_component").agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in means], *[F.count(c).alias(f"_n_{c}") for c in means]
     )
-    return means.join(_mode(df, [model], "action", "dominant_action"), model).join(
-        _mode(df, [model], "dominant_component", "dominant_risk_component"), model
+
+    def mode(column: str) -> Column:
+        return F.min_by(column, F.struct(-F.col(f"_with_{column}"), F.col(column)))
+
+    per = {c: F.sum("_n").over(Window.partitionBy(model, c)) for c in ("action", "dominant_component")}
+    return cells.select("*", *[n.alias(f"_with_{c}") for c, n in per.items()]).groupBy(model).agg(
+        F.sum("_n").alias("n"),
+        *[F.round(F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")), 6).alias(f"mean_{c}") for c in means],
+        F.coalesce(F.sum(F.when(F.col("action") == "audit", F.col("_n"))), F.lit(0)).alias("audit_count"),
+        mode("action").alias("dominant_action"),
+        mode("dominant_component").alias("dominant_risk_component"),
     )
 
 

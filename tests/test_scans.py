@@ -15,6 +15,7 @@ from gatekit.catalog import rules_stats as RS
 from gatekit.functions.numeric import r6_scaled
 from gatekit.operators import contracts as C
 from gatekit.operators import fit as FT
+from gatekit.operators import metrics as M
 from gatekit.operators import models as MD
 from gatekit.operators import prepare as PR
 from gatekit.operators import selection as L
@@ -157,3 +158,17 @@ def test_errors_are_told_from_the_parsed_fields(spark):
     doc = {n: F.from_json("payload", C.PAYLOAD_SCHEMA)[n] for n in (*C.PLAIN_FIELDS, "top_k_importance", *C.MAP_FIELDS)}
     told_rows = rows.where(C._told(doc, "classification", F.col("payload"))[0])
     assert sorted(r.id for r in told_rows.collect()) == list(range(len(told)))
+
+
+@pytest.fixture
+def routed(spark):
+    rows = [(f"c{i:03}", "m1" if i % 3 else "m2", f"a{i % 4}", f"d{i % 5}", f"k{i % 2}", f"t{i % 3}", i / 100, i / 200, i / 300) for i in range(60)]
+    names = "case_id model_name action dominant_component representation_class task_type gamma delta rho".split()
+    return counted(spark.createDataFrame([*rows, ("none", None, "a0", "d0", None, "t0", 0.5, 0.5, 0.5)], names))
+
+
+def test_model_summary_reads_rows_once(routed):
+    df, seen = routed
+    got = {r["model_name"]: (r["n"], r["dominant_action"], r["dominant_risk_component"], r["mean_gamma"], r["audit_count"]) for r in M.model_summary(df).collect()}
+    assert got == {"m1": (40, "a0", "d0", 0.3, 0), "m2": (20, "a0", "d0", 0.285, 0)}
+    assert seen.value == 61
