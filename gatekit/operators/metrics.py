@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.plan import AUTO_ACTIONS, GatePlan
+from ..session import materialised
 from .quantiles import exact_quantiles, roc_auc
 
 
@@ -177,21 +178,22 @@ def distribution(df: DataFrame, columns: Sequence[str], rollup: bool = False) ->
 def class_coverage(df: DataFrame, cls: str = "representation_class", task: str = "task_type", case: str = "case_id", order: Sequence[str] = ("case_id",), examples: int = 3) -> DataFrame:
     """Count, task types and the first examples per class.
 
-    The examples come from a rank filter that Spark applies per input task before the shuffle.
+    Counts and examples read the few columns they need from a stored table, so rows are computed once. The
+    examples come from a rank filter that Spark applies per input task before the shuffle.
     """
-    counts = df.groupBy(cls).agg(F.count("*").alias("count"))
-    tasks = df.select(cls, task).distinct().groupBy(cls).agg(
-        F.array_join(F.array_sort(F.collect_list(task)), ";").alias("task_types")
+    df = materialised(df.where(F.col(cls).isNotNull()).select(*dict.fromkeys((cls, task, case, *order))))
+    cells = df.groupBy(cls, task).agg(F.count("*").alias("_n"))
+    counts = cells.groupBy(cls).agg(
+        F.sum("_n").alias("count"), F.array_join(F.array_sort(F.collect_list(task)), ";").alias("task_types")
     )
     w = Window.partitionBy(cls).orderBy(*order)
     first = (
-        df.select(cls, case, *order if case not in order else [c for c in order if c != case])
-        .withColumn("_r", F.row_number().over(w))
+        df.withColumn("_r", F.row_number().over(w))
         .where(F.col("_r") <= examples)
         .groupBy(cls)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", case))), lambda s: s[case]), ";").alias("examples"))
     )
-    return counts.join(tasks, cls).join(first, cls)
+    return counts.join(first, cls)
 
 
 def component_summary(df: DataFrame) -> DataFrame:

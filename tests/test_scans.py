@@ -172,3 +172,10 @@ def test_model_summary_reads_rows_once(routed):
     got = {r["model_name"]: (r["n"], r["dominant_action"], r["dominant_risk_component"], r["mean_gamma"], r["audit_count"]) for r in M.model_summary(df).collect()}
     assert got == {"m1": (40, "a0", "d0", 0.3, 0), "m2": (20, "a0", "d0", 0.285, 0)}
     assert seen.value == 61
+
+
+def test_class_coverage_reads_rows_once(routed):
+    df, seen = routed
+    got = {r["representation_class"]: tuple(r)[1:] for r in M.class_coverage(df).collect()}
+    assert got == {"k0": (30, "t0;t1;t2", "c000;c002;c004"), "k1": (30, "t0;t1;t2", "c001;c003;c005")}
+    assert seen.value == 61
