@@ -9,6 +9,7 @@ from ..functions.numeric import r6
 from ..operators import contracts as C
 from ..operators import decisions as D
 from ..operators.registry import register_gate
+from ..session import materialised
 from ..sources import views as V
 from . import sql as S
 from .registry import query
@@ -264,7 +265,7 @@ def decision_fingerprint(spark, sf):
 )
 def tamper_check(spark, sf):
     cols = ["case_id", "action", "dominant_component"]
-    now = routes(spark, sf)
+    now = materialised(routes(spark, sf).select(*cols))
     line = F.split("case_id", "-").getItem(1).cast("int")
     stored = D.decision_fingerprint(now.withColumn("action", F.when(line == 4, "accepted").otherwise(F.col("action"))), cols)
     return D.tamper_check(now, stored.where(line != 5), "case_id", cols).groupBy("status").agg(F.count("*").alias("n"))

@@ -179,3 +179,8 @@ def test_class_coverage_reads_rows_once(routed):
     got = {r["representation_class"]: tuple(r)[1:] for r in M.class_coverage(df).collect()}
     assert got == {"k0": (30, "t0;t1;t2", "c000;c002;c004"), "k1": (30, "t0;t1;t2", "c001;c003;c005")}
     assert seen.value == 61
+
+
+def test_tamper_check_makes_routes_once(spark):
+    df = SPARK["tamper_check"](spark, "/root/testdata/sf0.001")
+    assert "from_json" not in plan(df)
