@@ -184,3 +184,16 @@ def test_class_coverage_reads_rows_once(routed):
 def test_tamper_check_makes_routes_once(spark):
     df = SPARK["tamper_check"](spark, "/root/testdata/sf0.001")
     assert "from_json" not in plan(df)
+
+
+def test_distribution_reads_rows_once(routed):
+    df, seen = routed
+    assert {(r["action"], r["count"], r["percentage"]) for r in M.distribution(df, ["action"]).collect()} == {
+        ("a0", 16, 26.23), ("a1", 15, 24.59), ("a2", 15, 24.59), ("a3", 15, 24.59)
+    }
+    assert seen.value == 61
+
+
+def test_a_rollup_counts_its_shares_of_all_rows(routed):
+    got = {(r["model_name"], r["action"]): (r["count"], r["percentage"]) for r in M.distribution(routed[0], ["model_name", "action"], rollup=True).collect()}
+    assert got["m1", None] == (40, 65.57) and got["m2", "a0"] == (5, 8.2)
