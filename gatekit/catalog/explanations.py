@@ -13,7 +13,7 @@ from .registry import query
 
 
 def _pairs(spark, sf):
-    return X.pair_up(V.model_explanations(spark, sf), V.observer_explanations(spark, sf))
+    return V.explanation_pairs(spark, sf)
 
 
 @query("semantic_disagreement", S.PAIRED + "select case_id, round(gamma, 6) as gamma from pairs")
@@ -31,9 +31,7 @@ def disagreement_with_reduction(spark, sf):
 
     # The reduction term takes a tenth, the other terms share the rest as before.
     beta = {term: 0.90 * weight for term, weight in BETA.items()} | {"reduction": 0.10}
-    scored = X.disagreement(_pairs(spark, sf), beta).select("case_id", "gamma")
-    seg = V.cases(spark, sf).select("case_id", "segment")
-    return scored.join(seg, "case_id").groupBy("segment").agg(F.count("*").alias("n"), r6(F.avg("gamma")).alias("mean_gamma"))
+    return X.disagreement(_pairs(spark, sf), beta).groupBy("segment").agg(F.count("*").alias("n"), r6(F.avg("gamma")).alias("mean_gamma"))
 
 
 @query(

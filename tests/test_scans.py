@@ -197,3 +197,12 @@ def test_distribution_reads_rows_once(routed):
 def test_a_rollup_counts_its_shares_of_all_rows(routed):
     got = {(r["model_name"], r["action"]): (r["count"], r["percentage"]) for r in M.distribution(routed[0], ["model_name", "action"], rollup=True).collect()}
     assert got["m1", None] == (40, 65.57) and got["m2", "a0"] == (5, 8.2)
+
+
+def test_both_explanations_of_a_case_come_from_one_row(spark):
+    # One line item is there twice; joined by case it would make four pairs.
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for name in ("edge_report", "align_candidates", "compose_pair", "semantic_disagreement"):
+        df = SPARK[name](spark, "/root/testdata/sf0.001")
+        assert "Join" not in plan(df) and df.count() == lines
+    assert "Join" not in plan(SPARK["disagreement_with_reduction"](spark, "/root/testdata/sf0.001"))
