@@ -448,8 +448,8 @@ def objective_candidates(spark: SparkSession, n_random: int = 5000, n_coordinate
 
 CONFLICT_COLUMNS = ("p", "u_m", "i_pre", "delta_m", "rho_nas", "chi_r", "chi_r_crit", "wrong")
 COUNTERS = ("missed_critical", "false_auto_accept", "unsafe_accept", "false_block", "excessive_defer")
-# Rows that meet all candidates at once; bounds the memory of a worker.
-SCORED_AT_ONCE = 1000
+# Rows that meet all candidates at once; bounds the memory of a worker: 5 MB an array of 5,701 candidates.
+SCORED_AT_ONCE = 100
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -475,8 +475,13 @@ def _objective_counter(weights: np.ndarray, thetas: np.ndarray):
                 defer = ~crit & (rho >= np.maximum.accumulate(t)[2]) & (rho < t[3])
                 low = p < 0.35
                 hits = (crit & ~block, accept & (wrong | chi), accept & chi, block & ~wrong & ~chi & low, defer & ~chi & low)
-                counts += np.stack([h.sum(axis=0) for h in hits])
-                margin += np.abs(t - rho_nas).min(axis=0).sum(axis=0)
+                for k, h in enumerate(hits):
+                    counts[k] += h.sum(axis=0)
+                # One limit at a time: all four at once would be the largest array by far.
+                gap = np.abs(t[0] - rho_nas)
+                for limit in t[1:]:
+                    np.minimum(gap, np.abs(limit - rho_nas), out=gap)
+                margin += gap.sum(axis=0)
                 n += len(rows)
         if n:
             yield pd.DataFrame({"at": np.arange(len(weights)), **dict(zip(COUNTERS, counts, strict=True)), "margin": margin, "n": n})

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import tracemalloc
 from functools import partial
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,14 @@ def test_both_explanations_of_a_case_come_from_one_row(spark):
 
 def test_distances_of_representations_need_no_join(spark):
     assert "Join" not in plan(SPARK["representation_distance"](spark, "/root/testdata/sf0.001"))
+
+
+def test_scoring_candidates_needs_little_memory():
+    draw = np.random.default_rng(3)
+    rows = pd.DataFrame({c: draw.random(2000) for c in W.CONFLICT_COLUMNS[:5]} | {c: draw.random(2000) < 0.3 for c in W.CONFLICT_COLUMNS[5:]})
+    count = W._objective_counter(draw.random((5701, 5)), np.sort(draw.random((5701, 4))))
+    tracemalloc.start()
+    out = pd.concat(count(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out["n"] == 2000).all() and peak < 60e6
