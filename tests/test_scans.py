@@ -91,6 +91,78 @@ def test_forest_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert seen["pieces"] == 20
 
 
+def by_kind(monkeypatch, rows=100):
+    """Forests learn from kinds from so many rows on; returns the numbers of rows that fits get, and their weights."""
+    seen = []
+
+    class Forest(MD.RandomForestClassifier):
+        def fit(self, df):
+            seen.append(df.agg(F.count("*"), F.sum(self.getWeightCol())).first() if self.isSet("weightCol") else (df.count(), None))
+            return super().fit(df)
+
+    monkeypatch.setattr(MD, "RandomForestClassifier", Forest)
+    monkeypatch.setattr(MD, "KIND_ROWS", rows)
+    return seen
+
+
+def test_a_forest_learns_from_kinds_of_rows(spark, monkeypatch):
+    """Equal rows are learned from together, and trees draw as many rows as there are, give or take a few."""
+    rows = spark.range(6000).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 5).cast("int").alias("b"), (F.col("id") % 6 > 3).cast("int").alias("y"))
+    seen = by_kind(monkeypatch)
+    fitted = MD.fit_risk_model(rows, ["a", "b"], "y", trees=12, depth=3)
+    assert len(seen) == 12 and all(n <= 30 and abs(w - 6000) < 400 for n, w in seen) and len({w for _, w in seen}) > 1
+    assert fitted[1].getNumTrees == len(fitted[1].trees) == 12 and fitted[1].getMaxDepth() == 3
+    scored = MD.score_risk_model(fitted, rows)
+    assert set(scored.columns) == {"a", "b", "y", "proba", "p", "y_pred"} and scored.where("p IS NULL").count() == 0
+    again = MD.score_risk_model(MD.fit_risk_model(rows.repartition(3), ["a", "b"], "y", trees=12, depth=3), rows)
+    assert scored.select("a", "b", "p").distinct().exceptAll(again.select("a", "b", "p").distinct()).count() == 0
+
+
+def test_kinds_give_the_forest_of_their_rows(spark, monkeypatch):
+    """Probabilities of forests by row and by kind differ no more than those of two forests by row."""
+    draw = np.random.default_rng(7)
+    x = draw.integers(0, 9, (4000, 2)).astype(float)
+    y = (draw.random(4000) < 0.1 + 0.07 * x[:, 0] + 0.02 * x[:, 1]).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})).localCheckpoint()
+    cells = rows.select("a", "b").distinct()
+
+    def p(**args):
+        found = MD.score_risk_model(MD.fit_risk_model(rows, ["a", "b"], "y", trees=40, depth=4, **args), cells).collect()
+        return np.array([r.p for r in sorted(found, key=lambda r: (r.a, r.b))])
+
+    one, other = p(), p(seed=1)
+    by_kind(monkeypatch)
+    kinds = p()
+    assert np.abs(kinds - one).mean() < 2 * np.abs(other - one).mean() + 0.005 and np.corrcoef(kinds, one)[0, 1] > 0.95
+
+
+def test_rows_that_hardly_repeat_are_learned_from_one_by_one(spark, monkeypatch):
+    rows = spark.range(500).select(F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 2).alias("y"))
+    seen = by_kind(monkeypatch)
+    MD.fit_risk_model(rows, ["a", "b"], "y", trees=3, depth=2)
+    assert seen == [(500, None)]
+
+
+def test_kinds_of_odd_rows(spark, monkeypatch):
+    """Nulls and NaN count as the median, infinities and constants have their step, a third class has its place."""
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.0, 1.0]
+    rows = spark.createDataFrame([(values[i % 8], 5, 2 if i % 8 == 2 else int(i % 8 == 3)) for i in range(800)], "a double, b int, y int")
+    seen = by_kind(monkeypatch)
+    scored = MD.score_risk_model(MD.fit_risk_model(rows, ["a", "b"], "y", trees=9, depth=3), rows)
+    assert len(seen) == 9 and scored.where("size(proba) <> 3 OR p IS NULL").count() == 0
+    assert {(r.a, r.y_pred) for r in scored.select("a", "y_pred").where("abs(a) = double('inf')").distinct().collect()} == {(float("inf"), 2), (float("-inf"), 1)}
+
+
+def test_steps_are_found_by_their_rows():
+    assert MD._limits([1.0, 1.0, 2.0, 4.0]) == [np.nextafter(1.5, np.inf), np.nextafter(3.0, np.inf)]
+    even = MD._limits([float(i) for i in range(320)])
+    assert len(even) == 31 and np.allclose(np.diff(even), 10, atol=1)
+    mostly_zero = MD._limits([0.0] * 960 + [float(i) for i in range(1, 41)])
+    assert 0 < mostly_zero[0] < 1 and 20 < len(mostly_zero) < 32
+    inf = float("inf")
+    assert MD._limits([7.0, 7.0]) == [0.0] and MD._limits([-inf, 0.0, inf]) == [np.nextafter(-inf, inf), np.nextafter(0.0, inf)]
+
+
 def test_the_search_for_the_best_config_reads_each_part_once(spark):
     x = F.col("id") / 200.0
     rows = spark.range(200).select(
