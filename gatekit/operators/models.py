@@ -140,7 +140,7 @@ def _forest_of_kinds(rows: DataFrame, names: Sequence[str], label: str, seed: in
         )
         return one.fit(VectorAssembler(inputCols=names, outputCol="features").transform(mine).select("features", label, "_w"))
 
-    with ThreadPool(max(1, min(trees, sc.defaultParallelism // tasks))) as pool:
+    with ThreadPool(min(trees, 1 + 2 * sc.defaultParallelism // tasks)) as pool:
         fits = pool.map(inheritable_thread_target(spark)(fit), range(trees), 1)
     ml = sc._jvm.org.apache.spark.ml.classification
     grown = sc._gateway.new_array(ml.DecisionTreeClassificationModel, trees)

@@ -151,6 +151,8 @@ def test_kinds_of_odd_rows(spark, monkeypatch):
     scored = MD.score_risk_model(MD.fit_risk_model(rows, ["a", "b"], "y", trees=9, depth=3), rows)
     assert len(seen) == 9 and scored.where("size(proba) <> 3 OR p IS NULL").count() == 0
     assert {(r.a, r.y_pred) for r in scored.select("a", "y_pred").where("abs(a) = double('inf')").distinct().collect()} == {(float("inf"), 2), (float("-inf"), 1)}
+    with pytest.raises(Exception, match="Labels MUST NOT be Null"):
+        MD.fit_risk_model(rows.withColumn("y", F.when(F.col("y") < 2, F.col("y"))), ["a", "b"], "y", trees=2, depth=2)
 
 
 def test_steps_are_found_by_their_rows():
